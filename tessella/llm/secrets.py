@@ -123,8 +123,9 @@ def postings(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") ->
 def candidates(index: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """(key, rules): the texts whose postings satisfy the queries of rules that have one."""
     spark = index.sparkSession
+    names = ("kind", "runs", "run", "alt", "size", "trigram")
     rows = [(r.kind, len(q), k, j, len(alt), t) for r in rules if (q := trigram_query(r.pattern)) for k, run in enumerate(q) for j, alt in enumerate(run) for t in sorted(alt)]
-    asked = spark.createDataFrame(rows, "kind string, runs int, run int, alt int, size int, trigram string")
+    asked = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row, strict=True))) for row in rows))))
     met = index.join(F.broadcast(asked), "trigram").groupBy("key", "kind", "runs", "run", "alt", "size").count().where("count = size")  # as many rows as the rules have trigrams
     runs = met.groupBy("key", "kind", "runs").agg(F.count_distinct("run").alias("met")).where("met = runs")
     return runs.groupBy("key").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
@@ -161,10 +162,14 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     spans = F.col("secret_spans")
-    counts = [F.size(F.filter(spans, lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in RULES if r.base]
+    counts = [F.size(F.filter(spans, _of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in RULES if r.base]
     base = F.filter(spans, lambda s: s["kind"].isin([r.kind for r in RULES if r.base]))
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
@@ -180,7 +185,7 @@ def _oracle() -> str:
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
     m AS ({kinds}),
     u AS (SELECT r, o, kind, base, least, ms, gs, ps, unnest(generate_series(1, len(ms))) AS i FROM m WHERE len(ms) > 0),
-    s AS (SELECT r, o, kind, base, list_sum(list_transform(ps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], x -> length(x))), 0) AS st, length(ms[i]) AS n
+    s AS (SELECT r, o, kind, base, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS st, length(ms[i]) AS n
           FROM u WHERE length(gs[i]) >= least),
     a AS (SELECT r, {count},
           coalesce(string_agg(kind || ':' || st || ':' || (st + n), ',' ORDER BY st, o) FILTER (base), '') AS b,
