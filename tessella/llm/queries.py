@@ -6,6 +6,7 @@ import importlib
 
 #: Module and function of each query.
 QUERIES = {
+    "op1_quality": "quality",
     "op7_pii": "pii",
     "op6_media": "media",
     "op2_secrets": "secrets",
