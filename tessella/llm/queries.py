@@ -6,6 +6,7 @@ import importlib
 
 #: Module and function of each query.
 QUERIES = {
+    "op5_mixing": "mixing",
     "op3_neardup": "neardup",
     "op1_quality": "quality",
     "op7_pii": "pii",
