@@ -6,6 +6,8 @@ import importlib
 
 #: Module and function of each query.
 QUERIES = {
+    "op4_urls": "urls",
+    "op10_topk": "topk",
     "op5_mixing": "mixing",
     "op3_neardup": "neardup",
     "op1_quality": "quality",
