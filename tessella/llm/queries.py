@@ -6,6 +6,7 @@ import importlib
 
 #: Module and function of each query.
 QUERIES = {
+    "op8_licenses": "licenses",
     "op4_urls": "urls",
     "op10_topk": "topk",
     "op5_mixing": "mixing",
