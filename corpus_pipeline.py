@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe
+from tessella.llm import bpe, mixing, neardup, pii, quality
 from tessella.llm.common import settle, table
 
 STAGES = [
+    ("quality", quality.stage),
+    ("neardup", neardup.stage),
+    ("pii", pii.stage),
+    ("mixing", mixing.stage),
     ("bpe", bpe.stage),
 ]
 

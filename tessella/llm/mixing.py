@@ -112,9 +112,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts as often as they are taken; the one at a source's cut ends after the words taken of it."""
-    plan = settle(mix(sized(docs.select("doc_id", "source", "text")).drop("text")).where("taken > 0").select("doc_id", "size", "taken"), "mix-taken")
-    joined = docs.join(plan, "doc_id")
+    """Pipeline stage: texts as often as they are taken; the one at a source's cut ends after the words taken of it.
+
+    Rows that repeat a doc_id, source and size take equal whole parts of what they take together.
+    """
+    taken = mix(sized(docs.select("doc_id", "source", "text")).drop("text")).groupBy("doc_id", "source", "size").agg(F.expr("sum(taken) div count(*)").alias("taken"))
+    plan = settle(taken.where("taken > 0"), "mix-taken")
+    rows = sized(docs, size="_size")
+    plan = plan.withColumnsRenamed({"doc_id": "_d", "source": "_s"})
+    joined = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_d"]) & rows["source"].eqNullSafe(plan["_s"]) & (rows["_size"] == plan["size"]))
     copies = F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))
     each = joined.withColumn("_c", F.explode(copies)).withColumn("_n", F.least(F.col("size"), F.col("taken") - F.col("_c") * F.col("size")))
     cut = each.withColumn("text", F.when(F.col("_n") == F.col("size"), F.col("text")).otherwise(_first_words(F.col("text"), F.col("_n"))))

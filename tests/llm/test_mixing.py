@@ -64,3 +64,9 @@ def test_stage_takes_the_words(spark):
         words[x.doc_id] += len(re.findall(M.WORD, x.text))
         assert texts[x.doc_id].startswith(x.text) and x.n_chars == len(x.text)
     assert words == Counter({d: x.taken for d, x in plan.items() if x.taken})
+
+
+def test_stage_keeps_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "a b c d", None), (1, "e f", "s"), (1, "e f", "s")], "doc_id long, text string, source string")
+    out = M.stage(spark, df, "").collect()
+    assert {x.doc_id for x in out} == {None, 1} and len(out) <= 6
