@@ -2,12 +2,14 @@
 
 Documents are sets of word shingles (64-bit hashes). Equal sets become one node at once. Of each node many universal
 hash minima are taken; BANDS bands of ROWS minima each make bucket keys, so two sets of similarity 0.8 share a bucket
-but for about 5 in a million, and a 256-bit sketch of further minima verifies pairs before whole sets are compared.
+but for about 5 in a million; a sketch with one bit of every minimum and the sets' sizes verify pairs before whole sets
+are compared.
 
-Pairs of a bucket are not all compared: first every node with the bucket centre that it shares most bands with; after
-the components of those links are known, only nodes of a bucket that lie outside its main component with the others,
-which loses no link, as pairs inside a component can add nothing to it. Links are confirmed on full sets. Components come
-from alternating large-star and small-star steps.
+Pairs of a bucket are not all compared, as pairs inside a component can add nothing to it. First every node is compared
+with the bucket centre that it shares most bands with. Then, in rounds, nodes outside their bucket's main component are
+compared with the nearest of some members drawn from it, one for each bucket. What is left outside, then, is compared with
+every member of its buckets that lies in another component, so no link is lost. Links are confirmed on full sets.
+Components come from alternating large-star and small-star steps.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. A null doc_id is never
 linked and always kept. Repeated rows of one doc_id are one node.
@@ -24,13 +26,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, settle, table, tuned
 
 BANDS, ROWS = 40, 6
-#: Two sets of similarity 0.8 differ in 26 of 256 sketch bits on average, and in more than 60 once in 10^10 times.
-SKETCH_BITS, MOST_APART = 256, 60
+#: Two sets of similarity 0.8 differ in 51 of 512 sketch bits on average, and in more than 86 about once in a million times.
+SKETCH_BITS, MOST_APART = 512, 86
+#: Rounds with drawn members, at most, and the nearest of them that a node is compared with in a round.
+DRAWS, NEAREST = 4, 3
 #: Up to so many documents in candidate pairs (16 bytes each) a broadcast list of ids keeps other texts from being shuffled; beyond it the join shuffles.
 BROADCAST_IDS = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -66,7 +71,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 def _functions(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and addends of the universal hash functions (a x + b mod 2^64), high half."""
     r = np.random.default_rng(seed)
-    n = BANDS * ROWS + SKETCH_BITS
+    n = max(BANDS * ROWS, SKETCH_BITS)
     return r.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, np.uint64)
 
 
@@ -92,8 +97,8 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 
 def sketches(m: np.ndarray) -> np.ndarray:
-    """One bit of each further minimum, packed in 64-bit words."""
-    bits = (m[:, BANDS * ROWS :] * np.uint32(2654435761) >> np.uint32(31)).astype(np.uint8)
+    """One bit of each minimum, packed in 64-bit words."""
+    bits = (m[:, :SKETCH_BITS] * np.uint32(2654435761) >> np.uint32(31)).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64)
 
 
@@ -115,7 +120,7 @@ def fingerprints(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
             if own:
                 m = np.concatenate([minima(own[k : k + 64]) for k in range(0, len(own), 64)])[at]
             else:
-                m = np.zeros((len(sets), BANDS * ROWS + SKETCH_BITS), np.uint32)
+                m = np.zeros((len(sets), len(_functions()[0])), np.uint32)
             mask = pa.array(~held)
             bands, sketch = _lists(band_keys(m)), _lists(sketches(m))
             none = pa.nulls(len(b), bands.type)
@@ -182,34 +187,56 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     marks = settle(fingerprints(docs, size, text), "marks")
     some = marks.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = settle(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = settle(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     keyed = nodes.select("rep", F.explode("bands").alias("key"))
     buckets = settle(keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
     members = settle(keyed.join(buckets, "key"), "members")
-    sketch = nodes.select("rep", "sketch")
+    sketch = nodes.select("rep", "sketch", "size")
+
+    def near(sa: str, sb: str, na: str, nb: str) -> Column:
+        return (_apart(sa, sb) <= MOST_APART) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sketches are near enough."""
-        with_a = pairs.join(sketch.withColumnsRenamed({"rep": "a", "sketch": "sa"}), "a")
-        return with_a.join(sketch.withColumnsRenamed({"rep": "b", "sketch": "sb"}), "b").where(_apart("sa", "sb") <= MOST_APART).select("a", "b")
+        """Pairs whose sketches and sizes are near enough, with their distance."""
+        with_a = pairs.join(sketch.withColumnsRenamed({"rep": "a", "sketch": "sa", "size": "na"}), "a")
+        both = with_a.join(sketch.withColumnsRenamed({"rep": "b", "sketch": "sb", "size": "nb"}), "b")
+        return both.where(near("sa", "sb", "na", "nb")).select("a", "b", _apart("sa", "sb").alias("apart"))
 
     shared = members.where("rep <> centre").groupBy("rep", "centre").count()
     best = shared.groupBy("rep").agg(F.max(F.struct("count", (-F.col("centre")).alias("c"))).alias("best"))
-    stars = settle(verified(best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b"))), "stars")
-    links = settle(confirmed(stars, docs, size, percent, text), "links")
+    tried = settle(verified(best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b"))).select("a", "b"), "tried")
+    links = settle(confirmed(tried, docs, size, percent, text), "links")
     found = settle(components(links), "found")
 
-    placed = settle(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "placed")
-    mixed = settle(placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main <> other").drop("other"), "mixed")
-    open_ = settle(placed.join(mixed, "key").join(sketch, "rep").select("key", "rep", "component", "main", "sketch"), "open")
-    left = open_.where("component <> main").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    right = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), "main", F.col("sketch").alias("sb"))
-    near = (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (_apart("sa", "sb") <= MOST_APART)
-    rest = left.join(right, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = settle(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    def unsettled() -> DataFrame:
+        """(key, rep, component, main): the members of buckets that hold several components; main is the least of them."""
+        placed = settle(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "placed")
+        mixed = settle(placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main <> other").drop("other"), "mixed")
+        return settle(placed.join(mixed, "key"), "unsettled")
+
+    loose = unsettled()
+    for draw in range(DRAWS):
+        drawn = settle(loose.where("component = main").groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key", F.lit(draw))).alias("drawn")), "drawn")
+        pairs = loose.where("component <> main").join(drawn, "key").select(F.least("rep", "drawn").alias("a"), F.greatest("rep", "drawn").alias("b"), F.col("rep").alias("by")).distinct()
+        pairs = verified(pairs.join(tried, ["a", "b"], "left_anti")).join(pairs, ["a", "b"])
+        rank = F.row_number().over(W.partitionBy("by").orderBy("apart", "a", "b"))
+        pairs = settle(pairs.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b").distinct(), "pairs")
+        more = settle(confirmed(pairs, docs, size, percent, text), "more")
+        tried = tried.union(pairs)
+        if more.isEmpty():
+            break
+        found = settle(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "found")
+        loose = unsettled()
+
+    open_ = settle(loose.join(sketch, "rep"), "open")
+    left = open_.where("component <> main").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.col("size").alias("na"))
+    right = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), "main", F.col("sketch").alias("sb"), F.col("size").alias("nb"))
+    apart = (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & near("sa", "sb", "na", "nb")
+    rest = left.join(right, apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = settle(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = confirmed(rest, docs, size, percent, text)
-        found = settle(components(links.union(more)), "found")
+        found = settle(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "found")
 
     classes = nodes.select("set_hash", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     classes = settle(classes.where("n > 1 OR component IS NOT NULL").select("set_hash", F.coalesce("component", "rep").alias("class")), "classes")
