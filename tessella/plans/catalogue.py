@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that hold queries; each has QUERIES (name to function) and ORACLE (name to DuckDB SQL).
-MODULES: list[str] = ["vectors", "tags", "glyphs", "feedback", "evaluation", "paths"]
+MODULES: list[str] = ["vectors", "tags", "glyphs", "feedback", "evaluation", "paths", "files"]
 
 
 def _modules() -> list:
