@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,10 +44,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() to the shared folder, for the small tables of an iteration."""
+def forget(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more; shuffles and checkpoints without an owner go with them."""
+    jvm = tables[0].sparkSession._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t._settled)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """checkpoint() to the shared folder, for the small tables of an iteration; in so many parts."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if parts is None else df.coalesce(parts)).checkpoint()

@@ -29,13 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, settle, table, tuned
+from tessella.llm.common import cut, forget, settle, table, tuned
 
 BANDS, ROWS = 40, 6
 #: Two sets of similarity 0.8 differ in 51 of 512 sketch bits on average, and in more than 86 about once in a million times.
 SKETCH_BITS, MOST_APART = 512, 86
 #: Rounds with drawn members, at most, and the nearest of them that a node is compared with in a round.
 DRAWS, NEAREST = 4, 3
+#: Edges that one checkpoint file of an iteration holds, about.
+EDGES_IN_PART = 250_000
 #: Up to so many documents in candidate pairs (16 bytes each) a broadcast list of ids keeps other texts from being shuffled; beyond it the join shuffles.
 BROADCAST_IDS = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -167,16 +169,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): least node reachable over edges (a, b), by alternating large-star and small-star steps."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    parts = 1 + edges.count() // EDGES_IN_PART
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), parts)
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), parts)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), parts)
         small = large.join(least, "u").select("u", "v", "m")
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct(), parts)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -191,6 +194,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     keyed = nodes.select("rep", F.explode("bands").alias("key"))
     buckets = settle(keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
     members = settle(keyed.join(buckets, "key"), "members")
+    forget(buckets)
     sketch = nodes.select("rep", "sketch", "size")
 
     def near(sa: str, sb: str, na: str, nb: str) -> Column:
@@ -207,14 +211,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     tried = settle(verified(best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b"))).select("a", "b"), "tried")
     links = settle(confirmed(tried, docs, size, percent, text), "links")
     found = settle(components(links), "found")
+    forget(links)
 
-    def unsettled() -> DataFrame:
-        """(key, rep, component, main): the members of buckets that hold several components; main is the least of them."""
-        placed = settle(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "placed")
+    def unsettled(rows: DataFrame) -> DataFrame:
+        """(key, rep, component, main) of rows (key, rep): buckets that hold several components; main is the least of them."""
+        placed = rows.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         mixed = settle(placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main <> other").drop("other"), "mixed")
-        return settle(placed.join(mixed, "key"), "unsettled")
+        out = settle(placed.join(mixed, "key"), "unsettled")
+        forget(mixed, rows)
+        return out
 
-    loose = unsettled()
+    loose = unsettled(members)
     for draw in range(DRAWS):
         drawn = settle(loose.where("component = main").groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key", F.lit(draw))).alias("drawn")), "drawn")
         pairs = loose.where("component <> main").join(drawn, "key").select(F.least("rep", "drawn").alias("a"), F.greatest("rep", "drawn").alias("b"), F.col("rep").alias("by")).distinct()
@@ -223,10 +230,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
         pairs = settle(pairs.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b").distinct(), "pairs")
         more = settle(confirmed(pairs, docs, size, percent, text), "more")
         tried = tried.union(pairs)
+        forget(drawn)
         if more.isEmpty():
             break
         found = settle(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "found")
-        loose = unsettled()
+        forget(more)
+        loose = unsettled(loose)
 
     open_ = settle(loose.join(sketch, "rep"), "open")
     left = open_.where("component <> main").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.col("size").alias("na"))
@@ -234,6 +243,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     apart = (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & near("sa", "sb", "na", "nb")
     rest = left.join(right, apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = settle(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    forget(open_, loose)
     if not rest.isEmpty():
         more = confirmed(rest, docs, size, percent, text)
         found = settle(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "found")
