@@ -144,13 +144,13 @@ def family_csv(spark: SparkSession, path: str, header: bool = False) -> DataFram
 
 
 def articles(spark: SparkSession, directory: str, marker: str = "METADATA.pb") -> DataFrame:
-    """(folder, text): the last HTML file of each folder that holds a marker file."""
+    """(folder, text): the last HTML file of each folder that holds a marker file (not an empty one, which scans skip)."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path")
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
     marked = names.where(F.col("path").endswith(marker)).select(folder("path").alias("folder")).distinct()
     html = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(directory, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    pages = html.withColumn("folder", F.regexp_extract(F.url_decode("file"), r"^file:/+(.*)/[^/]*$", 1))
-    marked = marked.select(F.regexp_replace("folder", "^file:/+", "").alias("folder"))
+    pages = html.withColumn("folder", F.regexp_extract(F.url_decode("file"), r"^[a-z0-9]*:?/*(.*)/[^/]*$", 1))
+    marked = marked.select(F.regexp_replace("folder", "^[a-z0-9]*:?/*", "").alias("folder"))
     last = pages.join(marked, "folder", "left_semi").groupBy("folder").agg(F.max_by("value", "file").alias("html"))
     return last.select("folder", X.html_text("html").alias("text"))
 
