@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from tessella.llm.common import table, tuned
 
 #: Fixed value: the pattern by which byte-level BPE splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces remembered by a worker; the memo is emptied when it is full, which changes no result.
-MEMO = 200_000
+#: Pieces, and pairs of tokens, that a worker remembers, twice as many at most; forgetting changes no result.
+MEMO = 80_000
 #: Ids decoded at a time, so that a very long text needs little memory besides its own.
 DECODE_IDS = 1 << 20
 
@@ -106,7 +107,11 @@ class BpeCodec:
         self.digits_of = _offset_table([b"%d," % k for k in range(len(entries))])
         self.pieces = regex.compile(SPLIT).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.kept = {x.decode("latin-1"): t for x, t in kept.items()}
+        self.ids = self.public.tolist()
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
 
     def fits(self, a: int, b: int, below: int = 1 << 60) -> bool:
         """Whether merging would leave tokens a and b side by side, looking only at merges older than below.
@@ -130,7 +135,11 @@ class BpeCodec:
     def merge_piece(self, piece: bytes) -> list[int]:
         """Ages of the tokens of one piece, by backtracking."""
         text, end = piece.decode("latin-1"), len(piece)
-        longest, size, shorter = self.automaton.iter_long, self.size, self.shorter
+        if text in self.kept:
+            return [self.kept[text]]
+        longest, size, shorter, pairs = self.automaton.iter_long, self.size, self.shorter, self.pairs
+        if len(pairs) > MEMO:
+            pairs.clear()
         dead = bytearray(end + 1)
         out: list[int] = []
         pos, token = 0, next(longest(text))[1] if end else -1
@@ -138,8 +147,12 @@ class BpeCodec:
             last = out[-1] if out else -1
             while token >= 0:
                 stop = pos + size[token]
-                if not dead[stop] and (last < 0 or self.fits(last, token)):
-                    break
+                if not dead[stop]:
+                    ok = last < 0 or pairs.get((last, token))
+                    if ok is None:
+                        ok = pairs[last, token] = self.fits(last, token)
+                    if ok:
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
@@ -155,20 +168,19 @@ class BpeCodec:
         """Ids of a text (uint32); strings of special tokens become their ids, as the tokenizers library has it by default."""
         if not text:
             return np.empty(0, np.uint32)
-        memo, out = self.memo, []
+        out = []
         for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
             if k % 2:
                 out.append(np.uint32(self.special[part]).tobytes())
                 continue
             words = self.pieces(part)
-            for w in set(words).difference(memo):
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[w] = self.public[self.merge_piece(w.encode())].tobytes()
-            try:
-                out.append(b"".join([memo[w] for w in words]))
-            except KeyError:  # the memo was emptied on the way
-                out.append(b"".join([memo.get(w) or self.public[self.merge_piece(w.encode())].tobytes() for w in words]))
+            missing = set(words).difference(self.memo)
+            if len(self.memo) + len(missing) > MEMO:
+                self.memo, self.old, missing = {}, self.memo, set(words)
+            memo, old, ids = self.memo, self.old, self.ids
+            for w in missing:
+                memo[w] = old.get(w) or array("I", [ids[t] for t in self.merge_piece(w.encode())]).tobytes()
+            out.append(b"".join([memo[w] for w in words]))
         return np.frombuffer(b"".join(out), np.uint32)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:

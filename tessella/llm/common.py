@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that one Arrow batch may hold; with it a batch of ordinary texts stays at a few MB.
-BATCH_ROWS = 1000
+#: Rows that one Arrow batch may hold; with it a batch of ordinary texts stays under a MB, and one of long texts at some tens.
+BATCH_ROWS = 250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
