@@ -83,7 +83,8 @@ def shard_quotas(plan: DataFrame, shards: int, shard_blocks: int = SHARD_BLOCKS)
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """docs (doc_id, source, size, ...) with source_size, target and taken (words)."""
+    """docs (doc_id, source, size, ...) with source_size, target and taken (words); columns of these names are replaced."""
+    docs = docs.drop("source_size", "target", "taken", "tokens")
     lines = docs.withColumn("_h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
     rows = docs.count()
     digits = 1

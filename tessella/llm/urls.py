@@ -86,7 +86,8 @@ def templates(urls: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame, rules: list[UrlRule] = RULES, url: str = "url") -> DataFrame:
-    """pages with host, path, rule, template, purity and verdict."""
+    """pages with host, path, rule, template, purity and verdict; columns of these names are replaced."""
+    pages = pages.drop("host", "path", "rule", "label", "template", "blocked", "labelled", "purity", "verdict")
     rows = ruled(parsed(pages, url), rules)
     found = templates(rows.select("host", "path", "label"))
     out = rows.join(found, ["host", "path"]).withColumn("purity", F.expr("(blocked + 1D) / (labelled + 2D)"))

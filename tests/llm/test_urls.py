@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tessella.llm import urls as U
 
 
@@ -19,7 +21,8 @@ def test_parse_and_rules(spark):
         (None, "a://b#://c/d", "b", "", None, "allow"),
         (11, "h://d.example.net/" + "s/" * 30, "d.example.net", "/" + "s/" * 30, None, "allow"),
     ]
-    df = spark.createDataFrame([(a, b, "x", 1) for a, b, *_ in rows], "page_id long, url string, html string, template int")
+    df = spark.createDataFrame([(a, b, "x", 1) for a, b, *_ in rows], "page_id long, url string, html string, template int").withColumn("rule", F.lit(1))
+    assert sorted(U.judged(df).columns) == sorted(["page_id", "url", "html", "host", "path", "rule", "template", "purity", "verdict"])
     got = sorted((tuple(r) for r in U.judged(df).select("page_id", "url", "host", "path", "rule", "verdict").collect()), key=str)
     assert got == sorted(rows, key=str)
     assert U.judged(df.limit(0)).count() == 0
