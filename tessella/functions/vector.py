@@ -113,3 +113,28 @@ def ema(start: Column | float, values: Column | str, momentum: float = 0.999) ->
     """m * e + (1 - m) * p folded over the values in their order."""
     s = F.lit(float(start)) if isinstance(start, (int, float)) else start
     return F.aggregate(doubles(values), s, lambda e, p: e * momentum + (1 - momentum) * p)
+
+
+def padded(tokens: Column | str, length: Column | int, fill: Column | int = 0) -> Column:
+    """The tokens with fill behind them up to the length; longer lists stay."""
+    t, n = as_col(tokens), F.lit(length) if isinstance(length, int) else length
+    return F.concat(t, F.array_repeat(F.lit(fill) if isinstance(fill, int) else fill, F.greatest(n - F.size(t), F.lit(0))))
+
+
+def noised(pixels: Column | str, side: int, key: Column, seed: int = 1234, share: float = 0.4) -> Column:
+    """A square image with a patch of a quarter of its side, and a share of all other pixels, set to 0; drawn by key."""
+    u = lambda *c: F.pmod(F.xxhash64(key, F.lit(seed), *c), F.lit(1_000_003)) / 1_000_003.0
+    patch = max(1, side // 4)
+    top, left = (F.floor(u(F.lit(k)) * (side - patch + 1)) for k in ("top", "left"))
+
+    def one(x: Column, k: Column) -> Column:
+        row, col = F.floor(k / side), k % side
+        inside = (row >= top) & (row < top + patch) & (col >= left) & (col < left + patch)
+        return F.when(inside | (u(k) < share), F.lit(0.0)).otherwise(x)
+
+    return F.transform(doubles(pixels), one)
+
+
+def word_count(text: Column | str) -> Column:
+    """The length of a description in words, where no tokenizer is given."""
+    return F.size(F.filter(F.split(as_col(text), r"\s+"), lambda w: w != ""))

@@ -258,3 +258,18 @@ def test_ema_and_crossover(spark):
     ab = spark.createDataFrame([([1, 2, 3, 4, 5], [5, 4, 3, 2, 1])], "a array<int>, b array<int>")
     r = ab.select(paths.crossover(F.col("a"), F.col("b"), F.lit(1), F.lit(3)).alias("c"), paths.flipped(F.col("a"), F.lit(1), F.lit(4)).alias("f"), paths.overlap(F.col("a"), F.col("b")).alias("o")).first()
     assert (r.c, r.f, r.o) == ([5, 2, 3, 4, 1], [1, 4, 3, 2, 5], 1.0)
+
+
+def test_sql_functions(spark):
+    from tessella.functions import sql
+
+    assert sql.register(spark) == ["vdot", "vnorm", "vl2", "sigmoid"]
+    r = spark.sql("SELECT vdot(array(1D, 2D), array(3D, 4D)) AS a, vnorm(array(3D, 4D)) AS b, vl2(array(0D, 0D), array(3D, 4D)) AS c, sigmoid(0D) AS d").first()
+    assert tuple(r) == (11.0, 5.0, 5.0, 0.5)
+
+
+def test_padding_and_noise(spark):
+    df = spark.createDataFrame([(k, [1, 2], [1.0] * 64, " a  b c ") for k in range(5)], "k long, t array<int>, p array<double>, s string")
+    r = df.select(V.padded("t", 4).alias("t"), V.noised("p", 8, F.col("k")).alias("p"), V.word_count("s").alias("n")).collect()
+    assert all(x.t == [1, 2, 0, 0] and x.n == 3 and 4 <= x.p.count(0.0) < 64 for x in r)
+    assert len({tuple(x.p) for x in r}) == 5
