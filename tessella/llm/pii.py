@@ -27,7 +27,7 @@ from tessella.llm.common import table, tuned
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE_DOCS = 4000
-ROUNDS, SURE = 12, 0.95
+ROUNDS, SURE = 12, 0.5
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
