@@ -8,7 +8,8 @@ are compared.
 Pairs of a bucket are not all compared, as pairs inside a component can add nothing to it. First every node is compared
 with the bucket centre that it shares most bands with. Then, in rounds, nodes outside their bucket's main component are
 compared with the nearest of some members drawn from it, one for each bucket. What is left outside, then, is compared with
-every member of its buckets that lies in another component, so no link is lost. Links are confirmed on full sets.
+all nodes of its zone (nodes that buckets of several components hold together) in cells of bounded numbers of rows, which
+hand out one confirmed link for a node and a component, not pairs; so no link is lost. Links are confirmed on full sets.
 Components come from alternating large-star and small-star steps.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. A null doc_id is never
@@ -36,6 +37,10 @@ BANDS, ROWS = 40, 6
 SKETCH_BITS, MOST_APART = 512, 86
 #: Rounds with drawn members, at most, and the nearest of them that a node is compared with in a round.
 DRAWS, NEAREST = 4, 3
+#: Rows of either side of a comparison cell, about.
+CELL = 256
+#: Shingles, about, whose minima are taken at a time.
+TOGETHER = 30_000
 #: Edges that one checkpoint file of an iteration holds, about.
 EDGES_IN_PART = 250_000
 #: Up to so many documents in candidate pairs (16 bytes each) a broadcast list of ids keeps other texts from being shuffled; beyond it the join shuffles.
@@ -50,7 +55,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(50_000)
 def _word(w: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
 
@@ -120,7 +125,9 @@ def fingerprints(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
             own = [s for k, s in zip(ids, sets, strict=True) if k and new.pop(k, None) is not None]  # one set of each kind, in order
             held = np.array([k is not None for k in ids], bool)
             if own:
-                m = np.concatenate([minima(own[k : k + 64]) for k in range(0, len(own), 64)])[at]
+                ends = np.cumsum([len(s) for s in own])
+                cuts = [0, *(np.flatnonzero(np.diff(ends // TOGETHER)) + 1).tolist(), len(own)]
+                m = np.concatenate([minima(own[a:z]) for a, z in zip(cuts, cuts[1:], strict=False) if z > a])[at]
             else:
                 m = np.zeros((len(sets), len(_functions()[0])), np.uint32)
             mask = pa.array(~held)
@@ -186,6 +193,52 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def zone_links(loose: DataFrame, docs: DataFrame, size: int, percent: int, text: str = "text") -> DataFrame:
+    """Links (a, b) of the nodes of loose (key, rep, component, main) that lie outside a main component, with others of their zone.
+
+    A zone's outsiders are dealt into lanes and all its nodes into blocks of about CELL each; a cell compares the full sets
+    of one lane with those of one block.
+    """
+    least = settle(loose.groupBy("key").agg(F.min("rep").alias("least")), "least")
+    zones = components(loose.join(least, "key").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct())
+    forget(least)
+    own = loose.groupBy("rep").agg(F.first("component").alias("component"), F.max((F.col("component") != F.col("main")).cast("int")).alias("out"))
+    placed = settle(own.join(zones.withColumnsRenamed({"node": "rep", "component": "zone"}), "rep", "left").withColumn("zone", F.coalesce("zone", "rep")), "zones")
+    counts = settle(placed.groupBy("zone").agg(F.ceil(F.sum("out") / CELL).alias("lanes"), F.ceil(F.count("*") / CELL).alias("blocks")), "zone-sizes")
+    each = placed.join(counts, "zone")
+    deal = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = each.where("out = 1").select("zone", deal(F.col("lanes"), 1).alias("lane"), every(F.col("blocks")).alias("block"), F.lit(True).alias("outside"), "rep", "component")
+    right = each.where("lanes > 0").select("zone", every(F.col("lanes")).alias("lane"), deal(F.col("blocks"), 2).alias("block"), F.lit(False).alias("outside"), "rep", "component")
+    texts = docs.select(F.col("doc_id").alias("rep"), text)
+    if placed.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(placed.select("rep")), "rep", "left_semi")
+    cells = left.union(right).join(texts, "rep")
+
+    def run(cell: pa.Table) -> pa.Table:
+        outside = cell["outside"].to_numpy()
+        reps, comps = cell["rep"].to_numpy(), cell["component"].to_numpy()
+        sets: dict[int, np.ndarray] = {}
+        for k, t in zip(reps.tolist(), cell[text], strict=True):
+            if k not in sets:
+                sets[k] = shingles(t.as_py(), size)
+        at = np.flatnonzero(~outside)
+        at = at[np.argsort(comps[at], kind="stable")]
+        out: list[tuple[int, int]] = []
+        if len(at):
+            flat, n = np.concatenate([sets[k] for k in reps[at].tolist()]), np.array([len(sets[k]) for k in reps[at].tolist()])
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            for i in np.flatnonzero(outside):
+                s = sets[int(reps[i])]
+                place = np.minimum(np.searchsorted(s, flat), len(s) - 1)
+                both = np.add.reduceat((s[place] == flat).astype(np.int64), starts)
+                hit = at[(100 * both >= percent * (len(s) + n - both)) & (comps[at] != comps[i])]
+                out += [(int(reps[i]), int(reps[j])) for j in hit[np.unique(comps[hit], return_index=True)[1]]]
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return cells.groupBy("zone", "lane", "block").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     marks = settle(fingerprints(docs, size, text), "marks")
@@ -237,16 +290,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
         forget(more)
         loose = unsettled(loose)
 
-    open_ = settle(loose.join(sketch, "rep"), "open")
-    left = open_.where("component <> main").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.col("size").alias("na"))
-    right = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), "main", F.col("sketch").alias("sb"), F.col("size").alias("nb"))
-    apart = (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & near("sa", "sb", "na", "nb")
-    rest = left.join(right, apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = settle(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    forget(open_, loose)
-    if not rest.isEmpty():
-        more = confirmed(rest, docs, size, percent, text)
+    more = settle(zone_links(loose, docs, size, percent, text), "more")
+    if not more.isEmpty():
         found = settle(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "found")
+    forget(loose, more)
 
     classes = nodes.select("set_hash", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     classes = settle(classes.where("n > 1 OR component IS NOT NULL").select("set_hash", F.coalesce("component", "rep").alias("class")), "classes")
@@ -270,3 +317,20 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return left.select(docs.columns)
     one = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return left.join(twice, "doc_id", "left_anti").select(docs.columns).union(one.select(docs.columns))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: Compares all pairs that share a shingle; for small tables.
+ORACLE = {
+    "op3_neardup": f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda k: array_to_string(ws[k:k + 3], ' ')) END) AS sh FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    both_ AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT i, j FROM both_ JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    e AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+    r AS (SELECT i AS node, j AS other FROM e UNION SELECT node, e.j FROM r JOIN e ON other = e.i),
+    c AS (SELECT node, least(node, min(other)) AS component FROM r GROUP BY node)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id"""
+}

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tessella.llm import neardup as N
 
@@ -76,7 +77,11 @@ def test_components(spark):
     assert got == {x: root(x) for x in comp if root(x) != x}
 
 
-def test_as_brute_force(spark):
+@pytest.mark.parametrize(("draws", "cell"), [(4, 256), (0, 7)])
+def test_as_brute_force(spark, monkeypatch, draws, cell):
+    """Also with no rounds at all, so that the cells find every link that the first stars miss."""
+    monkeypatch.setattr(N, "DRAWS", draws)
+    monkeypatch.setattr(N, "CELL", cell)
     r = random.Random(9)
     vocab = [f"w{k}" for k in range(500)]
     rows = [(0, None), (1, ""), (2, " "), (3, "a b"), (4, "A  B"), (5, "one two three four")]
