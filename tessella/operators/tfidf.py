@@ -1,13 +1,17 @@
-"""TF-IDF similarity of texts: exact pairs over a cosine threshold, by rare-feature prefixes."""
+"""TF-IDF similarity of texts: exact pairs over a cosine threshold, on a grid of blocks."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.operators.descriptions import STOP_WORDS
 
+#: Rows of either side of a cell, about.
+BLOCK = 1024
+
 
 def features(docs: DataFrame, max_features: int = 50_000, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(id, term, df, w) of docs (id, text): one- and two-word terms, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), unit rows.
@@ -25,16 +29,43 @@ def features(docs: DataFrame, max_features: int = 50_000, stop_words: tuple[str,
     return raw.join(norms, "id").select("id", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _cell(cell: pa.Table, threshold: float) -> pa.Table:
+    """Pairs of a cell's own rows with its other rows, by scattering the postings of each own row's terms."""
+    own = cell["own"].to_numpy()
+    left, right = cell.filter(pa.array(own)), cell.filter(pa.array(~own))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(left) and len(right):
+        ids = right["id"].to_numpy()
+        lists = right["t"].combine_chunks()
+        row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        terms, weights = lists.flatten().to_numpy(), right["w"].combine_chunks().flatten().to_numpy()
+        order = np.argsort(terms, kind="stable")
+        terms, weights, row = terms[order], weights[order], row[order]
+        same = cell["lane"][0].as_py() == cell["block"][0].as_py()
+        for i, t, w in zip(left["id"].to_pylist(), left["t"], left["w"], strict=True):
+            mine, by = t.values.to_numpy(), w.values.to_numpy()
+            start = np.searchsorted(terms, mine, "left")
+            n = np.searchsorted(terms, mine, "right") - start
+            ends = np.cumsum(n)
+            at = np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+            sim = np.bincount(row[at], weights[at] * np.repeat(by, n), len(ids))
+            hit = np.flatnonzero((sim >= threshold) & ((ids > i) if same else (ids != i)))
+            out.append((np.full(len(hit), i), ids[hit], sim[hit]))
+    a, b, sim = (np.concatenate([x[k] for x in out]) if out else np.empty(0) for k in range(3))
+    return pa.table({"i": pa.array(np.minimum(a, b).astype(np.int64)), "j": pa.array(np.maximum(a, b).astype(np.int64)), "sim": pa.array(sim.astype(float))})
+
+
 def similar_pairs(docs: DataFrame, threshold: float = 0.35, max_features: int = 50_000) -> DataFrame:
-    """(i, j, sim), i < j, cosine at least the threshold.
+    """(i, j, sim), i < j, cosine at least the threshold; ids are whole numbers.
 
-    A row's terms are ordered from rare to common. Two rows whose cosine reaches the threshold share a term before the
-    point from which the rest of either row weighs less than the threshold, so only those prefixes are joined to find
-    candidates; very common terms hardly ever are in a prefix. Candidates are then scored on all terms.
+    Rows are dealt into blocks of BLOCK; each cell of the grid holds two of them and hands out only pairs over the
+    threshold. So a term that all texts share costs additions, not joined rows, and no pair of rows is shuffled.
     """
-    f = features(docs, max_features)
-    order = W.partitionBy("id").orderBy("df", "term").rowsBetween(0, W.unboundedFollowing)
-    prefix = f.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(order))).where(F.col("rest") >= threshold - 1e-9).select("id", "term")
-    pairs = prefix.select(F.col("id").alias("i"), "term").join(prefix.select(F.col("id").alias("j"), "term"), "term").where("i < j").select("i", "j").distinct()
-    a, b = f.select(F.col("id").alias("i"), "term", F.col("w").alias("wi")), f.select(F.col("id").alias("j"), "term", F.col("w").alias("wj"))
-    return pairs.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim")).where(F.col("sim") >= threshold)
+    rows = features(docs, max_features).groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("f"))
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("f.t").alias("t"), F.col("f.w").alias("w"))
+    n = max(1, -(-docs.count() // BLOCK))
+    own = rows.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(n)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    left = own.select(F.lit(True).alias("own"), "id", "t", "w", F.col("deal").alias("lane"), F.explode(F.filter(every, lambda b: b >= F.col("deal"))).alias("block"))
+    right = own.select(F.lit(False).alias("own"), "id", "t", "w", F.explode(F.filter(every, lambda b: b <= F.col("deal"))).alias("lane"), F.col("deal").alias("block"))
+    return left.union(right).groupBy("lane", "block").applyInArrow(lambda cell: _cell(cell, threshold), "i long, j long, sim double")
