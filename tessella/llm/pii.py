@@ -127,7 +127,7 @@ class Field:
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
         before, last = -2, {}
-        ordered, j = sorted((a, b, k) for k, a, b in spans), 0
+        ordered, near = sorted((a, b, k) for k, a, b in spans), 0
         for pos, m in enumerate(_WORD.finditer(text)):
             w = m[0]
             if not _HINT.search(w):
@@ -135,17 +135,17 @@ class Field:
             k = len(self.words)
             self.words.append(m.span())
             self.shapes.append(_shape(w))
-            while j < len(ordered) and ordered[j][1] <= m.start():
-                j += 1
-            self.labels.append(next((1 + x[2] for x in ordered[j : j + 8] if x[0] < m.end() and x[1] > m.start()), 0))
-            if before == pos - 1:
+            while near < len(ordered) and ordered[near][1] <= m.start():
+                near += 1
+            self.labels.append(next((1 + x[2] for x in ordered[near : near + 8] if x[0] < m.end() and x[1] > m.start()), 0))
+            beside = before == pos - 1
+            if beside:
                 self.chain.append((k - 1, k))
             before = pos
             d = _digits(w)
-            for key in {d if len(d) >= 5 else w, d[-7:] if len(d) >= 7 else w}:
-                if key in last and (last[key], k) not in self.chain:
-                    self.skip.append((last[key], k))
-                last[key] = k
+            keys = {d if len(d) >= 5 else w, d[-7:] if len(d) >= 7 else w}
+            self.skip += [(j, k) for j in sorted({last[x] for x in keys if x in last}) if not (beside and j == k - 1)]
+            last |= dict.fromkeys(keys, k)
 
     def around(self) -> Iterator[tuple]:
         """(shape, label, neighbours' labels in the chain, and by skips) of each node; at most two of each are counted."""
