@@ -13,23 +13,24 @@ from tessella.operators.descriptions import STOP_WORDS
 BLOCK = 1024
 
 
-def features(docs: DataFrame, max_features: int = 50_000, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+def features(docs: DataFrame, max_features: int = 50_000, stop_words: tuple[str, ...] = STOP_WORDS, copies: str | None = None) -> DataFrame:
     """(id, term, df, w) of docs (id, text): one- and two-word terms, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), unit rows.
 
     Words have two letters or digits at least; stop words go before pairs are made. The terms of highest count stay.
+    With copies, a column that says how many documents a row stands for, n, df and counts are taken over all of them.
     """
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop_words))
-    listed = docs.select("id", words.alias("ws"))
+    listed = docs.select("id", (F.lit(1) if copies is None else F.col(copies)).cast("long").alias("copies"), words.alias("ws"))
     pairs = F.when(F.size("ws") > 1, F.zip_with(F.slice("ws", F.lit(1), F.size("ws") - 1), F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    tf = listed.select("id", F.explode(F.concat("ws", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(max_features).drop("cf")
-    n = docs.agg(F.count("*").alias("n"))
+    tf = listed.select("id", "copies", F.explode(F.concat("ws", pairs)).alias("term")).groupBy("id", "copies", "term").agg(F.count("*").alias("tf"))
+    stats = tf.groupBy("term").agg(F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("cf")).orderBy(F.desc("cf"), "term").limit(max_features).drop("cf")
+    n = docs.agg((F.count("*") if copies is None else F.coalesce(F.sum(copies), F.lit(0))).alias("n"))
     raw = tf.join(stats, "term").crossJoin(F.broadcast(n)).select("id", "term", "df", ((1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))  # one row
     norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, "id").select("id", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def _cell(cell: pa.Table, threshold: float) -> pa.Table:
+def _cell(cell: pa.Table, threshold: float, selves: bool) -> pa.Table:
     """Pairs of a cell's own rows with its other rows, by scattering the postings of each own row's terms."""
     own = cell["own"].to_numpy()
     left, right = cell.filter(pa.array(own)), cell.filter(pa.array(~own))
@@ -49,23 +50,38 @@ def _cell(cell: pa.Table, threshold: float) -> pa.Table:
             ends = np.cumsum(n)
             at = np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
             sim = np.bincount(row[at], weights[at] * np.repeat(by, n), len(ids))
-            hit = np.flatnonzero((sim >= threshold) & ((ids > i) if same else (ids != i)))
+            hit = np.flatnonzero((sim >= threshold) & ((ids >= i if selves else ids > i) if same else (ids != i)))
             out.append((np.full(len(hit), i), ids[hit], sim[hit]))
     a, b, sim = (np.concatenate([x[k] for x in out]) if out else np.empty(0) for k in range(3))
     return pa.table({"i": pa.array(np.minimum(a, b).astype(np.int64)), "j": pa.array(np.maximum(a, b).astype(np.int64)), "sim": pa.array(sim.astype(float))})
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.35, max_features: int = 50_000) -> DataFrame:
-    """(i, j, sim), i < j, cosine at least the threshold; ids are whole numbers.
+def similar_pairs(docs: DataFrame, threshold: float = 0.35, max_features: int = 50_000, copies: str | None = None, selves: bool = False) -> DataFrame:
+    """(i, j, sim), i < j (with selves i <= j), cosine at least the threshold; ids are whole numbers. For copies see features.
 
     Rows are dealt into blocks of BLOCK; each cell of the grid holds two of them and hands out only pairs over the
     threshold. So a term that all texts share costs additions, not joined rows, and no pair of rows is shuffled.
     """
-    rows = features(docs, max_features).groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("f"))
+    rows = features(docs, max_features, copies=copies).groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("f"))
     rows = rows.select(F.col("id").cast("long").alias("id"), F.col("f.t").alias("t"), F.col("f.w").alias("w"))
     n = max(1, -(-docs.count() // BLOCK))
     own = rows.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(n)))
     every = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
     left = own.select(F.lit(True).alias("own"), "id", "t", "w", F.col("deal").alias("lane"), F.explode(F.filter(every, lambda b: b >= F.col("deal"))).alias("block"))
     right = own.select(F.lit(False).alias("own"), "id", "t", "w", F.explode(F.filter(every, lambda b: b <= F.col("deal"))).alias("lane"), F.col("deal").alias("block"))
-    return left.union(right).groupBy("lane", "block").applyInArrow(lambda cell: _cell(cell, threshold), "i long, j long, sim double")
+    return left.union(right).groupBy("lane", "block").applyInArrow(lambda cell: _cell(cell, threshold, selves), "i long, j long, sim double")
+
+
+def similar_documents(docs: DataFrame, threshold: float = 0.35, max_features: int = 50_000) -> DataFrame:
+    """(kind, i, j, sim) of docs (id, text), ids unique whole numbers: similarities of all documents, copies by class.
+
+    A class holds the documents of one text and has their least id. Rows of kind "member" give each document j its class i;
+    rows of kind "pair" are the similar classes, i <= j. Two documents are similar where their classes are; those of one
+    class where it has a pair with itself, which a text without terms lacks. So copies cost rows, not pairs of rows.
+    """
+    texts = docs.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    key = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null")).alias("key")
+    members = docs.select(F.col("id").cast("long").alias("j"), key).join(texts.select(F.col("id").cast("long").alias("i"), key), "key")
+    pairs = similar_pairs(texts, threshold, max_features, "copies", selves=True)
+    member = members.select(F.lit("member").alias("kind"), "i", "j", F.lit(None).cast("double").alias("sim"))
+    return member.unionByName(pairs.select(F.lit("pair").alias("kind"), "i", "j", "sim"))

@@ -194,12 +194,17 @@ def tfidf_similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return tfidf.similar_pairs(_texts(spark, sf)).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
+def tfidf_similar_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents: the class of each, and the pairs of similar classes."""
+    return rounded(tfidf.similar_documents(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tag_vocab, sorted_vocab, pos_weight, multi_hot, strong_weak_tags, tag_map_ops, weighted_jaccard_top4, tag_union_size, longest_prefix_join, described_share,
         described_only, generic_filter, override_union, tag_merge, negation_scope_tokens, query_weights, tag_search, tags_for, adjective_state_machine, prompt_text,
-        contrastive_prompt, json_query_list, description_sample, tfidf_similar_pairs,
+        contrastive_prompt, json_query_list, description_sample, tfidf_similar_pairs, tfidf_similar_documents,
     )
 }
 
@@ -251,4 +256,10 @@ ORACLE = {
         st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 50000), rw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM x)) / (1 + df)) + 1) AS w FROM tf JOIN st USING (term)),
         nw AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM rw)
         SELECT a.id AS i, b.id AS j, round(sum(a.w * b.w), 6) AS sim FROM nw a JOIN nw b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= 0.35""",
+    "tfidf_similar_documents": f"""WITH c AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS class, text FROM documents), ws AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}'), lambda w: w NOT IN {_STOP}) AS w FROM c),
+        tm AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS term FROM ws), tf AS (SELECT id, term, count(*) AS tf FROM tm GROUP BY ALL),
+        st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 50000), rw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN st USING (term)),
+        nw AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM rw WHERE id IN (SELECT class FROM c))
+        SELECT 'member' AS kind, class AS i, id AS j, NULL::DOUBLE AS sim FROM c
+        UNION ALL SELECT 'pair', a.id, b.id, round(sum(a.w * b.w), 6) FROM nw a JOIN nw b ON a.term = b.term AND a.id <= b.id GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= 0.35""",
 }
