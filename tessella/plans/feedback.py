@@ -87,6 +87,12 @@ def describe_append(spark: SparkSession, sf: str) -> DataFrame:
     return B.append_valid(rows, table(spark, sf, "part"), "p_partkey", "description")
 
 
+def describe_append_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of describe_append with whole texts as descriptions."""
+    rows = table(spark, sf, "documents").select((F.col("doc_id") * 7 % 5000).alias("p_partkey"), "doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit("  ")).otherwise(F.col("text")).alias("description"))
+    return B.append_valid(rows, table(spark, sf, "part"), "p_partkey", "description")
+
+
 def resume_anti(spark: SparkSession, sf: str) -> DataFrame:
     done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return B.remaining(table(spark, sf, "customer").select("c_custkey", "c_name"), done, "c_custkey")
@@ -125,7 +131,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_rating, approval_state, approval_log, rating_log, rate_limit_hourly, ring_buffer_last_n, last_n_buffer, last_write_wins, early_stop, best_so_far, ema_fold,
-        running_loss, describe_append, resume_anti, completed_union, registry_drain, foreign_key_lookup, token_expiry,
+        running_loss, describe_append, describe_append_whole, resume_anti, completed_union, registry_drain, foreign_key_lookup, token_expiry,
     )
 }
 
@@ -146,6 +152,7 @@ ORACLE = {
     "ema_fold": "WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS back FROM events) SELECT user_id, round(sum(value * 0.1 * power(0.9, back)), 6) AS ema FROM n GROUP BY user_id",
     "running_loss": "WITH s AS (SELECT user_id, row_number() OVER w AS step, avg(value / 100) OVER w AS mean, exp(value / 100) AS perplexity FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT user_id, step, round(mean, 6) AS mean, round(perplexity, 6) AS perplexity FROM s WHERE step % 25 = 0",
     "describe_append": "SELECT doc_id * 7 % 5000 AS p_partkey, doc_id, left(text, 20) AS description FROM documents WHERE doc_id % 9 <> 0 AND length(trim(left(text, 20))) > 0 AND doc_id * 7 % 5000 IN (SELECT p_partkey FROM part)",
+    "describe_append_whole": "SELECT doc_id * 7 % 5000 AS p_partkey, doc_id, text AS description FROM documents WHERE doc_id % 9 <> 0 AND length(trim(text)) > 0 AND doc_id * 7 % 5000 IN (SELECT p_partkey FROM part)",
     "resume_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "completed_union": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS run FROM customer",
     "registry_drain": "SELECT 'store' AS origin, count(*) AS n, sum(p_partkey) AS mark FROM part WHERE p_partkey % 4 < 2 UNION ALL SELECT 'registry', count(*), sum(p_partkey) FROM part WHERE p_partkey % 4 >= 2 UNION ALL SELECT 'left', 0, 0",

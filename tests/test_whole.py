@@ -3,6 +3,7 @@
 import pytest
 
 from tessella.operators import tfidf
+from tessella.plans import feedback
 
 
 def test_similar_documents_keep_copies(spark):
@@ -16,3 +17,11 @@ def test_similar_documents_keep_copies(spark):
     spread = {(a, b): s for a in texts for b in texts if a < b and (s := pairs.get(tuple(sorted((classes[a], classes[b])))))}
     assert spread == pytest.approx(every) and (5, 8) in every and (2, 8) in every
     assert pairs[1, 1] == pytest.approx(1) and (4, 4) not in pairs
+
+
+def test_descriptions_are_whole(spark, tmp_path):
+    texts = [(1, " " * 30 + "late text"), (2, "a text of far more than twenty characters"), (3, "   "), (9, "dropped")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k * 7,) for k in range(10)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.doc_id: r.description for r in feedback.describe_append_whole(spark, str(tmp_path)).collect()}
+    assert got == dict(texts[:2])
