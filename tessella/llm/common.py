@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold; with it a batch of ordinary texts stays under a MB, and one of long texts at some tens.
 BATCH_ROWS = 250
@@ -63,3 +64,28 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """checkpoint() to the shared folder, for the small tables of an iteration; in so many parts."""
     shared_dir(df.sparkSession)
     return (df if parts is None else df.coalesce(parts)).checkpoint()
+
+
+#: Where the row keys of told_apart begin that aren't a doc_id.
+ODD = 1 << 62
+
+
+def told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with a key _row (long), and whether some rows are odd, that is their doc_id is null or also another row's.
+
+    The key is the doc_id; of odd rows a hash of all their columns, from ODD on. So only rows equal in all columns share one.
+    """
+    many = settle(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "many")
+    own = F.col("doc_id").cast("long").alias("_row")
+    if many.isEmpty():
+        return docs.select("*", own), False
+    hashed = (F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)).bitwiseAND(F.lit(ODD - 1)) + F.lit(ODD)).alias("_row")
+    many = many.where("doc_id IS NOT NULL")
+    known = docs.where("doc_id IS NOT NULL")
+    nameless = docs.where("doc_id IS NULL").select("*", hashed)
+    return nameless.union(known.join(many, "doc_id", "left_semi").select(*docs.columns, hashed)).union(known.join(many, "doc_id", "left_anti").select(*docs.columns, own)), True
+
+
+def once(marked: DataFrame) -> DataFrame:
+    """One row of each key that told_apart gave."""
+    return marked.where(F.col("_row") < ODD).union(marked.where(F.col("_row") >= ODD).dropDuplicates(["_row"]))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import settle, table
+from tessella.llm.common import once, settle, table, told_apart
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by the sources' order, repeating.
@@ -115,13 +115,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts as often as they are taken; the one at a source's cut ends after the words taken of it.
 
-    Rows that repeat a doc_id, source and size take equal whole parts of what they take together.
+    Rows are told apart by doc_id, those whose doc_id is null or repeated by all their columns; each takes what mix() says.
     """
-    taken = mix(sized(docs.select("doc_id", "source", "text")).drop("text")).groupBy("doc_id", "source", "size").agg(F.expr("sum(taken) div count(*)").alias("taken"))
-    plan = settle(taken.where("taken > 0"), "mix-taken")
-    rows = sized(docs, size="_size")
-    plan = plan.withColumnsRenamed({"doc_id": "_d", "source": "_s"})
-    joined = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_d"]) & rows["source"].eqNullSafe(plan["_s"]) & (rows["_size"] == plan["size"]))
+    marked, odd = told_apart(docs)
+    mixed = mix(sized(marked.select(F.col("_row").alias("doc_id"), "source", "text")).drop("text"))
+    # Rows that are equal share a key: so many of them take so many words.
+    taken = mixed.where("taken > 0").groupBy("doc_id", "source", "size", "taken").agg(F.count("*").alias("_rows"))
+    plan = settle(taken, "mix-taken").withColumnsRenamed({"doc_id": "_d", "source": "_s"})
+    rows = sized(once(marked) if odd else marked, size="_size")
+    joined = rows.join(plan, (rows["_row"] == plan["_d"]) & rows["source"].eqNullSafe(plan["_s"]) & (rows["_size"] == plan["size"]))
+    if odd:
+        joined = joined.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
     copies = F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))
     each = joined.withColumn("_c", F.explode(copies)).withColumn("_n", F.least(F.col("size"), F.col("taken") - F.col("_c") * F.col("size")))
     cut = each.withColumn("text", F.when(F.col("_n") == F.col("size"), F.col("text")).otherwise(_first_words(F.col("text"), F.col("_n"))))

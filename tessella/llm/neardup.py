@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, forget, settle, table, tuned
+from tessella.llm.common import cut, forget, once, settle, table, told_apart, tuned
 
 BANDS, ROWS = 40, 6
 #: Two sets of similarity 0.8 differ in 51 of 512 sketch bits on average, and in more than 86 about once in a million times.
@@ -307,16 +307,17 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays (five words, similarity 0.8); rows that repeat a doc_id go too."""
+    """Pipeline stage: one document of each group stays (five words, similarity 0.8), and one of rows that are equal.
+
+    Rows are told apart by doc_id, those whose doc_id is null or repeated by all their columns.
+    """
     tuned(spark)
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = settle(found.where("NOT kept").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti")
-    twice = settle(left.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return left.select(docs.columns)
-    one = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").select(docs.columns).union(one.select(docs.columns))
+    rows, odd = told_apart(docs)
+    if odd:
+        rows = settle(once(rows), "rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    gone = settle(found.where("NOT kept").select(F.col("doc_id").alias("_row")).distinct(), "gone")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
