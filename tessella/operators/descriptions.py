@@ -73,8 +73,10 @@ def similar(descriptions: DataFrame, n: int = 4) -> DataFrame:
     """(key, other, sim, rank): the n descriptions of highest weighted Jaccard similarity, other than the own key.
 
     Pairs come from shared tags: the sum of least weights is added up by tag, and the sum of greatest follows from the
-    totals. Pairs without a shared tag are 0 and follow only where there are too few others.
+    totals. Pairs without a shared tag are 0 and follow, by key, where there are too few others: a key of n - 1 better ones
+    finds what it lacks among the first 2 n keys.
     """
+    keys = descriptions.where("key IS NOT NULL").select("key").distinct()
     tags = descriptions.select("key", F.explode("tags").alias("tag", "w"))
     totals = tags.groupBy("key").agg(F.sum("w").alias("total"))
     other = tags.select(F.col("key").alias("other"), "tag", F.col("w").alias("w2"))
@@ -82,7 +84,10 @@ def similar(descriptions: DataFrame, n: int = 4) -> DataFrame:
     both = least.join(totals, "key").join(totals.select(F.col("key").alias("other"), F.col("total").alias("total2")), "other")
     sim = F.coalesce(F.try_divide(F.col("least"), F.col("total") + F.col("total2") - F.col("least")), F.lit(0.0))
     order = W.partitionBy("key").orderBy(F.desc(F.round("sim", 9)), "other")
-    return both.select("key", "other", sim.alias("sim")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    first = keys.orderBy("key").limit(2 * n).select(F.col("key").alias("other"))
+    rest = keys.crossJoin(F.broadcast(first)).where("key <> other").withColumn("sim", F.lit(None).cast("double"))  # 2 n rows
+    every = both.select("key", "other", sim.alias("sim")).union(rest).groupBy("key", "other").agg(F.coalesce(F.max("sim"), F.lit(0.0)).alias("sim"))
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def tokens(texts: DataFrame) -> DataFrame:

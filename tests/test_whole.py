@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessella.operators import tfidf
+from tessella.operators import descriptions, tfidf
 from tessella.plans import feedback
 
 
@@ -25,3 +25,10 @@ def test_descriptions_are_whole(spark, tmp_path):
     spark.createDataFrame([(k * 7,) for k in range(10)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.doc_id: r.description for r in feedback.describe_append_whole(spark, str(tmp_path)).collect()}
     assert got == dict(texts[:2])
+
+
+def test_similar_fills_up_with_keys_that_share_no_tag(spark):
+    tags = {"a": {"x": 1.0}, "b": {"x": 1.0, "y": 1.0}, "c": {"z": 1.0}, "d": {}, "e": {"y": 1.0}, "f": {"u": 1.0}}
+    got = descriptions.similar(spark.createDataFrame(list(tags.items()), "key string, tags map<string,double>"), 3).collect()
+    ranked = {k: [r.other for r in sorted(got, key=lambda r: r["rank"]) if r.key == k] for k in tags}
+    assert ranked == {"a": ["b", "c", "d"], "b": ["a", "e", "c"], "c": ["a", "b", "d"], "d": ["a", "b", "c"], "e": ["b", "a", "c"], "f": ["a", "b", "c"]}
