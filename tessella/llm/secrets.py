@@ -1,9 +1,13 @@
 """Secret scans by a trigram inverted index, with DataFrame operations only.
 
-Each rule's regex is turned into a Boolean query over lower-cased trigrams that every match must hold. Postings
-(trigram, text key) are kept for the trigrams that some rule asks for; intersecting them gives each rule's candidate
-texts, on which the regex itself then runs. A rule whose regex forces no trigram (like a bare run of hex digits) scans
-every text. Null texts count as empty: no spans. Repeated rows give repeated results; texts that are equal share a key.
+Each rule's regex is turned into a Boolean query over lower-cased trigrams that every match must hold: side by side they
+cover each spelling, so that a third as many are looked for as a spelling has. Postings (trigram, text key) are kept for
+the trigrams that some rule asks for; intersecting them gives each rule's candidate texts, on which the regex itself then
+runs. A rule whose regex forces no trigram (like a bare run of hex digits) scans every text.
+
+Null texts count as empty: no spans. Repeated rows give repeated results; texts that are equal share a key. An empty table
+gives an empty result. A column secret_spans is replaced, all others pass through whatever their names. The work grows
+with a text and its matches, not with their square.
 """
 
 from __future__ import annotations
@@ -15,10 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import settle, table
+from tessella.llm.common import settle, table, unused
 
 #: A regex part with more spellings than this is treated as unknown text.
 MOST_SPELLINGS = 64
+#: Matches whose positions are summed up together.
+TOGETHER = 128
 
 
 @dataclass(frozen=True)
@@ -86,8 +92,17 @@ def _spellings_repeated(part: set[str], least: int, most: int) -> set[str] | Non
     return out
 
 
-def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
-    """A regex as: all of these; each any of these; each all of these trigrams. Empty: the regex forces no trigram."""
+def _trigrams(spelling: str) -> frozenset[str]:
+    return frozenset(spelling[k : k + 3] for k in range(len(spelling) - 2))
+
+
+def _cover(spelling: str) -> frozenset[str]:
+    """Trigrams side by side, and the last one: all characters are in one of them."""
+    return frozenset(spelling[k : k + 3] for k in {*range(0, len(spelling) - 2, 3), len(spelling) - 3})
+
+
+def _runs(pattern: str) -> list[list[str]]:
+    """Runs of known text that a regex forces: of each its spellings, without those that hold another one's trigrams and more."""
     runs: list[set[str]] = [{""}]
     for item in parser.parse(pattern):
         here = _spellings([item])
@@ -100,12 +115,12 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
             runs.append(here)
         else:
             runs[-1] = {a + b for a in runs[-1] for b in here}
-    query = []
-    for run in runs:
-        if all(len(x) >= 3 for x in run):
-            each = {frozenset(x[k : k + 3] for k in range(len(x) - 2)) for x in run}
-            query.append(sorted((x for x in each if not any(y < x for y in each)), key=sorted))
-    return query
+    return [sorted(x for x in run if not any(_trigrams(y) < _trigrams(x) for y in run)) for run in runs if all(len(x) >= 3 for x in run)]
+
+
+def trigram_query(pattern: str, trigrams=_trigrams) -> list[list[frozenset[str]]]:
+    """A regex as: all of these; each any of these; each all of these trigrams. Empty: the regex forces no trigram."""
+    return [sorted({trigrams(x) for x in run}, key=sorted) for run in _runs(pattern)]
 
 
 def text_key(text: Column) -> Column:
@@ -114,7 +129,7 @@ def text_key(text: Column) -> Column:
 
 def postings(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
     """The inverted index (trigram, key) over the trigrams of the rules' queries."""
-    asked = sorted({t for r in rules for run in trigram_query(r.pattern) for alt in run for t in alt})
+    asked = sorted({t for r in rules for run in trigram_query(r.pattern, _cover) for alt in run for t in alt})
     lower = docs.select(text_key(F.col(text)).alias("key"), F.lower(text).alias("lower")).where(F.col("lower").isNotNull())
     held = F.filter(F.array(*map(F.lit, asked)), lambda t: F.contains(F.col("lower"), t))
     return lower.select("key", F.explode(held).alias("trigram")).distinct()
@@ -124,7 +139,7 @@ def candidates(index: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """(key, rules): the texts whose postings satisfy the queries of rules that have one."""
     spark = index.sparkSession
     names = ("kind", "runs", "run", "alt", "size", "trigram")
-    rows = [(r.kind, len(q), k, j, len(alt), t) for r in rules if (q := trigram_query(r.pattern)) for k, run in enumerate(q) for j, alt in enumerate(run) for t in sorted(alt)]
+    rows = [(r.kind, len(q), k, j, len(alt), t) for r in rules if (q := trigram_query(r.pattern, _cover)) for k, run in enumerate(q) for j, alt in enumerate(run) for t in sorted(alt)]
     asked = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row, strict=True))) for row in rows))))
     met = index.join(F.broadcast(asked), "trigram").groupBy("key", "kind", "runs", "run", "alt", "size").count().where("count = size")  # as many rows as the rules have trigrams
     runs = met.groupBy("key", "kind", "runs").agg(F.count_distinct("run").alias("met")).where("met = runs")
@@ -132,30 +147,53 @@ def candidates(index: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, order, end, kind): code points of the matches that hold."""
+    """Array of (start, order, end, kind): code points of the matches that hold.
+
+    A match begins after all gaps and matches before it. These are summed within parts of TOGETHER matches, then over the
+    parts, as one running array over all matches would be copied for each of them.
+    """
     regex = F.lit(rule.regex)
     matches, gaps, kept = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, rule.regex, -1), F.regexp_extract_all(text, regex, F.lit(rule.group))
     pairs = F.arrays_zip(F.transform(matches, lambda m: F.length(m)).alias("n"), F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), F.size(matches)).alias("gap"), F.transform(kept, lambda g: F.length(g)).alias("held"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,o:int,end:int,kind:string>>").alias("out"))
+    spots = F.array().cast("array<struct<start:int,o:int,end:int,kind:string>>")
+
+    def within(part: Column) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            begin = acc["at"] + p["gap"]
+            one = F.struct(begin.alias("start"), F.lit(order).alias("o"), (begin + p["n"]).alias("end"), F.lit(rule.kind).alias("kind"))
+            return F.struct((begin + p["n"]).alias("at"), F.when(p["held"] >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), spots.alias("out")), step)
+
+    def over(acc: Column, part: Column) -> Column:
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["from"], F.array(acc["at"])).alias("from"))
+
+    def moved(done: Column) -> Column:
+        begins = F.aggregate(done, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("from")), over, lambda acc: acc["from"])
+        return F.flatten(F.zip_with(done, begins, lambda part, at: F.transform(part["out"], lambda s: F.struct((s["start"] + at).alias("start"), s["o"].alias("o"), (s["end"] + at).alias("end"), s["kind"].alias("kind")))))
+
+    def in_parts(all_pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(all_pairs) - 1), F.lit(TOGETHER)), lambda k: within(F.slice(all_pairs, k + 1, F.lit(TOGETHER))))
+
+    return _bound(_bound(pairs, in_parts), moved)
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
-        one = F.struct(begin.alias("start"), F.lit(order).alias("o"), (begin + p["n"]).alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct((begin + p["n"]).alias("at"), F.when(p["held"] >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
     """docs with a column secret_spans, sorted by start, then kind as listed."""
-    found = settle(candidates(postings(docs, rules, text), rules).withColumnRenamed("key", "_key"), "secret-candidates")
+    key, kinds = unused(docs, "key"), unused(docs, "kinds")
+    found = settle(candidates(postings(docs, rules, text), rules).select(F.col("key").alias(key), F.col("kinds").alias(kinds)), "secret-candidates")
     none = F.array().cast("array<struct<start:int,o:int,end:int,kind:string>>")
     t, each = F.col(text), []
     for k, rule in enumerate(rules):
-        may = F.array_contains("_kinds", rule.kind) if trigram_query(rule.pattern) else t.rlike(rule.regex)
+        may = F.array_contains(kinds, rule.kind) if trigram_query(rule.pattern) else t.rlike(rule.regex)
         each.append(F.when(may, _spans(t, rule, k)).otherwise(none))
-    joined = docs.withColumn("_key", text_key(t)).join(found.withColumnRenamed("kinds", "_kinds"), "_key", "left")
-    return joined.withColumn("secret_spans", F.array_sort(F.concat(*each))).drop("_key", "_kinds")
+    joined = docs.withColumn(key, text_key(t)).join(found, key, "left")
+    return joined.withColumn("secret_spans", F.array_sort(F.concat(*each))).drop(key, kinds)
 
 
 def _joined(spans: Column) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from tessella.llm import secrets as S
 
@@ -47,3 +48,15 @@ def test_query(spark, sf):
         spans = [f"{x[3]}:{x[0]}:{x[2]}" for x in brute(texts[r.doc_id])]
         assert r.spans == ",".join(spans)
         assert r.base_sha256 == hashlib.sha256(",".join(s for s in spans if s.split(":")[0] in ("assign", "access", "hex")).encode()).hexdigest()
+
+
+def test_clashing_names_and_many_spans(spark):
+    df = spark.createDataFrame([(1, "token=abcdef " * 100_000, 5, 7, "x")], "doc_id long, text string, key int, kinds int, secret_spans string").withColumnsRenamed({"key": "_key", "kinds": "_kinds"})
+    began = time.perf_counter()
+    (row,) = S.scan(df).collect()
+    assert time.perf_counter() - began < 10
+    assert len(row.secret_spans) == 100_000 and row.secret_spans[-1].start == 13 * 99_999 and row.secret_spans[-1].end == 13 * 99_999 + 12
+    assert row._key == 5 and row._kinds == 7
+    same = spark.createDataFrame([(1, "token=abcdef", 5, 7)], "doc_id long, text string, key int, Kinds int")
+    (row,) = S.scan(same).collect()
+    assert (row.key, row.Kinds, len(row.secret_spans)) == (5, 7, 1)
