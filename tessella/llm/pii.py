@@ -1,12 +1,17 @@
 """Personal data: exact patterns, and a skip-chain conditional random field for what they miss.
 
 The patterns (email, ip, card, phone) are found in linear time. The field's nodes are the words of a document that hold
-a digit or an at sign; neighbouring words and distant words of the same digits or spelling share potentials, and loopy
-message passing gives each word's label probabilities. A word outside all pattern spans whose label is sure enough is an
-added span. Weights come from maximum pseudo-likelihood over counts taken from a bounded sample of documents
-(SAMPLE_DOCS, smallest hashes), labelled by the patterns.
+a digit or an at sign (also spelled out, as in "a[at]b[dot]c"); neighbouring words and distant words of the same digits or
+spelling share potentials. Words in a pattern's span are evidence, their label is known; loopy message passing carries it
+to the other words. Neighbouring words that come out sure enough of one label are an added span.
 
-Null texts count as empty: no spans. Repeated rows give repeated results. Without any sample the field adds nothing.
+Weights come from maximum pseudo-likelihood over counts taken from a bounded sample of documents (SAMPLE_DOCS, smallest
+hashes), labelled by the patterns. As a pattern finds its own repeats, each span of the sample is also repeated with the
+pattern's marks hidden (no plus, other separators, signs spelled out), beside a decoy of the same shape that no span
+shares digits or spelling with; so the field learns that the repetition decides, not the shape.
+
+Null texts count as empty: no spans. Repeated rows give repeated results. Without any sample the field adds nothing. An
+empty table gives an empty result. A column pii_spans is replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -28,13 +33,18 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE_DOCS = 4000
 ROUNDS, SURE = 12, 0.5
+#: Log potential of a label that evidence rules out.
+IMPOSSIBLE = -1e4
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_HINT = re.compile(r"[0-9@]")
+_HINT = re.compile(r"[0-9@]|[\[({](?:at|AT)[\])}]")
+_AT, _DOT = re.compile(r"[\[({](?:at|AT|@)[\])}]"), re.compile(r"[\[({](?:dot|DOT|\.)[\])}]")
+_EDGES = "[]<>{}\"'.,;:!?#$%&*|"
+_ADDRESS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 
 Span = tuple[int, int, int]  # kind's number, start, end
 
@@ -74,7 +84,7 @@ def _addresses(text: str) -> Iterator[Span]:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             size = sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p := x.lstrip("0") or "0") <= 3 and int(p) <= 255 for x in four):
                 yield 1, at, at + size
             at += size + 1
 
@@ -94,6 +104,20 @@ def pattern_spans(text: str | None) -> list[Span]:
     return out
 
 
+def _plain(word: str) -> str:
+    """A word without the marks around it, with signs that are spelled out put back."""
+    return _DOT.sub(".", _AT.sub("@", word)).strip(_EDGES).lower()
+
+
+def _keys(word: str) -> set[str]:
+    """What a word shares with its repeats: its plain spelling; of a long number also all its digits, and the last seven."""
+    plain = _plain(word)
+    d = _digits(plain)
+    if len(d) < 7 or any(c.isalpha() or c == "@" for c in plain) or _ADDRESS.fullmatch(plain):
+        return {plain} if plain else {word}
+    return {plain, d, d[-7:]}
+
+
 def _shape(word: str) -> tuple[int, ...]:
     """Categories of a word that the field's node potentials depend on."""
     d = _digits(word)
@@ -103,18 +127,19 @@ def _shape(word: str) -> tuple[int, ...]:
     parts = core.split(".")
     return (
         size,
-        min(word.count("@"), 2),
+        min(_AT.sub("@", word).count("@"), 2),
         min(word.count("."), 4),
         int(word.startswith("+")),
         int("-" in word) + 2 * int("(" in word or ")" in word),
         int(any(c.isalpha() for c in word)),
         int(13 <= n <= 19 and luhn(d)),
         int(len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 for p in parts)),
+        int(_plain(word) != word.strip(_EDGES).lower()),
     )
 
 
 #: Number of categories of each part of a shape.
-SIZES = (7, 3, 5, 2, 4, 2, 2, 2)
+SIZES = (7, 3, 5, 2, 4, 2, 2, 2, 2)
 
 
 class Field:
@@ -142,46 +167,54 @@ class Field:
             if beside:
                 self.chain.append((k - 1, k))
             before = pos
-            d = _digits(w)
-            keys = {d if len(d) >= 5 else w, d[-7:] if len(d) >= 7 else w}
+            keys = _keys(w)
             self.skip += [(j, k) for j in sorted({last[x] for x in keys if x in last}) if not (beside and j == k - 1)]
             last |= dict.fromkeys(keys, k)
 
-    def around(self) -> Iterator[tuple]:
-        """(shape, label, neighbours' labels in the chain, and by skips) of each node; at most two of each are counted."""
+    def around(self, start: int = 0) -> Iterator[tuple]:
+        """(shape, label, neighbours' labels in the chain, and by skips) of each node; at most two neighbours of each sort are counted.
+
+        Before position `start`, nodes with a label are left out, and their repeats, as nobody has told what these are.
+        """
         near, far = [[] for _ in self.words], [[] for _ in self.words]
         for edges, out in ((self.chain, near), (self.skip, far)):
             for a, b in edges:
                 out[a].append(self.labels[b])
                 out[b].append(self.labels[a])
-        for s, y, p, q in zip(self.shapes, self.labels, near, far, strict=True):
+        for s, y, p, q, (a, _) in zip(self.shapes, self.labels, near, far, self.words, strict=True):
+            if a < start and (y or any(q)):
+                continue
             yield (*s, y, *sorted(p)[:2], *[-1] * (2 - len(p[:2])), *sorted(q)[:2], *[-1] * (2 - len(q[:2])))
 
 
 class Crf:
-    """Node weights by shape, and symmetric edge weights of the chain and of the skips."""
+    """Node weights by shape, and symmetric edge weights of the chain and of the skips; those of the skips tell only same from other labels."""
 
     def __init__(self, node: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> None:
         self.node, self.chain, self.skip = node, chain, skip
         self.starts = np.concatenate([[0], np.cumsum(SIZES)[:-1]])
 
     @staticmethod
-    def fit(counts: Counter, steps: int = 300, decay: float = 1e-3) -> Crf | None:
+    def fit(counts: Counter, steps: int = 1000, decay: float = 1e-4) -> Crf | None:
         """Maximum pseudo-likelihood, by gradient steps over the distinct neighbourhoods with their counts."""
         if not counts:
             return None
-        rows = np.array(sorted(counts), int)
+        rows, own = np.array(sorted(counts), int), len(SIZES)
         weight = np.array([counts[tuple(r)] for r in rows.tolist()], float)
+        # Repeats of words in spans are rare, but what the field is for: of each shape they weigh as much as all else, and all shapes alike.
+        shape = np.unique(rows[:, :own], axis=0, return_inverse=True)[1].ravel()
+        group = 3 * shape + np.where((rows[:, own + 3 :] > 0).any(1), 2, (rows[:, own + 3 :] == 0).any(1))
+        weight /= np.bincount(group, weight)[group]
         weight /= weight.sum()
         starts, n, m = np.concatenate([[0], np.cumsum(SIZES)[:-1]]), len(rows), len(LABELS)
         x = np.zeros((n, sum(SIZES) + 2 * m))
         for k in range(len(SIZES)):
             x[np.arange(n), starts[k] + rows[:, k]] = 1
-        for base, cols in ((sum(SIZES), (9, 10)), (sum(SIZES) + m, (11, 12))):
+        for base, cols in ((sum(SIZES), (own + 1, own + 2)), (sum(SIZES) + m, (own + 3, own + 4))):
             for c in cols:
                 ok = rows[:, c] >= 0
                 np.add.at(x, (np.flatnonzero(ok), base + rows[ok, c]), 1)
-        y = np.eye(m)[rows[:, 8]]
+        y = np.eye(m)[rows[:, own]]
         w, speed = np.zeros((x.shape[1], m)), np.zeros((x.shape[1], m))
         for _ in range(steps):
             z = x @ w
@@ -191,52 +224,108 @@ class Crf:
             w += 0.5 * speed
             for base in (sum(SIZES), sum(SIZES) + m):  # an edge's potential is the same from either end
                 w[base : base + m] = (w[base : base + m] + w[base : base + m].T) / 2
+            same = np.eye(m, dtype=bool)  # repeats agree, whatever their label is: else two words without evidence would talk each other into one
+            w[-m:] = np.where(same, w[-m:][same].mean(), w[-m:][~same].mean())
         k = sum(SIZES)
         return Crf(w[:k], w[k : k + m], w[k + m :])
 
     def marginals(self, f: Field) -> np.ndarray:
-        """Label probabilities of each node, by loopy message passing (in logs, all messages at once)."""
+        """Label probabilities of each node, by loopy message passing (in logs, all messages at once); labels of spans are given."""
+        m = len(LABELS)
         node = self.node[self.starts + np.array(f.shapes)].sum(1)
-        edges = np.array([(a, b) for a, b in f.chain] + [(a, b) for a, b in f.skip], int).reshape(-1, 2)
-        if len(edges):
-            pot = np.concatenate([np.repeat(self.chain[None], len(f.chain), 0), np.repeat(self.skip[None], len(f.skip), 0)])
+        known = np.flatnonzero(f.labels)
+        node[known] = IMPOSSIBLE
+        node[known, np.array(f.labels)[known]] = 0
+        edges = np.array(f.chain + f.skip, int).reshape(-1, 2)
+        if half := len(edges):
             src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-            pot, half = np.concatenate([pot, pot.transpose(0, 2, 1)]), len(edges)
-            back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
-            msg = np.zeros((2 * half, len(LABELS)))
+            n = len(f.chain)
+            kinds = [(slice(0, n), self.chain), (slice(n, half), self.skip), (slice(half, half + n), self.chain.T), (slice(half + n, None), self.skip.T)]
+            shared = [(rows, np.exp(pot - pot.max())) for rows, pot in kinds]
+            msg = np.zeros((2 * half, m))
+            gather = lambda: node + np.stack([np.bincount(dst, msg[:, k], len(node)) for k in range(m)], 1)
             for _ in range(ROUNDS):
-                total = node.copy()
-                np.add.at(total, dst, msg)
-                out = (total[src] - msg[back])[:, :, None] + pot
-                top = out.max(1, keepdims=True)
-                new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
+                out = gather()[src] - np.concatenate([msg[half:], msg[:half]])
+                out = np.exp(out - out.max(1, keepdims=True))
+                for rows, pot in shared:  # one matrix for all edges of a kind
+                    out[rows] = out[rows] @ pot
+                new = np.log(np.maximum(out, 1e-300))
                 msg = 0.5 * msg + 0.5 * (new - new.max(1, keepdims=True))
-            node = node.copy()
-            np.add.at(node, dst, msg)
+            node = gather()
         p = np.exp(node - node.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
 
 def find(text: str | None, crf: Crf | None) -> tuple[list[Span], list[Span]]:
-    """Pattern spans, and the spans that the field adds (words outside all pattern spans)."""
+    """Pattern spans, and the spans that the field adds: neighbouring words outside all pattern spans, sure of one label."""
     base = pattern_spans(text)
     if not text or crf is None or not _HINT.search(text):
         return base, []
     f = Field(text, base)
-    free = [k for k, y in enumerate(f.labels) if not y]
-    if not free or len(free) == len(f.labels) and not any(s[0] >= 3 or s[1] for s in f.shapes):
-        return base, []  # nothing that could carry a label
-    p, added = crf.marginals(f), []
-    for k in free:
-        y = int(p[k].argmax())
-        if y and p[k, y] >= SURE and (f.shapes[k][0] >= 3 or f.shapes[k][1]):
-            a, b = f.words[k]
+    telling = [not y and (s[0] >= 3 or s[1] > 0) for s, y in zip(f.shapes, f.labels, strict=True)]
+    if not any(telling):
+        return base, []  # no word that could be a span
+    p = crf.marginals(f)
+    best = p.argmax(1)
+    sure = [k for k, y in enumerate(f.labels) if not y and best[k] and p[k, best[k]] >= SURE]
+    beside, runs = set(f.chain), []
+    for k in sure:
+        if runs and (k - 1, k) in beside and runs[-1][-1] == k - 1 and best[k] == best[k - 1]:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    added = []
+    for run in runs:
+        if any(telling[k] for k in run):
+            a, b = f.words[run[0]][0], f.words[run[-1]][1]
             w = text[a:b]
-            left, right = len(w) - len(w.lstrip("([<{\"'.,;:!?#$%&*|")), len(w) - len(w.rstrip(")]>}\"'.,;:!?#$%&*|"))
-            added.append((y - 1, a + left, b - right))
+            left, right = _EDGES + "(" * (")" not in w), _EDGES + ")" * ("(" not in w)
+            added.append((int(best[run[0]]) - 1, a + len(w) - len(w.lstrip(left)), b - len(w) + len(w.rstrip(right))))
     return base, added
 
 
+def _hidden(kind: int, span: str) -> list[str]:
+    """A span as a text may repeat it without the marks that the patterns look for."""
+    if kind == 0:
+        return [span.replace("@", "[at]").replace(".", "[dot]"), span.replace("@", "[at]")]
+    if kind == 1:
+        return [span.replace(".", "[.]")]
+    d = _digits(span)
+    if kind == 2:
+        return [".".join(d[k : k + 4] for k in range(0, len(d), 4))]
+    return [span.lstrip("+"), d, d[-7:-4] + "-" + d[-4:], d[-10:-7] + "." + d[-7:-4] + "." + d[-4:]]
+
+
+#: Turns a span into another of the same shape; signs that are spelled out stay.
+_DECOY = re.compile(r"\[(?:at|dot)\]|[A-Za-z0-9]+")
+_OTHER = {ord(x[k]): x[(k + 3) % len(x)] for x in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for k in range(len(x))}
+
+
+def decoy(repeat: str, times: int = 1) -> str:
+    for _ in range(times):
+        repeat = _DECOY.sub(lambda m: m[0] if m[0][0] == "[" else m[0].translate(_OTHER), repeat)
+    return repeat
+
+
+def lessons(text: str) -> Iterator[tuple]:
+    """What around() gives for the words of a text whose labels aren't given when the field is used.
+
+    Each span is repeated with its marks hidden, one form at a time, beside decoys without a label: one alone, one twice.
+    """
+    base = pattern_spans(text)
+    forms = [[x for x in _hidden(kind, text[a:b]) if not pattern_spans(x)] for kind, a, b in base]
+    for k in range(max(map(len, forms), default=0) or 1):
+        spans, parts, at = list(base), [text], len(text)
+        for (kind, _, _), each in zip(base, forms, strict=True):
+            if k < len(each):
+                alone, twice = decoy(each[k]), decoy(each[k], 2)
+                line = f"\nand {each[k]} or {alone} or {twice} or {twice}\n"
+                spans.append((kind, at + 5, at + 5 + len(each[k])))
+                parts.append(line)
+                at += len(line)
+        yield from Field("".join(parts), spans).around(len(text))
+
+
 def sample_counts(docs: DataFrame, most: int = SAMPLE_DOCS, text: str = "text") -> Counter:
     """Neighbourhood counts (a bounded number of categories) over at most `most` documents, those of smallest hash."""
     chosen = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -248,7 +337,7 @@ def sample_counts(docs: DataFrame, most: int = SAMPLE_DOCS, text: str = "text")
             for x in b.column(0):
                 t = x.as_py()
                 if t and _HINT.search(t):
-                    c.update(Field(t, pattern_spans(t)).around())
+                    c.update(lessons(t))
         if c:
             rows = np.array(list(c), int)
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, k], pa.int32()) for k in range(rows.shape[1])] + [pa.array(list(c.values()), pa.int64())], names=[*names, "n"])

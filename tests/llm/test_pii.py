@@ -58,18 +58,73 @@ def test_message_passing_is_exact_on_trees():
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-6)
 
 
+def corpus(r, n):
+    """Texts with some personal data each, and numbers that are none."""
+    digits = lambda k: "".join(r.choices("0123456789", k=k))
+
+    def card():
+        d = digits(15)
+        return next(d + c for c in "0123456789" if P.luhn(d + c))
+
+    for _ in range(n):
+        area, number = digits(3), f"555-{digits(4)}"
+        yield r.choice(
+            [
+                f"call +1 ({area}) {number} today, order {digits(8)} of {r.randint(10, 9999)}",
+                f"mail ann.{digits(3)}@mail{r.randint(1, 9)}.example.org about {digits(2)} and {digits(3)}-{digits(4)}",
+                f"host 10.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)} on port {digits(4)}",
+                f"card {card()} until 12/30, ref {digits(10)}",
+                f"code {digits(9)} end, again {digits(7)}, {digits(3)}.{digits(3)}.{digits(4)}",
+            ]
+        )
+
+
+def trained(seed):
+    counts = Counter()
+    for t in corpus(random.Random(seed), 400):
+        counts.update(P.lessons(t))
+    return P.Crf.fit(counts)
+
+
 def test_field_carries_a_label_to_a_repeated_word():
-    r, counts = random.Random(2), Counter()
-    for _ in range(300):
-        n = "".join(r.choices("0123456789", k=9))
-        for t in (f"x +{n} y +{n} z", f"order {r.randint(10, 999)} of {r.randint(10, 999)}", f"code {''.join(r.choices('0123456789', k=9))} end"):
-            counts.update(P.Field(t, P.pattern_spans(t)).around())
-    crf = P.Crf.fit(counts)
-    base, added = P.find("call 12 plain words and 34", crf)
-    assert not base and not added
+    crf = trained(2)
+    text = "call +1 (743) 555-3824 now. Later: 17435553824, or 743.555.3824; not 18436664935."
+    base, added = P.find(text, crf)
+    assert [text[a:b] for _, a, b in base] == ["+1 (743) 555-3824"]
+    assert [(P.KINDS[k], text[a:b]) for k, a, b in added] == [("phone", "17435553824"), ("phone", "743.555.3824")]
+    text = "ann.lee7@mail.example.org wrote; reply to ann.lee7[at]mail[dot]example[dot]org (not to bob.ray8[at]mail[dot]example[dot]org)"
+    assert [(P.KINDS[k], text[a:b]) for k, a, b in P.find(text, crf)[1]] == [("email", "ann.lee7[at]mail[dot]example[dot]org")]
+    for plain in ("call 12 plain words and 34", "17435553824 and 17435553824", "a 555-3824 b 555-3824 c 555-3824"):
+        assert P.find(plain, crf) == ([], [])
     assert P.find("anything", None) == ([], []) and P.Crf.fit(Counter()) is None
 
 
+def test_recall_of_planted_repeats_and_precision():
+    crf, r = trained(3), random.Random(4)
+    hit = planted = false = other = 0
+    for t in corpus(r, 300):
+        assert P.find(t, crf)[1] == []
+        for kind, a, b in P.pattern_spans(t):
+            for repeat in P._hidden(kind, t[a:b]):
+                if P.pattern_spans(repeat):
+                    continue
+                whole = f"{t} and then again {repeat} there"
+                at = len(t) + 16
+                hit += (kind, at, at + len(repeat)) in P.find(whole, crf)[1]
+                planted += 1
+                false += len(P.find(f"{t} and then again {P.decoy(P.decoy(P.decoy(repeat)))} there", crf)[1])
+                other += 1
+    assert planted > 300 and hit >= 0.9 * planted and false <= 0.05 * other
+
+
+def test_long_texts_and_long_runs():
+    assert P.pattern_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)]
+    assert P.pattern_spans("9" * 5000 + ".1.1.1") == []
+    text = "+1 (743) 555-3824 " + " ".join(f"x{k % 97}" for k in range(400_000)) + " 743-555-3824"
+    base, added = P.find(text, trained(2))
+    assert len(base) == 1 and [text[a:b] for _, a, b in added] == ["743-555-3824"]
+
+
 def test_rows(spark):
     rows = [(1, None, "s", 0), (2, "", None, 0), (3, "mail a.b@c.de and 10.0.0.1 é 🎉 +1 (743) 555-3824.", "s", 9), (3, "mail a.b@c.de", "s", 9), (None, "x" * 100_000 + " 1.1.1.1", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii_spans string, n_chars long")
@@ -93,3 +148,20 @@ def test_query(spark, sf):
         assert r.n_email + r.n_ip + r.n_card + r.n_phone == len(base)
         added += len([x for x in r.spans.split(",") if x]) - len(base)
     assert added < 0.2 * len(texts)
+
+
+def test_query_adds_planted_repeats(spark, sf, tmp_path):
+    """Hidden repeats put at the end of every text with a span: the query's spans against what was put there."""
+    rows, want = [], {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = r.text
+        for kind, a, b in P.pattern_spans(text)[:1]:
+            repeat = P._hidden(kind, text[a:b])[0]
+            if r.doc_id % 2 and not P.pattern_spans(repeat):
+                want[r.doc_id] = f"{P.KINDS[kind]}:{len(text) + 7}:{len(text) + 7 + len(repeat)}"
+                text = f"{text} again {repeat} ends"
+        rows.append((r.doc_id, text))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: set(r.spans.split(",")) - {f"{P.KINDS[k]}:{a}:{b}" for k, a, b in P.pattern_spans(dict(rows)[r.doc_id])} - {""} for r in P.op7_pii(spark, str(tmp_path)).collect()}
+    added = {(d, s) for d, each in got.items() for s in each}
+    assert len(want) >= 5 and len(added & set(want.items())) >= 0.9 * len(want) and len(added - set(want.items())) <= 0.1 * len(want)
