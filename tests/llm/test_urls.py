@@ -37,3 +37,36 @@ def test_templates(spark):
     assert bad.rule is None and bad.verdict == "block" and bad.template.startswith("/~+/*")
     assert good.verdict == "allow" and good.template.startswith("/~-/*")
     assert got["h://s.com/other/1/x"].verdict == "allow"
+
+
+def test_planted_spam_paths(spark):
+    """Urls without a rule, judged by branches of their own host and by shapes that other hosts share."""
+    r = random.Random(3)
+    rules = [U.UrlRule("block", f"h{k}.com", "/casino/1") for k in range(4)] + [U.UrlRule("allow", f"h{k}.com", "/news/1") for k in range(4)]
+    at = lambda host, part, lead: f"http://{host}.com/{part}/{lead}{r.randint(1000, 9999)}"
+    urls = [at(f"h{k}", part, lead) for k in range(4) for part in ("casino", "news", "blog") for lead in "12" for _ in range(40)]
+    urls += [at("other", part, 5) for part in ("casino", "news", "blog") for _ in range(30)] + ["http://lone.com/casino/17", "http://lone.com/casino/page", "http://lone.com/2024-05-06/x.html"]
+    df = spark.createDataFrame([(u, 1, 2) for u in urls], "url string, label int, blocked int")
+    got = U.judged(df, rules, evidence=True).collect()
+    assert len(got) == len(urls) and all(x.label == 1 and x.blocked == 2 for x in got)
+    for x in got:
+        part = x.path.split("/")[1]
+        own = "rule" if x.path.split("/")[2].startswith("1") and x.host.startswith("h") else "branch"
+        if x.host.startswith("h"):
+            want = ("block" if part == "casino" else "allow", own if part != "blog" else "none")
+        elif x.host == "other.com":
+            want = ("block" if part == "casino" else "allow", "none" if part == "blog" else "shape")
+        else:
+            want = ("allow", "none")  # few siblings: their segments stay as they are
+        if part == "blog":
+            want = ("allow", "none")
+        assert (x.verdict, x.evidence) == want, (x.url, x.verdict, x.evidence)
+
+
+def test_merged_branches(spark):
+    """Branches whose shares of blocked urls are alike become one; those apart stay apart."""
+    share = {"a": 0.0, "b": 0.02, "c": 0.5, "d": 0.55, "e": 1.0}
+    rules = [U.UrlRule("block", "m.com", f"/{s}/bad") for s in share] + [U.UrlRule("allow", "m.com", f"/{s}/ok") for s in share]
+    urls = [(f"x://m.com/{s}/{'bad' if k < 100 * p else 'ok'}",) for s, p in share.items() for k in range(100)]
+    got = {x.path.split("/")[1]: x.template.split("/")[1] for x in U.judged(spark.createDataFrame(urls, "url string"), rules).collect()}
+    assert got == {"a": "~-", "b": "~-", "c": "~1", "d": "~1", "e": "~+"}
