@@ -43,3 +43,44 @@ def test_rows_and_query(spark, sf):
         assert set(x for _, x in want) <= set(got), r.doc_id
         seen += len(want)
     assert seen > 20
+
+
+def exact(text):
+    """Every place where a template's words stand one after another; of places that overlap, the longest."""
+    words = [(p, m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text) if (p := m[0].strip(".,;:!?\"'()[]<>*#$%&/").lower())]
+    plain, hits = [w for w, _, _ in words], []
+    for name, template in L.TEMPLATES.items():
+        t = [p for w in template.split() if (p := w.strip(".,;:!?\"'()[]<>*#$%&/").lower())]
+        hits += [(len(t), k, name) for k in range(len(plain) - len(t) + 1) if plain[k : k + len(t)] == t]
+    out, taken = [], set()
+    for n, k, name in sorted(hits, key=lambda x: (-x[0], x[1])):
+        if not taken & set(range(k, k + n)):
+            taken |= set(range(k, k + n))
+            out.append((words[k][1], name, words[k + n - 1][2]))
+    return sorted(out)
+
+
+def test_query_as_brute_force(spark):
+    """The query's spans are those of a plain search, no more and no fewer."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {d: ",".join(f"{n}:{a}:{b}" for a, n, b in exact(t)) if L._HINT.search(t) else "" for d, t in texts.items()}
+    assert {r.doc_id: r.spans for r in L.op8_licenses(spark, sf).collect()} == want
+
+
+def test_ranking_chooses_among_like_templates():
+    r = random.Random(6)
+    words = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(n))
+    for name, template in L.TEMPLATES.items():
+        t = template.split()
+        if len(t) < 20:
+            continue
+        for _ in range(5):
+            edited = list(t)
+            spots = [k for k in range(2, len(t) - 2) if not L._weighty(L._plain(t[k]))]
+            for k in sorted(r.sample(spots, max(1, len(t) // 30)), reverse=True):
+                edited[k : k + 1] = r.choice([[], [t[k], "extra"], ["other"]])
+            text = f"{words(r.choice([0, 40, 400]))} {' '.join(edited)} {words(40)}"
+            assert [x["license"] for x in L.find(text)] == [name]
+    both = f"{L.TEMPLATES['GPL-2.0+']} {words(10)} {L.TEMPLATES['GPL-3.0+']} {words(10)} {L.TEMPLATES['SPDX/BSD-3-Clause']} {L.TEMPLATES['SPDX/MIT']}"
+    assert [x["license"] for x in L.find(both)] == ["GPL-2.0+", "GPL-3.0+", "SPDX/BSD-3-Clause", "SPDX/MIT"]
