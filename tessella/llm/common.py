@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import uuid
@@ -25,6 +26,21 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def guarded(*names: str):
+    """For pipeline stages: keeps columns of these names, and such that begin with "_", out of the way while a stage runs."""
+
+    def wrap(stage):
+        @functools.wraps(stage)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            safe = {c: unused(docs, f"kept{c}") for c in docs.columns if c.startswith("_") or c.lower() in names}
+            out = stage(spark, docs.withColumnsRenamed(safe), sf_dir)
+            return out.withColumnsRenamed({v: k for k, v in safe.items()})
+
+        return run
+
+    return wrap
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds the Arrow batches of this session, for good (long texts in a batch must fit a worker's memory; Spark reads the setting only when a plan runs)."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:

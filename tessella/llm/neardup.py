@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, forget, once, settle, table, told_apart, tuned
+from tessella.llm.common import cut, forget, guarded, once, settle, table, told_apart, tuned
 
 BANDS, ROWS = 40, 6
 #: Two sets of similarity 0.8 differ in 51 of 512 sketch bits on average, and in more than 86 about once in a million times.
@@ -306,6 +306,7 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"), size=4)
 
 
+@guarded()
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays (five words, similarity 0.8), and one of rows that are equal.
 

@@ -5,8 +5,10 @@ bins to the gradient; all trees of a feature add up to one lookup table. A score
 tables' entries, added for whole batches at a time. Features are taken from the whole text alone.
 
 Labels: rows of the label table whose crc32(doc_id as text) mod 5 is not 0, at most TRAIN_ROWS of them (smallest
-hashes). Null texts count as empty; an empty text has a score like any other. Without labels every score is the prior
-0.5. Repeated rows give repeated results; a doc_id with several labels counts once, with the larger one.
+hashes), each with one text, the least of those under its doc_id. Null texts count as empty; an empty text has a score
+like any other. Without labels every score is the prior 0.5. Repeated rows give repeated results; a doc_id with several
+labels counts once, with the larger one. A null doc_id is scored, but neither held out nor not: held_out is null. An empty
+table gives an empty result. A column quality_score is replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import table, tuned
+from tessella.llm.common import guarded, table, tuned
 
 #: Bound of the training sample.
 TRAIN_ROWS = 20_000
@@ -183,6 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, text: str
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", text).join(F.broadcast(known), "doc_id")  # `most` rows at most
+    rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min(text).alias(text))  # one of each doc_id, however often it repeats
     schema = "doc_id long, quality int, x array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +217,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@guarded("quality_score")
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
     tuned(spark)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -29,14 +30,42 @@ def test_quotas_as_seat_by_seat(spark):
         want = highest_quotients(goals, int(sum(goals) / 16 + 0.5)) if sum(goals) else {}
         assert {k: x.blocks for k, x in got.items() if x.blocks} == dict(want)
         if sum(goals):
-            plan = M.quotas(t, 16)
-            shards = M.shard_quotas(plan, 3, 50).collect()
+            shards = M.shard_quotas(t, 3, 16).collect()
             total = defaultdict(int)
             for x in shards:
                 total[x.source] += x.blocks
             assert total == {x.source: x.blocks for x in got.values() if x.blocks}
-            first = Counter({x.source: x.blocks for x in shards if x.shard == 0})
-            assert first == Counter({got[k].source: v for k, v in highest_quotients(goals, min(50, int(sum(goals) / 16 + 0.5))).items()})
+            seats = int(sum(goals) / 16 + 0.5)
+            for s in range(3):
+                upto, before = highest_quotients(goals, seats * (s + 1) // 3), highest_quotients(goals, seats * s // 3)
+                assert {x.source: x.blocks for x in shards if x.shard == s} == {got[k].source: upto[k] - before[k] for k in upto if upto[k] > before[k]}
+
+
+def test_query_seat_by_seat(spark, tmp_path):
+    """The query's own result: seats given one by one, words dealt one by one round each source's circle."""
+    r = random.Random(8)
+    rows = [(k, r.choice(["a", "a", "a", "b", "c", None]), r.choice([" w" * r.randint(0, 60), None])) for k in range(150)] + [(3, "b", "two words"), (3, "b", "two words"), (None, "c", "x y z")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = M.op5_mixing(spark, str(tmp_path)).collect()
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    goal = {}
+    for x in got:
+        goal[next(s for s in names if sum(len((t or "").split()) for _, u, t in rows if u == s) == x.source_size)] = x.target
+    goals = [goal[s] for s in names]
+    seats = int(sum(goals) / M.BLOCK + 0.5)
+    want = Counter()
+    for k, s in enumerate(names):
+        docs = sorted(((hashlib.md5((M.SEED + str("null" if d is None else d)).encode()).hexdigest(), d is not None, d or 0, len((t or "").split())) for d, u, t in rows if u == s))
+        circle = [n for n, doc in enumerate(docs) for _ in range(doc[3])]
+        words, at = [Counter() for _ in docs], 0
+        for shard in range(M.SHARDS):
+            upto = min(highest_quotients(goals, seats * (shard + 1) // M.SHARDS)[k] * M.BLOCK, 2 * len(circle))
+            for at in range(at, upto):
+                words[circle[at % len(circle)]][shard] += 1
+            at = max(at, upto)
+        for doc, each in zip(docs, words, strict=True):
+            want[doc[2] if doc[1] else None, doc[3], sum(each.values()), ",".join(f"{a}:{b}" for a, b in sorted(each.items()))] += 1
+    assert Counter((x.doc_id, x.size, x.taken, x.shards) for x in got) == want
 
 
 def test_mix(spark):
@@ -52,6 +81,8 @@ def test_mix(spark):
     assert all(abs(taken[s] - goal[s]) <= M.BLOCK for s in goal)
     assert sorted(map(str, M.mix(M.sized(df)).collect())) == sorted(map(str, got))
     assert M.mix(M.sized(df.limit(0))).count() == 0
+    odd = M.mix(M.sized(df).withColumnsRenamed({"target": "tokens"}).withColumn("of", M.F.lit(1)).withColumn("before", M.F.lit(2)))
+    assert {(x.tokens, x.of, x.before) for x in odd.collect()} == {("x", 1, 2)}
 
 
 def test_stage_takes_the_words(spark):
