@@ -6,7 +6,10 @@ import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,33 +66,53 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and rereads it.
+def settle(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder, in so many parts, and rereads it.
 
     The lineage ends there, a lost executor costs one task, and Catalyst knows the table's size when it picks joins.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     return out
 
 
-def forget(*tables: DataFrame) -> None:
-    """Deletes settled tables that nothing reads any more; shuffles and checkpoints without an owner go with them."""
+def drop(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
     jvm = tables[0].sparkSession._jvm
     for t in tables:
         path = jvm.org.apache.hadoop.fs.Path(t._settled)
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
 
 
-def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """checkpoint() to the shared folder, for the small tables of an iteration; in so many parts."""
-    shared_dir(df.sparkSession)
-    return (df if parts is None else df.coalesce(parts)).checkpoint()
+def forget(*tables: DataFrame) -> None:
+    """As drop(); shuffles without an owner go with them (Spark removes them once the driver's collector has found them)."""
+    drop(*tables)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def by_group(rows: DataFrame, keys: list[str], use, schema: str) -> DataFrame:
+    """use(table) of each group of rows that agree in keys (longs); groups must fit a worker. Batches hold many groups, so that small ones cost little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            at = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in keys], 1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if z > a:
+                    if now is not None and now != at[a].tolist():
+                        yield from use(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    now = at[a].tolist()
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield from use(pa.Table.from_batches(held)).to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 #: Where the row keys of told_apart begin that aren't a doc_id.

@@ -2,25 +2,29 @@
 
 Documents are sets of word shingles (64-bit hashes). Equal sets become one node at once. Of each node many universal
 hash minima are taken; BANDS bands of ROWS minima each make bucket keys, so two sets of similarity 0.8 share a bucket
-but for about 5 in a million; a sketch with one bit of every minimum and the sets' sizes verify pairs before whole sets
+but for about 5 in a million; a sketch with two bits of every minimum and the sets' sizes verify pairs before whole sets
 are compared.
 
 Pairs of a bucket are not all compared, as pairs inside a component can add nothing to it. First every node is compared
 with the bucket centre that it shares most bands with. Then, in rounds, nodes outside their bucket's main component are
 compared with the nearest of some members drawn from it, one for each bucket. What is left outside, then, is compared with
-all nodes of its zone (nodes that buckets of several components hold together) in cells of bounded numbers of rows, which
-hand out one confirmed link for a node and a component, not pairs; so no link is lost. Links are confirmed on full sets.
-Components come from alternating large-star and small-star steps.
+all nodes of its buckets in cells of bounded size: by sketches, each pair in the first bucket that it shares; then, those
+of a bucket that have anything near, by full sets. The cells hand out nodes and one confirmed link for a node and a
+component, not pairs; so no link is lost. Components come from alternating large-star and small-star steps.
+
+Links are confirmed on full sets. A set is made once, when its node is first compared; beyond a sieve of fixed size, the
+texts for it come by a join on doc_id. Plans are the same at every size.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. A null doc_id is never
-linked and always kept. Repeated rows of one doc_id are one node.
+linked and always kept. Rows that repeat give repeated results. A doc_id must tell texts apart: rows of one doc_id that
+hold different texts have the class of their own text, or one for all of them (stage() tells such rows apart first). An
+empty table gives an empty result. doc_id must be a number; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,21 +34,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, forget, guarded, once, settle, table, told_apart, tuned
+from tessella.llm.common import by_group, drop, forget, guarded, once, settle, table, told_apart, tuned
 
 BANDS, ROWS = 40, 6
-#: Two sets of similarity 0.8 differ in 51 of 512 sketch bits on average, and in more than 86 about once in a million times.
-SKETCH_BITS, MOST_APART = 512, 86
+#: Two sets of similarity 0.8 differ in 51 of 512 sketch bits on average, and in more than 92 about once in a million times.
+SKETCH, MOST_APART = 256, 92
+SKETCH_BITS = 2 * SKETCH
 #: Rounds with drawn members, at most, and the nearest of them that a node is compared with in a round.
-DRAWS, NEAREST = 4, 3
-#: Rows of either side of a comparison cell, about.
-CELL = 256
+DRAWS, NEAREST = 2, 3
+#: Rows of either side of a comparison cell, about, and shingles of their sets.
+CELL, CELL_SHINGLES = 256, 2_000_000
 #: Shingles, about, whose minima are taken at a time.
 TOGETHER = 30_000
-#: Edges that one checkpoint file of an iteration holds, about.
+#: Edges that one file of an iteration holds, about.
 EDGES_IN_PART = 250_000
-#: Up to so many documents in candidate pairs (16 bytes each) a broadcast list of ids keeps other texts from being shuffled; beyond it the join shuffles.
-BROADCAST_IDS = 200_000
+#: Bits of the sieve that keeps most texts from a join with the documents to be compared. At most SIEVE / 64 words of 8 bytes, whatever the input.
+SIEVE = 1 << 23
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -78,7 +83,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 def _functions(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and addends of the universal hash functions (a x + b mod 2^64), high half."""
     r = np.random.default_rng(seed)
-    n = max(BANDS * ROWS, SKETCH_BITS)
+    n = max(BANDS * ROWS, SKETCH)
     return r.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, np.uint64)
 
 
@@ -104,8 +109,9 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 
 def sketches(m: np.ndarray) -> np.ndarray:
-    """One bit of each minimum, packed in 64-bit words."""
-    bits = (m[:, :SKETCH_BITS] * np.uint32(2654435761) >> np.uint32(31)).astype(np.uint8)
+    """Two bits of each minimum, packed in 64-bit words."""
+    mixed = m[:, :SKETCH] * np.uint32(2654435761)
+    bits = np.concatenate([mixed >> np.uint32(31), mixed >> np.uint32(30) & np.uint32(1)], 1).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64)
 
 
@@ -142,101 +148,153 @@ def _apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text: str = "text") -> DataFrame:
-    """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), text)
-    if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
+def sets_of(ids: DataFrame, docs: DataFrame, size: int, text: str = "text") -> DataFrame:
+    """(id, set) of the documents in ids (id, each once): sorted 64-bit hashes, one after another."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(SIEVE))
+    word = lambda b: F.floor(b / 64).cast("long")
+    one = lambda b: F.expr(f"shiftleft(1L, cast({b} % 64 as int))")
+    sieve = ids.select(bit.alias("bit")).groupBy(word(F.col("bit")).alias("word")).agg(F.bit_or(one("bit")).alias("bits"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL").withColumn("bit", bit)
+    some = texts.join(F.broadcast(sieve), word(F.col("bit")) == F.col("word")).where(F.col("bits").bitwiseAND(one("bit")) != 0).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), size).tobytes() for x in b.column(1)], pa.binary())], names=["id", "set"])
 
-        def of(k: int, t: str) -> np.ndarray:
-            if k not in recent:
-                recent[k] = shingles(t, size)
-                if len(recent) > 64:
-                    recent.popitem(last=False)
-            return recent[k]
+    return some.join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary").where(F.length("set") > 0)
 
-        for b in batches:
-            out = []
-            for a, c, x, y in zip(*(b.column(k) for k in range(4)), strict=True):
-                s, t = of(a.as_py(), x.as_py()), of(c.as_py(), y.as_py())
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    out.append((a.as_py(), c.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    first = pairs.join(texts.withColumnsRenamed({"id": "a", text: "ta"}), "a")
-    both = first.join(texts.withColumnsRenamed({"id": "b", text: "tb"}), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long").distinct()
+def _met(s: np.ndarray, others: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Of sets that lie one after another (n: their sizes), which meet 100 * intersection >= percent * union with s."""
+    place = np.minimum(np.searchsorted(s, others), len(s) - 1)
+    both = np.add.reduceat((s[place] == others).astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]]))
+    return 100 * both >= percent * (len(s) + n - both)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of a column one after another, and their sizes."""
+    each = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+    return np.concatenate(each), np.array([len(x) for x in each])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union.
+
+    The pairs of one a, a bucket's centre or a drawn member, are dealt into cells of about CELL; each has a's set once.
+    """
+    hot = pairs.groupBy("a").count().where(F.col("count") > CELL).select("a", F.ceil(F.col("count") / CELL).alias("cells"))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("cells", F.lit(1))).alias("cell"))
+    other = dealt.select("a", "cell", F.lit(1).alias("own"), F.col("b").alias("id"))
+    hub = dealt.select("a", "cell").distinct().select("a", "cell", F.lit(0).alias("own"), F.col("a").alias("id"))
+
+    def run(group: pa.Table) -> pa.Table:
+        own = group["own"].to_numpy()
+        ids, hubs = group["id"].to_numpy()[own == 1], group.filter(pa.array(own == 0))["set"]
+        ok = np.zeros(len(ids), bool)
+        if len(ids):
+            flat, n = _flat(group.filter(pa.array(own == 1))["set"])
+            for h in hubs:
+                ok |= _met(np.frombuffer(h.as_buffer(), np.uint64), flat, n, percent)
+        return pa.table({"a": pa.array(group["a"].to_numpy()[own == 1][ok], pa.int64()), "b": pa.array(ids[ok], pa.int64())})
+
+    return by_group(other.union(hub).join(sets, "id"), ["a", "cell"], run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): least node reachable over edges (a, b), by alternating large-star and small-star steps."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    parts = 1 + edges.count() // EDGES_IN_PART
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    before = None
-    while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), parts)
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), parts)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), parts)
-        small = large.join(least, "u").select("u", "v", "m")
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct(), parts)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    edges = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    count, before = edges.count(), None
+    while count:
+        parts = 1 + count // EDGES_IN_PART
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = settle(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large", parts)
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        old, edges = edges, settle(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct(), "edges", parts)
+        drop(old, large)
+        count, *now = edges.agg(F.count("*"), F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            break
         before = now
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out._settled = edges._settled
+    return out
 
 
-def zone_links(loose: DataFrame, docs: DataFrame, size: int, percent: int, text: str = "text") -> DataFrame:
-    """Links (a, b) of the nodes of loose (key, rep, component, main) that lie outside a main component, with others of their zone.
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (node, component) after further links (a, b): only components are joined, not all edges again."""
+    at = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = components(ends)
+    moved = found.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    out = settle(moved.select("node", F.coalesce("to", "component").alias("component")).union(new), "found")
+    drop(new, found)
+    return out
 
-    A zone's outsiders are dealt into lanes and all its nodes into blocks of about CELL each; a cell compares the full sets
-    of one lane with those of one block.
-    """
-    least = settle(loose.groupBy("key").agg(F.min("rep").alias("least")), "least")
-    zones = components(loose.join(least, "key").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct())
-    forget(least)
-    own = loose.groupBy("rep").agg(F.first("component").alias("component"), F.max((F.col("component") != F.col("main")).cast("int")).alias("out"))
-    placed = settle(own.join(zones.withColumnsRenamed({"node": "rep", "component": "zone"}), "rep", "left").withColumn("zone", F.coalesce("zone", "rep")), "zones")
-    counts = settle(placed.groupBy("zone").agg(F.ceil(F.sum("out") / CELL).alias("lanes"), F.ceil(F.count("*") / CELL).alias("blocks")), "zone-sizes")
-    each = placed.join(counts, "zone")
+
+def unsettled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, rep, component, main) of rows (key, rep): buckets that hold several components; main is the least of them."""
+    placed = rows.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main <> other").drop("other")
+    return placed.join(mixed, "key")
+
+
+def _cells(rows: DataFrame, size: str) -> DataFrame:
+    """rows (key, left, right, rep, ...) dealt into lanes (left ones) and blocks (right ones) of their key: each lane meets each block."""
     deal = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    left = each.where("out = 1").select("zone", deal(F.col("lanes"), 1).alias("lane"), every(F.col("blocks")).alias("block"), F.lit(True).alias("outside"), "rep", "component")
-    right = each.where("lanes > 0").select("zone", every(F.col("lanes")).alias("lane"), deal(F.col("blocks"), 2).alias("block"), F.lit(False).alias("outside"), "rep", "component")
-    texts = docs.select(F.col("doc_id").alias("rep"), text)
-    if placed.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(placed.select("rep")), "rep", "left_semi")
-    cells = left.union(right).join(texts, "rep")
+    parts = lambda on: F.ceil(F.greatest(F.sum(F.expr(f"int({on})")) / CELL, F.sum(F.expr(f"if({on}, {size}, 0)")) / CELL_SHINGLES))
+    counts = rows.groupBy("key").agg(parts("left").alias("lanes"), parts("right").alias("blocks")).where("lanes > 0 AND blocks > 0")
+    each = rows.join(counts, "key")
+    outside = each.where("left").select("*", deal(F.col("lanes"), 1).alias("lane"), every(F.col("blocks")).alias("block"), F.lit(True).alias("outside"))
+    inside = each.where("right").select("*", every(F.col("lanes")).alias("lane"), deal(F.col("blocks"), 2).alias("block"), F.lit(False).alias("outside"))
+    return outside.union(inside).drop("left", "right", "lanes", "blocks")
+
+
+def nearby(loose: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, component, size, left, right): nodes of unsettled buckets that have a near one of another component there.
+
+    left: nodes outside the bucket's main component; right: what they are near to. A pair counts in the first bucket that
+    it shares. Sketches are compared in cells.
+    """
+    rows = loose.join(nodes.select("rep", "sketch", "size", "bands"), "rep").select("key", "rep", "component", "size", "sketch", "bands", (F.col("component") != F.col("main")).alias("left"), F.lit(True).alias("right"))
 
     def run(cell: pa.Table) -> pa.Table:
-        outside = cell["outside"].to_numpy()
-        reps, comps = cell["rep"].to_numpy(), cell["component"].to_numpy()
-        sets: dict[int, np.ndarray] = {}
-        for k, t in zip(reps.tolist(), cell[text], strict=True):
-            if k not in sets:
-                sets[k] = shingles(t.as_py(), size)
-        at = np.flatnonzero(~outside)
-        at = at[np.argsort(comps[at], kind="stable")]
+        outside, rep, comp, size, key = (cell[c].to_numpy() for c in ("outside", "rep", "component", "size", "key"))
+        sketch = cell["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cell), -1)  # bits of signed numbers are counted without their sign
+        bands = cell["bands"].combine_chunks().flatten().to_numpy().reshape(len(cell), -1)
+        inside, hit = np.flatnonzero(~outside), np.zeros(len(cell), bool)
+        for i in np.flatnonzero(outside):
+            close = (100 * np.minimum(size[inside], size[i]) >= percent * np.maximum(size[inside], size[i])) & (comp[inside] != comp[i])
+            at = inside[close]
+            at = at[np.bitwise_count(sketch[at] ^ sketch[i]).sum(1) <= MOST_APART]
+            if len(at):
+                first = bands[at, (bands[at] == bands[i]).argmax(1)] == key[i]
+                hit[at[first]] = True
+                hit[i] = first.any()
+        out = cell.filter(pa.array(hit)).select(["key", "rep", "component", "size", "outside"])
+        return out
+
+    found = by_group(_cells(rows, "0"), ["key", "lane", "block"], run, "key long, rep long, component long, size long, outside boolean")
+    return found.groupBy("key", "rep", "component", "size").agg(F.bool_or("outside").alias("left"), F.bool_or(~F.col("outside")).alias("right"))
+
+
+def bucket_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of nearby(): full sets are compared in cells, one link of a node with a component is handed out."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        outside, rep, comp = (cell[c].to_numpy() for c in ("outside", "rep", "component"))
         out: list[tuple[int, int]] = []
+        at = np.flatnonzero(~outside)
         if len(at):
-            flat, n = np.concatenate([sets[k] for k in reps[at].tolist()]), np.array([len(sets[k]) for k in reps[at].tolist()])
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            flat, n = _flat(cell.filter(pa.array(~outside))["set"])
             for i in np.flatnonzero(outside):
-                s = sets[int(reps[i])]
-                place = np.minimum(np.searchsorted(s, flat), len(s) - 1)
-                both = np.add.reduceat((s[place] == flat).astype(np.int64), starts)
-                hit = at[(100 * both >= percent * (len(s) + n - both)) & (comps[at] != comps[i])]
-                out += [(int(reps[i]), int(reps[j])) for j in hit[np.unique(comps[hit], return_index=True)[1]]]
+                hit = at[_met(np.frombuffer(cell["set"][int(i)].as_buffer(), np.uint64), flat, n, percent) & (comp[at] != comp[i])]
+                out += [(int(rep[i]), int(rep[j])) for j in hit[np.unique(comp[hit], return_index=True)[1]]]
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return cells.groupBy("zone", "lane", "block").applyInArrow(run, "a long, b long").distinct()
+    cells = _cells(near, "size").join(sets.withColumnRenamed("id", "rep"), "rep")
+    return by_group(cells, ["key", "lane", "block"], run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -245,55 +303,53 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     some = marks.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
     nodes = settle(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     keyed = nodes.select("rep", F.explode("bands").alias("key"))
-    buckets = settle(keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = settle(keyed.join(buckets, "key"), "members")
-    forget(buckets)
     sketch = nodes.select("rep", "sketch", "size")
 
-    def near(sa: str, sb: str, na: str, nb: str) -> Column:
-        return (_apart(sa, sb) <= MOST_APART) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches and sizes are near enough, with their distance."""
         with_a = pairs.join(sketch.withColumnsRenamed({"rep": "a", "sketch": "sa", "size": "na"}), "a")
         both = with_a.join(sketch.withColumnsRenamed({"rep": "b", "sketch": "sb", "size": "nb"}), "b")
-        return both.where(near("sa", "sb", "na", "nb")).select("a", "b", _apart("sa", "sb").alias("apart"))
+        near = (_apart("sa", "sb") <= MOST_APART) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        return both.where(near).select("a", "b", _apart("sa", "sb").alias("apart"))
 
+    sets: DataFrame | None = None
+
+    def have(ids: DataFrame) -> DataFrame:
+        """Sets of all these ids (id) and those before."""
+        nonlocal sets
+        ids = ids.distinct()
+        more = settle(sets_of(ids if sets is None else ids.join(sets.select("id"), "id", "left_anti"), docs, size, text), "sets")
+        sets = more if sets is None else sets.union(more)
+        return sets
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
     shared = members.where("rep <> centre").groupBy("rep", "centre").count()
     best = shared.groupBy("rep").agg(F.max(F.struct("count", (-F.col("centre")).alias("c"))).alias("best"))
     tried = settle(verified(best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b"))).select("a", "b"), "tried")
-    links = settle(confirmed(tried, docs, size, percent, text), "links")
-    found = settle(components(links), "found")
-    forget(links)
-
-    def unsettled(rows: DataFrame) -> DataFrame:
-        """(key, rep, component, main) of rows (key, rep): buckets that hold several components; main is the least of them."""
-        placed = rows.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = settle(placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main <> other").drop("other"), "mixed")
-        out = settle(placed.join(mixed, "key"), "unsettled")
-        forget(mixed, rows)
-        return out
-
-    loose = unsettled(members)
+    links = settle(confirmed(tried, have(ends(tried)), percent), "links")
+    found = components(links)
+    loose = settle(unsettled(members, found), "unsettled")
+    forget(links, members)
     for draw in range(DRAWS):
-        drawn = settle(loose.where("component = main").groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key", F.lit(draw))).alias("drawn")), "drawn")
-        pairs = loose.where("component <> main").join(drawn, "key").select(F.least("rep", "drawn").alias("a"), F.greatest("rep", "drawn").alias("b"), F.col("rep").alias("by")).distinct()
-        pairs = verified(pairs.join(tried, ["a", "b"], "left_anti")).join(pairs, ["a", "b"])
-        rank = F.row_number().over(W.partitionBy("by").orderBy("apart", "a", "b"))
-        pairs = settle(pairs.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b").distinct(), "pairs")
-        more = settle(confirmed(pairs, docs, size, percent, text), "more")
+        drawn = loose.where("component = main").groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key", F.lit(draw))).alias("a"))
+        pairs = loose.where("component <> main").join(drawn, "key").select("a", F.col("rep").alias("b")).distinct()
+        rank = F.row_number().over(W.partitionBy("b").orderBy("apart", "a"))
+        pairs = settle(verified(pairs.join(tried, ["a", "b"], "left_anti")).withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b"), "pairs")
+        more = settle(confirmed(pairs, have(ends(pairs)), percent), "more")
         tried = tried.union(pairs)
-        forget(drawn)
         if more.isEmpty():
             break
-        found = settle(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "found")
-        forget(more)
-        loose = unsettled(loose)
+        found = joined(found, more)
+        before, loose = loose, settle(unsettled(loose, found), "unsettled")
+        forget(more, before)
 
-    more = settle(zone_links(loose, docs, size, percent, text), "more")
+    near = settle(nearby(loose, nodes, percent), "near")
+    more = settle(bucket_links(near, have(near.select(F.col("rep").alias("id"))), percent), "more")
     if not more.isEmpty():
-        found = settle(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "found")
-    forget(loose, more)
+        found = joined(found, more)
+    forget(loose, near, more)
 
     classes = nodes.select("set_hash", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     classes = settle(classes.where("n > 1 OR component IS NOT NULL").select("set_hash", F.coalesce("component", "rep").alias("class")), "classes")

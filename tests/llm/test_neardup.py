@@ -111,3 +111,22 @@ def test_query(spark):
     want = brute(rows, 4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.op3_neardup(spark, sf).collect()}
     assert got == want
+
+
+def test_chained_buckets_take_near_linear_work(spark, monkeypatch):
+    """Texts of which each shares buckets with the next, but isn't linked: one zone of buckets, yet few comparisons."""
+    r, n = random.Random(11), 300
+    runs = [[f"w{r.randint(0, 10**9)}" for _ in range(20)] for _ in range(n + 9)]
+    rows = [(k, " ".join(w for run in runs[k : k + 9] for w in run)) for k in range(n)]
+    done = []
+
+    def counted(loose, nodes, percent):
+        done.append(loose.groupBy("key").agg(N.F.sum((N.F.col("component") != N.F.col("main")).cast("long")).alias("out"), N.F.count("*").alias("all")).agg(N.F.sum(N.F.col("out") * N.F.col("all"))).first()[0])
+        return nearby(loose, nodes, percent)
+
+    nearby = N.nearby
+    monkeypatch.setattr(N, "nearby", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == brute(rows, 4) and len({c for _, c in got.values()}) == n
+    assert n < done[0] < 60 * n
+
