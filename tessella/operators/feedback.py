@@ -36,9 +36,11 @@ def last_n(rows: DataFrame, n: int, order: str, valid: Column | None = None) ->
 
 
 def ring(rows: DataFrame, size: int, order: str) -> DataFrame:
-    """rows of a full ring of so many slots, with their slot."""
-    placed = rows.withColumn("_k", F.row_number().over(W.orderBy(order)) - 1).withColumn("slot", (F.col("_k") % size).cast("int"))
-    return placed.withColumn("_last", F.max("_k").over(W.partitionBy())).where(F.col("_k") > F.col("_last") - size).drop("_k", "_last")
+    """rows of a full ring of so many slots, with their slot. Only the last `size` rows are numbered."""
+    n = rows.agg(F.count("*").alias("_n"))  # one row
+    last = rows.orderBy(F.desc(order)).limit(size)
+    back = F.row_number().over(W.orderBy(F.desc(order)))  # at most `size` rows
+    return last.withColumn("_b", back).crossJoin(F.broadcast(n)).withColumn("slot", ((F.col("_n") - F.col("_b")) % size).cast("int")).drop("_b", "_n")
 
 
 def append_valid(rows: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:

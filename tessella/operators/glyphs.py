@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import vector as V
+from tessella.operators.graph import numbered
 
 
 def case_pairs(glyphs: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def complete(glyphs: DataFrame, slots: int = 26) -> DataFrame:
 def equal_bins(rows: DataFrame, key: str, by: str, bins: int = 10) -> DataFrame:
     """rows with bin: n div bins rows each in order, the remainder in the last; fewer rows than bins are all in the last."""
     n = rows.agg(F.count("*").alias("_n"))
-    placed = rows.withColumn("_r", F.row_number().over(W.orderBy(by, key)) - 1).crossJoin(F.broadcast(n))  # one row
+    placed = numbered(rows, "_r", by, key).crossJoin(F.broadcast(n))  # one row
     size = F.floor(F.col("_n") / bins)
     return placed.withColumn("bin", F.when(size > 0, F.least(F.floor(F.col("_r") / F.greatest(size, F.lit(1))), F.lit(bins - 1))).otherwise(F.lit(bins - 1)).cast("int")).drop("_r", "_n")
 
@@ -67,8 +68,8 @@ def mixed_hash(key: Column, seed: int = 1234) -> Column:
 def split(fonts: DataFrame, key: str, ratio: float = 0.8, seed: int = 1234) -> DataFrame:
     """fonts with is_train: the first int(n * ratio) in the order of their hashes."""
     n = fonts.agg(F.count("*").alias("_n"))
-    placed = fonts.withColumn("_r", F.row_number().over(W.orderBy(mixed_hash(F.col(key), seed), key))).crossJoin(F.broadcast(n))  # one row
-    return placed.withColumn("is_train", F.col("_r") <= F.floor(F.col("_n") * ratio)).drop("_r", "_n")
+    placed = numbered(fonts, "_r", mixed_hash(F.col(key), seed), key).crossJoin(F.broadcast(n))  # one row
+    return placed.withColumn("is_train", F.col("_r") < F.floor(F.col("_n") * ratio)).drop("_r", "_n")
 
 
 def strips(glyphs: DataFrame, shown: str, height: int) -> DataFrame:

@@ -4,18 +4,43 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; where it is unset, one of our own in local mode, else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessella.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set("tessella.dir", root)
+    return root
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() to the folder that the cluster names; to one of our own only where none is set."""
+    """checkpoint() to the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """rows with a dense number from 0 by a total order: sorted in ranges, which are counted, so that no task holds all rows.
+
+    Ranges and places are written down first, as the bounds of ranges are drawn anew in every run.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    placed = cut(placed)
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_start"))  # a row for each range, that is for each partition
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the least node that each node (one column) reaches over edges (two columns).
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from tessella.functions import vector as V
 
 
+#: Chances of the two mutations, and draws of parents for each place of a population before like ones may be crossed.
+REPLACE, FLIP, TRIES = 0.1, 0.3, 20
+
+
 def cycle_scores(paths: DataFrame, font_vec: DataFrame, far: float = 2.0, edge: float = 2.0, spread: float = 2.0, out: float = 0.7) -> DataFrame:
     """(path_id, far, edge, std, out, score) of paths (path_id, pos, font).
 
@@ -59,7 +63,9 @@ def evolve(font_vec: DataFrame, nodes: int = 40, population: int = 2000, keep: i
     """(path_id, pos, font, score): the best paths of a genetic search.
 
     The population is scored as a DataFrame in each step; survivors are drawn by softmax without replacement (highest of
-    score over deviation plus a Gumbel draw). Only names, of a bounded population, are on the driver.
+    score over deviation plus a Gumbel draw). Parents that share more than most_overlap of their fonts aren't crossed; if the
+    population holds no others (after TRIES draws for each place), it is filled up with such pairs all the same. A child's
+    font is replaced with probability REPLACE, a stretch of it reversed with FLIP. Names and paths are on the driver.
     """
     spark, r = font_vec.sparkSession, np.random.default_rng(seed)
     names = [row[0] for row in font_vec.select("font").orderBy("font").collect()]
@@ -77,18 +83,21 @@ def evolve(font_vec: DataFrame, nodes: int = 40, population: int = 2000, keep: i
         order = np.argsort(-(s / max(s.std(), 1e-12) - np.log(-np.log(r.random(len(s))))), kind="stable")[:keep]
         parents = [paths[k] for k in order]
         children = []
-        for _ in range(20 * population):
-            if len(children) + len(parents) >= population:
-                break
+        tries = 0
+        while len(children) + len(parents) < population:
             a, b = (parents[k] for k in r.choice(len(parents), 2, replace=len(parents) < 2))
-            if len(set(a) & set(b)) / nodes > most_overlap and len(parents) > 2 and r.random() > 0.1:
+            tries += 1
+            if len(set(a) & set(b)) / nodes > most_overlap and tries < TRIES * population:
                 continue
             i, j = sorted(r.choice(nodes + 1, 2, replace=False))
             fill = [x for x in b if x not in set(a[i:j])]
             child = fill[:i] + a[i:j] + fill[i:]
             child = child[:nodes]
-            if r.random() < 0.3 and len(names) > nodes:
+            if r.random() < REPLACE and len(names) > nodes:
                 child[r.integers(nodes)] = r.choice([k for k in range(len(names)) if k not in set(child)])
+            if r.random() < FLIP and nodes > 1:
+                i, j = sorted(r.choice(nodes, 2, replace=False))
+                child[i : j + 1] = child[i : j + 1][::-1]
             children.append(child)
         paths = parents + children
     frame = scored(paths)

@@ -11,16 +11,18 @@ from tessella.functions import vector as V
 MASKED = -1e4
 
 
-def scored_pairs(queries: DataFrame, keys: DataFrame, mask: DataFrame | None = None, temperature: float = 1.0) -> DataFrame:
+def scored_pairs(queries: DataFrame, keys: DataFrame, mask: DataFrame | None = None, temperature: float = 1.0, mask_from: float | None = None) -> DataFrame:
     """(i, j, logit, pos): every query (id, fam, v) with every key (id, fam, v); this is the score matrix itself.
 
     A pair is positive if the families agree or it is the diagonal; without families only the diagonal is. Pairs in mask
-    (i, j) that aren't positive get the logit MASKED. Meant for a batch of queries against its keys; searches over a
+    (i, j) that aren't positive get the logit MASKED, and so do all whose own score reaches mask_from. Meant for a batch of queries against its keys; searches over a
     corpus use similarity.nearest.
     """
     q = queries.select(F.col("id").alias("i"), F.col("fam").alias("fi"), F.col("v").alias("vi"))
     k = keys.select(F.col("id").alias("j"), F.col("fam").alias("fj"), F.col("v").alias("vj"))
     pairs = q.crossJoin(k).select("i", "j", (V.dot("vi", "vj") / temperature).alias("logit"), (F.coalesce(F.col("fi") == F.col("fj"), F.lit(False)) | (F.col("i") == F.col("j"))).alias("pos"))
+    if mask_from is not None:
+        pairs = pairs.withColumn("logit", F.when((F.col("logit") * temperature >= mask_from) & ~F.col("pos"), F.lit(MASKED)).otherwise(F.col("logit")))
     if mask is None:
         return pairs
     marked = pairs.join(mask.select("i", "j", F.lit(True).alias("_m")).distinct(), ["i", "j"], "left")

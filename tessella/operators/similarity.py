@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import vector as V
+from tessella.operators.graph import numbered
 
 BLOCK = 2048
 
@@ -106,7 +107,7 @@ def pairs_at_least(rows: DataFrame, threshold: float) -> DataFrame:
 def perpendicular_order(fonts: DataFrame, location: Column) -> DataFrame:
     """(font, v, score, rank): fonts by how near to a right angle they stand to the location."""
     scored = fonts.select("font", "v", V.dot("v", location).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.orderBy(F.abs(F.round("score", 9)), "font")))
+    return numbered(scored, "rank", F.abs(F.round("score", 9)), F.col("font")).withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def representatives(fonts: DataFrame, location: Column, n: int = 4) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import descriptions as D
+from tessella.operators.graph import shared_root
 from tessella.operators.retrieval import best_layer
 from tessella.sources import readers
 from tessella.streaming import feedback as S
@@ -17,14 +18,8 @@ from tessella.plans.vectors import rounded
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints; in one of our own only where none are set."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessella.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("tessella.dir", root)
-    return f"{root}/files/{uuid.uuid4().hex}"
+    """A new folder beside the checkpoints."""
+    return f"{shared_root(spark)}/files/{uuid.uuid4().hex}"
 
 
 def tag_files_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,8 +156,7 @@ def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     """The last value of each user, kept by upserts of a stream."""
     out = shared(spark)
-    S.upsert_stream(S.event_stream(spark, f"{sf}/", "events.parquet").select("user_id", "value", "event_id"), ["user_id"], "value", ["event_id"], f"{out}/state", f"{out}/checkpoint")
-    return spark.read.schema("user_id BIGINT, value DOUBLE, event_id BIGINT").parquet(f"{out}/state/0")
+    return S.upsert_stream(S.event_stream(spark, f"{sf}/", "events.parquet").select("user_id", "value", "event_id"), ["user_id"], "value", ["event_id"], f"{out}/state", f"{out}/checkpoint")
 
 
 def star_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,6 +198,7 @@ ORACLE = {
     "checked_flag": "SELECT p_partkey, p_partkey % 2 = 0 AS flag FROM part",
     "union_sources": "SELECT source, key, count(*) AS n, min(font) AS first FROM (SELECT c_name AS font, c_nationkey AS key, 'market' AS source FROM customer UNION ALL SELECT s_name, s_nationkey, 'standard' FROM supplier) GROUP BY ALL",
     "distinct_names": "SELECT DISTINCT p_name FROM part",
+    "stream_rate_limit": "SELECT user_id, start, n FROM (SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY ALL) WHERE n > 1 AND start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
     "stream_latest": "SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id",
     "star_join": "SELECT r_name, year(o_orderdate) AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
 }

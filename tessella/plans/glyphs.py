@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 from tessella.functions import vector as V
 from tessella.operators import glyphs as G
+from tessella.operators.graph import numbered
 from tessella.plans.tables import table
 from tessella.plans.vectors import rounded
 
@@ -111,12 +112,14 @@ def first_reference_image(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_order_index(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", "p_name", (F.dense_rank().over(W.orderBy("p_name")) - 1).alias("font_num"))
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    names = numbered(parts.select("p_name").distinct(), "font_num", "p_name")
+    return parts.join(names, "p_name").select("p_partkey", "p_name", F.col("font_num").cast("int").alias("font_num"))
 
 
 def block_index(spark: SparkSession, sf: str) -> DataFrame:
     """Glyphs sorted by font: place, and the first and last place of the font's block."""
-    place = glyph_table(spark, sf).select("glyph", "font", F.row_number().over(W.orderBy("font", "glyph")).alias("place"))
+    place = numbered(glyph_table(spark, sf).select("glyph", "font"), "place", "font", "glyph").withColumn("place", (F.col("place") + 1).cast("int"))
     w = W.partitionBy("font")
     return place.select("glyph", "font", "place", F.min("place").over(w).alias("first"), F.max("place").over(w).alias("last"))
 

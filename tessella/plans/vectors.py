@@ -69,11 +69,7 @@ def _batch(spark: SparkSession, sf: str, families: bool = True, temperature: flo
     v = vectors(spark, sf)
     q = v.where(F.col("id") % QUERY_EVERY == 0)
     k = v if families else v.withColumn("fam", F.lit(None).cast("int"))
-    similar = None
-    if mask:
-        pairs = similarity.nearest(q, v, 10).where(F.col("sim") >= THRESHOLD)
-        similar = pairs.select(F.col("src").alias("i"), F.col("dst").alias("j"))
-    return retrieval.scored_pairs(q, k, similar, temperature)
+    return retrieval.scored_pairs(q, k, None, temperature, THRESHOLD if mask else None)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -228,7 +224,7 @@ ORACLE = {
     "first_positive_rank": f"WITH {_E}, {_S}, {_R} SELECT i, min(rank) AS rank FROM r WHERE pos GROUP BY i",
     "infonce": f"WITH {_E}, {_S}, t AS (SELECT i, logit / 0.04 AS l, pos FROM s) " + _NCE.format("t"),
     "infonce_diagonal": f"WITH {_E}, {_S}, t AS (SELECT i, logit / 0.04 AS l, i = j AS pos FROM s) " + _NCE.format("t"),
-    "infonce_masked": f"WITH {_E}, {_S}, m AS (SELECT i, j FROM (SELECT i, j, logit, row_number() OVER (PARTITION BY i ORDER BY round(logit, 9) DESC, j) AS k FROM s WHERE i <> j) WHERE k <= 10 AND logit >= {THRESHOLD}), t AS (SELECT s.i, CASE WHEN m.i IS NOT NULL AND NOT pos THEN -1e4 ELSE logit / 0.04 END AS l, pos FROM s LEFT JOIN m ON s.i = m.i AND s.j = m.j) " + _NCE.format("t"),
+    "infonce_masked": f"WITH {_E}, {_S}, m AS (SELECT i, j FROM s WHERE i <> j AND logit >= {THRESHOLD}), t AS (SELECT s.i, CASE WHEN m.i IS NOT NULL AND NOT pos THEN -1e4 ELSE logit / 0.04 END AS l, pos FROM s LEFT JOIN m ON s.i = m.i AND s.j = m.j) " + _NCE.format("t"),
     "family_positive_pairs": f"WITH {_E}, {_S} SELECT i, count(*) FILTER (pos) AS positives, count(*) AS pairs FROM s GROUP BY i",
     "vector_scalars": f"""WITH {_E}, {_N}, q AS (SELECT u AS w FROM n WHERE id = 1), d AS (SELECT id, v, w, list_inner_product(v, w) AS dt, list_sum(list_transform(v, lambda x: exp(x - list_max(v)))) AS se FROM e, q)
         SELECT id, round(dt, 6) AS dot, round(sqrt(list_inner_product(v, v)), 6) AS norm, round(1 - dt, 6) AS distance, round(list_distance(v, w), 6) AS l2, round(1 / (1 + exp(-dt)), 6) AS sigmoid,

@@ -31,8 +31,8 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def upsert_stream(events: DataFrame, keys: list[str], value: str, order: list[str], state: str, checkpoint: str) -> None:
-    """Keeps the last value of each key: every batch is joined with the state so far, whose next version is written beside it."""
+def upsert_stream(events: DataFrame, keys: list[str], value: str, order: list[str], state: str, checkpoint: str) -> DataFrame:
+    """The last value of each key: every batch is joined with the state so far, whose next version is written beside it; the one before that goes."""
     schema = ", ".join(f"`{c}` {t}" for c, t in events.dtypes if c in {*keys, value, *order})
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -43,8 +43,21 @@ def upsert_stream(events: DataFrame, keys: list[str], value: str, order: list[st
             rows = rows.unionByName(spark.read.schema(schema).parquet(f"{state}/{number - 1}").select(*columns))
         last = rows.groupBy(*keys).agg(F.max_by(F.struct(value, *order), F.struct(*order)).alias("r"))
         last.select(*keys, "r.*").write.mode("overwrite").parquet(f"{state}/{number}")
+        if number > 1:  # the last version but one is what a repeated batch reads
+            _folder(spark, state).delete(_path(spark, f"{state}/{number - 2}"), True)
 
     events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = events.sparkSession
+    versions = [int(f.getPath().getName()) for f in _folder(spark, state).listStatus(_path(spark, state))] if _folder(spark, state).exists(_path(spark, state)) else []
+    return spark.read.schema(schema).parquet(f"{state}/{max(versions)}") if versions else spark.createDataFrame([], schema)
+
+
+def _path(spark: SparkSession, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def _folder(spark: SparkSession, name: str):
+    return _path(spark, name).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def ring_stream(events: DataFrame, key: str, value: str, size: int) -> DataFrame:

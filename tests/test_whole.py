@@ -32,3 +32,36 @@ def test_similar_fills_up_with_keys_that_share_no_tag(spark):
     got = descriptions.similar(spark.createDataFrame(list(tags.items()), "key string, tags map<string,double>"), 3).collect()
     ranked = {k: [r.other for r in sorted(got, key=lambda r: r["rank"]) if r.key == k] for k in tags}
     assert ranked == {"a": ["b", "c", "d"], "b": ["a", "e", "c"], "c": ["a", "b", "d"], "d": ["a", "b", "c"], "e": ["b", "a", "c"], "f": ["a", "b", "c"]}
+
+
+def test_upserts_over_several_batches(spark, tmp_path):
+    """The last version of the state, however many batches the stream took."""
+    from pyspark.sql import functions as F
+
+    from tessella.streaming import feedback as S
+
+    rows = spark.range(60).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), (F.col("id") * 1.5).alias("value"))
+    for k in range(3):
+        rows.where(F.floor(F.col("event_id") / 20) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = S.upsert_stream(S.event_stream(spark, f"{tmp_path}/in", schema="event_id BIGINT, user_id BIGINT, value DOUBLE"), ["user_id"], "value", ["event_id"], f"{tmp_path}/state", f"{tmp_path}/checkpoint")
+        last = {e % 7: e * 1.5 for e in range(20 * (k + 1))}
+        assert {r.user_id: r.value for r in got.collect()} == last
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.operators.graph import numbered
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("x"), F.lit("a").alias("y")).repartition(16)
+    got = sorted((r.n, r.x) for r in numbered(rows, "n", "x").collect())
+    assert [n for n, _ in got] == list(range(5000)) and [x for _, x in got] == sorted(x for _, x in got)
+    assert numbered(rows.limit(0), "n", "x").count() == 0
+
+
+def test_evolution_fills_its_population(spark):
+    from tessella.operators import paths
+
+    fonts = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(5)], "font int, v array<double>")
+    got = paths.evolve(fonts, nodes=4, population=10, keep=4, steps=2).collect()
+    assert len({r.path_id for r in got}) == 4 and all(len({r.font for r in got if r.path_id == p}) == 4 for p in {r.path_id for r in got})
