@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, mixing, neardup, pii, quality
-from tessella.llm.common import settle, table
+from tessella.llm.common import forget, settle, table
 
 STAGES = [
     ("quality", quality.stage),
@@ -25,6 +25,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            forget(before)  # a stage's input goes once its result is written
     return STAGES[-1][1](spark, docs, sf_dir)
