@@ -2,58 +2,110 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions import vector as V
+from tessella.operators.graph import cut
+from tessella.operators.similarity import grid, matrix
 
 MASKED = -1e4
 
 
-def scored_pairs(queries: DataFrame, keys: DataFrame, mask: DataFrame | None = None, temperature: float = 1.0, mask_from: float | None = None) -> DataFrame:
-    """(i, j, logit, pos): every query (id, fam, v) with every key (id, fam, v); this is the score matrix itself.
+def _sides(cell: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]:
+    """Queries and keys of a cell by id, their scores, and which pairs are positive; the diagonal is always."""
+    own = cell["own"].to_numpy()
+    q, k = cell.filter(pa.array(own)).sort_by("id"), cell.filter(pa.array(~own)).sort_by("id")
+    (a, x), (b, y) = matrix(q), matrix(k)
+    if not (len(a) and len(b)):
+        return q, k, np.empty((len(a), len(b))), np.empty((len(a), len(b)), bool)
+    known = np.flatnonzero(k["fam"].is_valid().to_numpy())
+    same = np.zeros((len(a), len(b)), bool)
+    same[:, known] = np.array(q["fam"].to_pylist(), object)[:, None] == np.array(k["fam"].to_pylist(), object)[None, known]
+    return q, k, x @ y.T, same | (a[:, None] == b[None, :])
 
-    A pair is positive if the families agree or it is the diagonal; without families only the diagonal is. Pairs in mask
-    (i, j) that aren't positive get the logit MASKED, and so do all whose own score reaches mask_from. Meant for a batch of queries against its keys; searches over a
-    corpus use similarity.nearest.
-    """
-    q = queries.select(F.col("id").alias("i"), F.col("fam").alias("fi"), F.col("v").alias("vi"))
-    k = keys.select(F.col("id").alias("j"), F.col("fam").alias("fj"), F.col("v").alias("vj"))
-    pairs = q.crossJoin(k).select("i", "j", (V.dot("vi", "vj") / temperature).alias("logit"), (F.coalesce(F.col("fi") == F.col("fj"), F.lit(False)) | (F.col("i") == F.col("j"))).alias("pos"))
-    if mask_from is not None:
-        pairs = pairs.withColumn("logit", F.when((F.col("logit") * temperature >= mask_from) & ~F.col("pos"), F.lit(MASKED)).otherwise(F.col("logit")))
-    if mask is None:
-        return pairs
-    marked = pairs.join(mask.select("i", "j", F.lit(True).alias("_m")).distinct(), ["i", "j"], "left")
-    return marked.select("i", "j", F.when(F.col("_m") & ~F.col("pos"), F.lit(MASKED)).otherwise(F.col("logit")).alias("logit"), "pos")
 
+def _placed(cells: DataFrame, run, schema: str) -> DataFrame:
+    return cells.groupBy("lane", "block").applyInArrow(run, schema)
 
-def ranked(pairs: DataFrame) -> DataFrame:
-    """pairs with rank from 0 by logit in each row, ties by key."""
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.desc(F.round("logit", 9)), "j")) - 1)
 
+def first_positive(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(i, rank): the rank from 0 of each query's first positive among all other keys, by score, ties by key.
 
-def recall_at_k(pairs: DataFrame, k: int = 10) -> DataFrame:
-    hits = ranked(pairs).groupBy("i").agg(F.max((F.col("pos") & (F.col("rank") < k)).cast("int")).alias("hit"))
-    return hits.agg(F.avg("hit").alias("recall_at_k"))
+    queries and keys are (id, fam, v) with unique ids; a key is positive if its family is the query's. No matrix and no
+    order of all keys is made: one pass over the grid finds each query's best positive, a second one counts the other keys
+    that come before it. A query without positives has no row.
+    """
 
+    def best(cell: pa.Table) -> pa.Table:
+        q, k, s, pos = _sides(cell)
+        a, b = q["id"].to_numpy(), k["id"].to_numpy()
+        out = []
+        if s.size:
+            s = np.where(pos & (a[:, None] != b[None, :]), np.round(s, 9), -np.inf)
+            at = s.argmax(1)  # keys are in order, so the first of equal ones
+            out = [(a[r], s[r, c], b[c]) for r, c in enumerate(at) if s[r, c] > -np.inf]
+        return pa.table({"i": pa.array([o[0] for o in out], pa.int64()), "top": pa.array([o[1] for o in out], pa.float64()), "key": pa.array([o[2] for o in out], pa.int64())})
+
+    def ahead(cell: pa.Table) -> pa.Table:
+        q, k, s, pos = _sides(cell)
+        n = np.zeros(len(q), np.int64)
+        if s.size:
+            s, top, key = np.round(s, 9), q["top"].to_numpy()[:, None], q["key"].to_numpy()[:, None]
+            n = (~pos & ((s > top) | ((s == top) & (k["id"].to_numpy()[None, :] < key)))).sum(1)
+        return pa.table({"i": q["id"].combine_chunks().cast(pa.int64()), "n": pa.array(n, pa.int64())})
+
+    found = _placed(grid(queries, keys, False, ("fam",), ("fam",)), best, "i long, top double, key long")
+    tops = found.groupBy("i").agg(F.max_by(F.struct("top", "key"), F.struct("top", -F.col("key"))).alias("b")).select(F.col("i").alias("id"), "b.*")
+    left = cut(queries.join(tops, "id"))
+    return _placed(grid(left, keys, False, ("fam", "top", "key"), ("fam",)), ahead, "i long, n long").groupBy("i").agg(F.sum("n").alias("rank"))
+
+
+def recall_at_k(first: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The share of queries whose first positive (i, rank) is among the first k keys."""
+    hits = first.agg(F.count(F.when(F.col("rank") < k, 1)).alias("hits"))
+    return hits.crossJoin(queries.agg(F.count("*").alias("n"))).select(F.try_divide("hits", "n").alias("recall_at_k"))  # one row each
+
+
+def median_rank(first: DataFrame) -> DataFrame:
+    """The lower median of the first positives' ranks."""
+    return first.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY rank)").cast("double").alias("median_rank"))
 
-def first_positive(pairs: DataFrame) -> DataFrame:
-    """(i, rank): the rank of each row's first positive."""
-    return ranked(pairs).where("pos").groupBy("i").agg(F.min("rank").alias("rank"))
 
+def positive_pairs(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(i, positives, pairs): keys of a query's family and itself, and all keys; from counts by family, no pair is made.
+
+    queries are rows of keys (id, fam). One without a family has itself alone.
+    """
+    sizes = keys.where("fam IS NOT NULL").groupBy("fam").agg(F.count("*").alias("positives"))
+    rows = queries.select(F.col("id").alias("i"), "fam").join(sizes, "fam", "left")
+    return rows.crossJoin(F.broadcast(keys.agg(F.count("*").alias("pairs")))).select("i", F.coalesce("positives", F.lit(1)).alias("positives"), "pairs")  # one row
 
-def median_rank(pairs: DataFrame) -> DataFrame:
-    """The lower median of the first positives' ranks."""
-    return first_positive(pairs).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY rank)").cast("double").alias("median_rank"))
 
+def info_nce(queries: DataFrame, keys: DataFrame, temperature: float = 1.0, mask_from: float | None = None) -> DataFrame:
+    """(loss): -sum t log softmax, t even over a query's positives, mean over all queries (id, fam, v) against all keys.
+
+    Pairs that aren't positive and whose score reaches mask_from get the logit MASKED. Each cell of the grid sends one row
+    a query: its largest logit, the sum of the exponentials below it, and the sum and number of positives.
+    """
 
-def info_nce(pairs: DataFrame) -> DataFrame:
-    """(loss): -sum t log softmax, t even over a row's positives, mean over rows."""
-    top = pairs.groupBy("i").agg(F.max("logit").alias("top"))
-    rest = pairs.join(top, "i").groupBy("i").agg((F.max("top") + F.ln(F.sum(F.exp(F.col("logit") - F.col("top"))))).alias("lse"), F.avg(F.when(F.col("pos"), F.col("logit"))).alias("mean_pos"))
-    return rest.agg(F.avg(F.col("lse") - F.col("mean_pos")).alias("loss"))
+    def part(cell: pa.Table) -> pa.Table:
+        q, _, s, pos = _sides(cell)
+        if not s.size:
+            q, s, pos = q.slice(0, 0), np.zeros((0, 1)), np.zeros((0, 1), bool)
+        logit = s / temperature
+        if mask_from is not None:
+            logit[(s >= mask_from) & ~pos] = MASKED
+        top = logit.max(1)
+        sums = {"top": top, "rest": np.exp(logit - top[:, None]).sum(1), "good": np.where(pos, logit, 0).sum(1)}
+        return pa.table({"i": q["id"].combine_chunks().cast(pa.int64()), **{n: pa.array(c, pa.float64()) for n, c in sums.items()}, "n": pa.array(pos.sum(1), pa.int64())})
+
+    parts = cut(_placed(grid(queries, keys, False, ("fam",), ("fam",)), part, "i long, top double, rest double, good double, n long"))
+    most = parts.groupBy("i").agg(F.max("top").alias("most"))
+    each = parts.join(most, "i").groupBy("i").agg((F.max("most") + F.ln(F.sum(F.col("rest") * F.exp(F.col("top") - F.col("most"))))).alias("lse"), F.try_divide(F.sum("good"), F.sum("n")).alias("good"))
+    return each.agg(F.avg(F.col("lse") - F.col("good")).alias("loss"))
 
 
 def micro_scores(pred: DataFrame, threshold: float = 0.5, eps: float = 1e-8) -> DataFrame:

@@ -45,18 +45,21 @@ def layer_means(rows: DataFrame, by: list[str], vector: str = "v") -> DataFrame:
     return rows.select(*by, F.posexplode(V.doubles(vector)).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("mean"), F.count("x").alias("n"))
 
 
-def _grid(left: DataFrame, right: DataFrame, half: bool) -> DataFrame:
-    """Rows (id, v) of both sides, each in every cell (lane, block) that needs it; half: only cells with lane <= block."""
+def grid(left: DataFrame, right: DataFrame, half: bool, left_more: tuple = (), right_more: tuple = ()) -> DataFrame:
+    """Rows (id, v) of both sides, each in every cell (lane, block) that needs it; half: only cells with lane <= block.
+
+    left_more and right_more name further columns that go along; on the other side they are null.
+    """
     deal = lambda df, n: F.pmod(F.xxhash64("id"), F.lit(n))
     n, m = (max(1, -(-df.count() // BLOCK)) for df in (left, right))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    a = left.select(F.lit(True).alias("own"), "id", V.doubles("v").alias("v"), deal(left, n).alias("lane"), every(m).alias("block"))
-    b = right.select(F.lit(False).alias("own"), "id", V.doubles("v").alias("v"), every(n).alias("lane"), deal(right, m).alias("block"))
-    cells = a.unionByName(b)
+    a = left.select(F.lit(True).alias("own"), "id", V.doubles("v").alias("v"), *left_more, deal(left, n).alias("lane"), every(m).alias("block"))
+    b = right.select(F.lit(False).alias("own"), "id", V.doubles("v").alias("v"), *right_more, every(n).alias("lane"), deal(right, m).alias("block"))
+    cells = a.unionByName(b, allowMissingColumns=True)
     return cells.where("lane <= block") if half else cells
 
 
-def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     t = t.sort_by("id")
     v = t["v"].combine_chunks()
     return t["id"].to_numpy(), v.values.to_numpy(zero_copy_only=False).reshape(len(t), -1)[:, :] if len(t) else np.empty((0, 0))
@@ -64,7 +67,7 @@ def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     own = cell["own"].to_numpy()
-    return *_matrix(cell.filter(pa.array(own))), *_matrix(cell.filter(pa.array(~own)))
+    return *matrix(cell.filter(pa.array(own))), *matrix(cell.filter(pa.array(~own)))
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -84,7 +87,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
                 out += [(a[row], b[j], s[row, j]) for j in best if s[row, j] > -np.inf]
         return pa.table({n: pa.array([r[i] for r in out], kind) for i, (n, kind) in enumerate((("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float64())))})
 
-    found = _grid(left, right, False).groupBy("lane", "block").applyInArrow(run, "src long, dst long, sim double")
+    found = grid(left, right, False).groupBy("lane", "block").applyInArrow(run, "src long, dst long, sim double")
     order = W.partitionBy("src").orderBy(F.desc(F.round("sim", 9)), "dst")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -101,7 +104,7 @@ def pairs_at_least(rows: DataFrame, threshold: float) -> DataFrame:
         p, q = np.nonzero((s >= threshold) & ((a[:, None] < b[None, :]) if same else (a[:, None] != b[None, :])))
         return pa.table({"i": np.minimum(a[p], b[q]), "j": np.maximum(a[p], b[q]), "sim": s[p, q]})
 
-    return _grid(rows, rows, True).groupBy("lane", "block").applyInArrow(run, "i long, j long, sim double")
+    return grid(rows, rows, True).groupBy("lane", "block").applyInArrow(run, "i long, j long, sim double")
 
 
 def perpendicular_order(fonts: DataFrame, location: Column) -> DataFrame:

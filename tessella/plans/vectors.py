@@ -10,8 +10,6 @@ from tessella.functions import vector as V
 from tessella.operators import graph, retrieval, similarity
 from tessella.plans.tables import font_meta, vector_of, vectors
 
-#: The share of vectors that serve as queries in the retrieval scores; the others are the keys.
-QUERY_EVERY = 50
 THRESHOLD = 0.35
 
 
@@ -65,48 +63,43 @@ def greedy_diverse_4(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.representatives(vectors(spark, sf, "font"), vector_of(spark, sf, 0), 4).select("rank", "font")
 
 
-def _batch(spark: SparkSession, sf: str, families: bool = True, temperature: float = 1.0, mask: bool = False) -> DataFrame:
-    v = vectors(spark, sf)
-    q = v.where(F.col("id") % QUERY_EVERY == 0)
-    k = v if families else v.withColumn("fam", F.lit(None).cast("int"))
-    return retrieval.scored_pairs(q, k, None, temperature, THRESHOLD if mask else None)
-
-
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def recall(spark: SparkSession, sf: str) -> DataFrame:
-    own = retrieval.recall_at_k(_others(_batch(spark, sf)), 10)
-    return rounded(own)
-
-
-def _others(pairs: DataFrame) -> DataFrame:
-    return pairs.where("i <> j")
+    v = vectors(spark, sf)
+    return rounded(retrieval.recall_at_k(retrieval.first_positive(v, v), v, 10))
 
 
 def median(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.median_rank(_others(_batch(spark, sf)))
+    v = vectors(spark, sf)
+    return retrieval.median_rank(retrieval.first_positive(v, v))
 
 
 def first_positive_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.first_positive(_others(_batch(spark, sf))).withColumn("rank", F.col("rank").cast("long"))
+    v = vectors(spark, sf)
+    return retrieval.first_positive(v, v)
 
 
 def infonce(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(retrieval.info_nce(_batch(spark, sf, temperature=0.04)))
+    v = vectors(spark, sf)
+    return rounded(retrieval.info_nce(v, v, 0.04))
 
 
 def infonce_diagonal(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(retrieval.info_nce(_batch(spark, sf, families=False, temperature=0.04)))
+    v = vectors(spark, sf).withColumn("fam", F.lit(None).cast("int"))
+    return rounded(retrieval.info_nce(v, v, 0.04))
 
 
 def infonce_masked(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(retrieval.info_nce(_batch(spark, sf, temperature=0.04, mask=True)))
+    v = vectors(spark, sf)
+    return rounded(retrieval.info_nce(v, v, 0.04, THRESHOLD))
 
 
 def positive_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _batch(spark, sf).groupBy("i").agg(F.sum(F.col("pos").cast("long")).alias("positives"), F.count("*").alias("pairs"))
+    v = vectors(spark, sf)
+    return retrieval.positive_pairs(v, v)
 
 
 def vector_scalars(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,8 +188,7 @@ _E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label AS fam FROM emb
 _N = "n AS (SELECT id, fam, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS u FROM e)"
 _P = "p AS (SELECT fam AS font, pos, avg(x) AS x, count(*) AS n FROM (SELECT fam, unnest(range(len(u))) AS pos, unnest(u) AS x FROM n) GROUP BY fam, pos)"
 _KNN = "WITH nn AS (SELECT vec_id AS id, list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS d FROM embeddings ORDER BY d, id LIMIT 20) SELECT id, p_name AS name, round(d, 6) AS distance, p_brand AS location, p_type AS file FROM nn JOIN part ON p_partkey = id"
-_S = f"""q AS (SELECT * FROM e WHERE id % {QUERY_EVERY} = 0),
-s AS (SELECT q.id AS i, k.id AS j, list_inner_product(q.v, k.v) AS logit, q.fam = k.fam OR q.id = k.id AS pos FROM q CROSS JOIN e k)"""
+_S = "s AS (SELECT q.id AS i, k.id AS j, list_inner_product(q.v, k.v) AS logit, q.fam = k.fam OR q.id = k.id AS pos FROM e q CROSS JOIN e k)"
 _R = "r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(logit, 9) DESC, j) - 1 AS rank FROM s WHERE i <> j)"
 _NCE = "SELECT round(avg(lse - mp), 6) AS loss FROM (SELECT i, max(top) + ln(sum(exp(l - top))) AS lse, avg(l) FILTER (pos) AS mp FROM (SELECT *, max(l) OVER (PARTITION BY i) AS top FROM {}) GROUP BY i)"
 _PAIR = f"pr AS (SELECT a.id AS i, b.id AS j, list_inner_product(a.v, b.v) AS sim FROM e a JOIN e b ON a.id < b.id WHERE list_inner_product(a.v, b.v) >= {THRESHOLD})"

@@ -134,8 +134,8 @@ def test_cycle_total(spark):
 def test_info_nce(spark):
     q = spark.createDataFrame([(0, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0]), (2, 1, [0.6, 0.8])], "id int, fam int, v array<double>")
     k = spark.createDataFrame([(0, 1, [0.8, 0.6]), (1, 2, [0.0, 1.0]), (2, 1, [1.0, 0.0])], "id int, fam int, v array<double>")
-    a = retrieval.info_nce(retrieval.scored_pairs(q, k, None, 0.04)).first().loss
-    b = retrieval.info_nce(retrieval.scored_pairs(k, q, None, 0.04)).first().loss
+    a = retrieval.info_nce(q, k, 0.04).first().loss
+    b = retrieval.info_nce(k, q, 0.04).first().loss
     assert (a + b) / 2 == pytest.approx(2.341677, abs=1e-5)
 
 

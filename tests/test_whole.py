@@ -65,3 +65,34 @@ def test_evolution_fills_its_population(spark):
     fonts = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(5)], "font int, v array<double>")
     got = paths.evolve(fonts, nodes=4, population=10, keep=4, steps=2).collect()
     assert len({r.path_id for r in got}) == 4 and all(len({r.font for r in got if r.path_id == p}) == 4 for p in {r.path_id for r in got})
+
+
+def test_retrieval_scores_over_several_blocks(spark, monkeypatch):
+    """All rows as queries, ties, rows without a family or a relative, on a grid of many cells."""
+    import numpy as np
+
+    from tessella.operators import retrieval, similarity
+
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    x = np.random.default_rng(5).normal(size=(70, 6))
+    x[7] = x[3]  # a tie
+    fam = [None if k % 11 == 0 else 99 if k == 5 else k % 4 for k in range(70)]
+    v = spark.createDataFrame([(k, fam[k], x[k].tolist()) for k in range(70)], "id long, fam int, v array<double>")
+    s = np.round(x @ x.T, 9)
+    same = np.array([[a == b or (fam[a] is not None and fam[a] == fam[b]) for b in range(70)] for a in range(70)])
+    want = {}
+    for i in range(70):
+        order = sorted((j for j in range(70) if j != i), key=lambda j: (-s[i, j], j))
+        if hits := [r for r, j in enumerate(order) if same[i, j]]:
+            want[i] = hits[0]
+    first = retrieval.first_positive(v, v)
+    assert {r.i: r["rank"] for r in first.collect()} == want and 5 not in want and 0 not in want
+    assert retrieval.recall_at_k(first, v, 3).first().recall_at_k == pytest.approx(sum(r < 3 for r in want.values()) / 70)
+    assert {r.i: (r.positives, r.pairs) for r in retrieval.positive_pairs(v, v).collect()} == {i: (same[i].sum(), 70) for i in range(70)}
+    for bound in (None, 1.0):
+        logit = x @ x.T / 0.5
+        if bound:
+            logit[(x @ x.T >= bound) & ~same] = retrieval.MASKED
+        lse = np.log(np.exp(logit - logit.max(1, keepdims=True)).sum(1)) + logit.max(1)
+        assert retrieval.info_nce(v, v, 0.5, bound).first().loss == pytest.approx((lse - (logit * same).sum(1) / same.sum(1)).mean())
+    assert retrieval.first_positive(v.limit(0), v.limit(0)).count() == 0 and retrieval.info_nce(v.limit(0), v.limit(0)).first().loss is None
