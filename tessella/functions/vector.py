@@ -121,16 +121,23 @@ def padded(tokens: Column | str, length: Column | int, fill: Column | int = 0) -
     return F.concat(t, F.array_repeat(F.lit(fill) if isinstance(fill, int) else fill, F.greatest(n - F.size(t), F.lit(0))))
 
 
+def drawn(key: Column, place: Column | int, seed: int) -> Column:
+    """A number in [0, 1) from key, place and seed that any engine can compute alike."""
+    prime = F.lit(2_147_483_647).cast("long")
+    k = F.lit(place) if isinstance(place, int) else place
+    h = F.pmod(F.pmod(key.cast("long"), prime) * 48_271 + k.cast("long") * 69_621 + seed, prime)
+    return F.pmod(F.pmod(h * h, prime) * 48_271 + h, prime) / 2_147_483_647.0
+
+
 def noised(pixels: Column | str, side: int, key: Column, seed: int = 1234, share: float = 0.4) -> Column:
-    """A square image with a patch of a quarter of its side, and a share of all other pixels, set to 0; drawn by key."""
-    u = lambda *c: F.pmod(F.xxhash64(key, F.lit(seed), *c), F.lit(1_000_003)) / 1_000_003.0
+    """A square image with a patch of a quarter of its side, and a share of all other pixels, set to 0; drawn by a whole key."""
     patch = max(1, side // 4)
-    top, left = (F.floor(u(F.lit(k)) * (side - patch + 1)) for k in ("top", "left"))
+    top, left = (F.floor(drawn(key, k, seed) * (side - patch + 1)) for k in (-1, -2))
 
     def one(x: Column, k: Column) -> Column:
         row, col = F.floor(k / side), k % side
         inside = (row >= top) & (row < top + patch) & (col >= left) & (col < left + patch)
-        return F.when(inside | (u(k) < share), F.lit(0.0)).otherwise(x)
+        return F.when(inside | (drawn(key, k, seed) < share), F.lit(0.0)).otherwise(x)
 
     return F.transform(doubles(pixels), one)
 

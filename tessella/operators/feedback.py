@@ -58,6 +58,12 @@ def drained(registry: DataFrame, store: DataFrame, key: str) -> tuple[DataFrame,
     return store.unionByName(registry.join(store.select(key), key, "left_anti")), registry.join(registry.select(key), key, "left_anti")
 
 
+def step_log(steps: DataFrame, step: str, every: int = 25, save: int = 1000) -> DataFrame:
+    """The steps whose metrics are logged or after which a checkpoint is saved, with logged and saved."""
+    due = lambda n: F.col(step) % n == 0
+    return steps.where(due(every) | due(save)).withColumn("logged", due(every)).withColumn("saved", due(save))
+
+
 def early_stop(losses: DataFrame, run: str, order: str, loss: str) -> DataFrame:
     """losses with better_before (earlier losses below the current one) and stop (two or more of them)."""
     earlier = F.collect_list(loss).over(W.partitionBy(run).orderBy(order).rowsBetween(W.unboundedPreceding, -1))

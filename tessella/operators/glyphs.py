@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import vector as V
-from tessella.operators.graph import numbered
+from tessella.operators.graph import carried, numbered
 
 
 def case_pairs(glyphs: DataFrame) -> DataFrame:
@@ -32,11 +32,11 @@ def pair_offsets(glyphs: DataFrame) -> DataFrame:
 def decode_pairs(indices: DataFrame, offsets: DataFrame) -> DataFrame:
     """(idx, font, left, right): the pair of glyphs that an index stands for.
 
-    Each index finds its font as the last offset at or before it: one pass over both, sorted, instead of a range join.
+    Each index finds its font as the last offset at or before it: one pass over both, sorted in ranges, no range join.
     """
     marks = offsets.where("n > 0").select(F.col("pair_off").alias("at"), F.struct("font", "n", "glyph_off", "pair_off").alias("f"), F.lit(None).cast("long").alias("idx"), F.lit(0).alias("o"))
     both = marks.unionByName(indices.select(F.col("idx").alias("at"), F.lit(None).cast(marks.schema["f"].dataType).alias("f"), "idx", F.lit(1).alias("o")))
-    found = both.withColumn("f", F.last("f", ignorenulls=True).over(W.orderBy("at", "o").rowsBetween(W.unboundedPreceding, 0))).where("idx IS NOT NULL")
+    found = carried(both, "f", "at", "o").where("idx IS NOT NULL")
     inside = (F.col("idx") >= F.col("f.pair_off")) & (F.col("idx") < F.col("f.pair_off") + F.col("f.n") * F.col("f.n"))
     rest = F.col("idx") - F.col("f.pair_off")
     return found.where(inside).select("idx", F.col("f.font").alias("font"), (F.col("f.glyph_off") + F.floor(rest / F.col("f.n"))).alias("left"), (F.col("f.glyph_off") + rest % F.col("f.n")).alias("right"))

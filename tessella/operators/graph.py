@@ -41,6 +41,19 @@ def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
     return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
 
 
+def carried(rows: DataFrame, value: str, *order: Column | str) -> DataFrame:
+    """rows with the last value that isn't null at or before them in a total order, whatever the range that it stands in.
+
+    Each range fills its own rows; what it needs from before is one value for each range.
+    """
+    placed = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ends = placed.where(F.col(value).isNotNull()).groupBy("_range").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    ranges = placed.select("_range").distinct().join(ends, "_range", "left")  # a row for each range, that is for each partition
+    before = ranges.select("_range", F.last("_last", ignorenulls=True).over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    own = F.last(value, ignorenulls=True).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return placed.join(F.broadcast(before), "_range").withColumn(value, F.coalesce(own, "_before")).drop("_range", "_before")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the least node that each node (one column) reaches over edges (two columns).
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.operators.graph import cut
 from tessella.operators.similarity import grid, matrix
@@ -163,6 +167,41 @@ def residual_correlation(style: DataFrame, reference: DataFrame, by: list[str])
     return both.groupBy(*by).agg(F.corr(F.col("t") - F.col("t0"), F.col("p") - F.col("p0")).alias("r"), F.count("*").alias("n"))
 
 
+@F.pandas_udf(T.DoubleType())
+def _two_sided(r: pd.Series, n: pd.Series) -> pd.Series:
+    """I_x(a, 1/2) at x = 1 - r^2 and a = n / 2 - 1, by its continued fraction."""
+
+    def one(r: float, n: float) -> float | None:
+        if not (math.isfinite(r) and math.isfinite(n)) or n < 3:
+            return None
+        a, b, x = n / 2 - 1, 0.5, max(0.0, 1 - r * r)
+        if x in (0.0, 1.0):
+            return x
+        front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+        turned = x > (a + 1) / (a + b + 2)
+        p, q, y = (b, a, 1 - x) if turned else (a, b, x)
+        c, d = 1.0, 1 / (1 - (p + q) * y / (p + 1))
+        out = d
+        for m in range(1, 10_000):
+            for t in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+                d, c = 1 / (1 + t * d), 1 + t / c
+                out *= d * c
+            if abs(d * c - 1) < 1e-15:
+                break
+        return 1 - front * out / p if turned else front * out / p
+
+    return pd.Series([one(x, y) for x, y in zip(r.astype(float), n.astype(float), strict=True)], dtype=float)
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """The two-sided p-value of a Pearson r over n pairs: the chance of one as large where there is no correlation.
+
+    Null for fewer than three pairs or where r isn't finite.
+    """
+    p = _two_sided(F.coalesce(r, F.lit(float("nan"))), n.cast("double"))
+    return F.when(~F.isnan(p), p)
+
+
 def best_layer(scores: DataFrame, models: list[str]) -> DataFrame:
     """(image, one column for each text model): the best of all layers; NaN counts as missing unless all are NaN."""
     clean = scores.withColumn("score", F.when(~F.isnan("score"), F.col("score")))

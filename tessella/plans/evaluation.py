@@ -74,6 +74,13 @@ def pearson_residual(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.residual_correlation(s.where("style > 0"), s.where("style = 0"), ["style"]))
 
 
+def pearson_p_value(spark: SparkSession, sf: str) -> DataFrame:
+    """The correlations of pearson_residual with their two-sided p-values."""
+    s = _style(spark, sf).where("family = 'A'")
+    r = R.residual_correlation(s.where("style > 0"), s.where("style = 0"), ["style"])
+    return r.select("style", F.round("r", 6).alias("r"), "n", F.round(R.correlation_p(F.col("r"), F.col("n")), 6).alias("p"))
+
+
 def reference_style_series(spark: SparkSession, sf: str) -> DataFrame:
     """Correlations by family and style, keyed by a composed name as files have it."""
     s = _style(spark, sf).withColumn("name", F.concat_ws(" ", "family", "style"))
@@ -127,7 +134,7 @@ def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        micro_prf, precision_recall_at_k, mean_avg_precision, average_precision_by_tag, auc_diag, cohens_d, diag_diff, masked_mean, pearson_residual, reference_style_series,
+        micro_prf, precision_recall_at_k, mean_avg_precision, average_precision_by_tag, auc_diag, cohens_d, diag_diff, masked_mean, pearson_residual, pearson_p_value, reference_style_series,
         best_layer_pivot, covariance_penalty, gram_matrix, softmax_select, score_histogram,
     )
 }
@@ -151,6 +158,9 @@ ORACLE = {
     "diag_diff": f"WITH {_M} SELECT round(avg(s) FILTER (di) - avg(s) FILTER (NOT di), 6) AS diff FROM m",
     "masked_mean": "WITH c AS (SELECT l_linenumber % 3 AS layer, l_returnflag AS f1, l_linestatus AS f2, l_partkey % 7 = l_suppkey % 7 AS eq, l_discount AS s FROM lineitem) SELECT layer, f1, f2, round(avg(s) FILTER (eq), 6) AS mean, true AS same FROM c GROUP BY ALL UNION ALL SELECT layer, f1, f2, round(avg(s) FILTER (NOT eq), 6), false FROM c GROUP BY ALL",
     "pearson_residual": f"WITH {_ST} SELECT style, round(corr(t, p), 6) AS r, count(*) AS n FROM b WHERE family = 'A' GROUP BY style",
+    "pearson_p_value": f"""WITH {_ST}, c AS (SELECT style, corr(t, p) AS r, count(*) AS n FROM b WHERE family = 'A' GROUP BY style), x AS (SELECT *, n / 2 - 1 AS a, 1 - r * r AS x FROM c),
+        k AS (SELECT style, sum(exp(lgamma(a + 0.5 + k) - lgamma(a + 1 + k) - lgamma(0.5) + (a + k) * ln(x) + 0.5 * ln(1 - x))) AS p FROM x, range(200000) s(k) GROUP BY style)
+        SELECT style, round(r, 6) AS r, n, round(p, 6) AS p FROM c JOIN k USING (style)""",
     "reference_style_series": f"WITH {_ST} SELECT family || ' ' || style AS name, round(corr(t, p), 6) AS r, count(*) AS n FROM b GROUP BY ALL",
     "best_layer_pivot": "SELECT o_orderpriority AS image, max(o_totalprice) FILTER (o_orderstatus = 'F') AS F, max(o_totalprice) FILTER (o_orderstatus = 'O') AS O, CASE WHEN o_orderpriority = '5-LOW' THEN 'nan'::DOUBLE ELSE max(o_totalprice) FILTER (o_orderstatus = 'P') END AS P FROM orders GROUP BY o_orderpriority",
     "covariance_penalty": f"WITH {_X}, c AS (SELECT vec_id, k, x - avg(x) OVER (PARTITION BY k) AS x FROM e), s AS (SELECT a.k, b.k AS k2, sum(a.x * b.x) / ((SELECT count(*) FROM embeddings) - 1 + 1e-6) AS s FROM c a JOIN c b USING (vec_id) GROUP BY ALL) SELECT round(sqrt(sum((s - (k = k2)::INT) ** 2)), 6) AS penalty FROM s",

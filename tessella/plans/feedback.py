@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessella.functions import vector as V
 from tessella.operators import descriptions as D
 from tessella.operators import feedback as B
+from tessella.operators.graph import numbered
 from tessella.plans.tables import table
 from tessella.plans.vectors import rounded
 
@@ -82,6 +83,12 @@ def running_loss(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(steps.where("step % 25 = 0"))
 
 
+def step_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as training steps: those whose loss is logged or after which a checkpoint is saved."""
+    steps = numbered(events(spark, sf).select("event_id", (F.col("value") / 100).alias("loss")), "step", "event_id")
+    return rounded(B.step_log(steps.withColumn("step", F.col("step") + 1), "step").select("step", "event_id", "loss", "saved"))
+
+
 def describe_append(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select((F.col("doc_id") * 7 % 5000).alias("p_partkey"), "doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit("  ")).otherwise(F.left("text", F.lit(20))).alias("description"))
     return B.append_valid(rows, table(spark, sf, "part"), "p_partkey", "description")
@@ -131,7 +138,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_rating, approval_state, approval_log, rating_log, rate_limit_hourly, ring_buffer_last_n, last_n_buffer, last_write_wins, early_stop, best_so_far, ema_fold,
-        running_loss, describe_append, describe_append_whole, resume_anti, completed_union, registry_drain, foreign_key_lookup, token_expiry,
+        running_loss, step_log, describe_append, describe_append_whole, resume_anti, completed_union, registry_drain, foreign_key_lookup, token_expiry,
     )
 }
 
@@ -151,6 +158,7 @@ ORACLE = {
     "best_so_far": "SELECT event_id, min(value) OVER w AS best, (min({'v': value, 'e': event_id, 'i': event_type}) OVER w).i AS best_item FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     "ema_fold": "WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS back FROM events) SELECT user_id, round(sum(value * 0.1 * power(0.9, back)), 6) AS ema FROM n GROUP BY user_id",
     "running_loss": "WITH s AS (SELECT user_id, row_number() OVER w AS step, avg(value / 100) OVER w AS mean, exp(value / 100) AS perplexity FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT user_id, step, round(mean, 6) AS mean, round(perplexity, 6) AS perplexity FROM s WHERE step % 25 = 0",
+    "step_log": "SELECT step, event_id, round(value / 100, 6) AS loss, step % 1000 = 0 AS saved FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS step FROM events) WHERE step % 25 = 0",
     "describe_append": "SELECT doc_id * 7 % 5000 AS p_partkey, doc_id, left(text, 20) AS description FROM documents WHERE doc_id % 9 <> 0 AND length(trim(left(text, 20))) > 0 AND doc_id * 7 % 5000 IN (SELECT p_partkey FROM part)",
     "describe_append_whole": "SELECT doc_id * 7 % 5000 AS p_partkey, doc_id, text AS description FROM documents WHERE doc_id % 9 <> 0 AND length(trim(text)) > 0 AND doc_id * 7 % 5000 IN (SELECT p_partkey FROM part)",
     "resume_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",

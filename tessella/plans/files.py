@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
+from tessella.functions import vector as V
 from tessella.operators import descriptions as D
 from tessella.operators.graph import shared_root
 from tessella.operators.retrieval import best_layer
@@ -85,6 +86,80 @@ def store_tables(spark: SparkSession, sf: str) -> DataFrame:
     return t["fontsMeta"].groupBy("paid").agg(F.count("*").alias("n")).union(t["ratings"].agg(F.lit(None).cast("boolean").alias("paid"), F.count("*").alias("n")))
 
 
+def glyph_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as BMP files of 8 x 8 grey bytes, some of them cut short: decoded, as far as they can be."""
+    size = lambda n: F.lit(bytes([n & 255, n >> 8, 0, 0]))
+    head = F.concat(F.lit(b"BM"), size(54 + 64), size(0), size(54), size(40), size(8), size(8), F.lit(bytes([1, 0, 8, 0])), F.lit(bytes(24)))
+    grey = F.transform(V.doubles("embedding"), lambda x: F.least(F.greatest(F.floor(x * 256 + 128), F.lit(0)), F.lit(255)))
+    body = F.unhex(F.array_join(F.transform(grey, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("/g/"), "vec_id", F.lit(".bmp")).alias("path"), F.concat(head, F.when(F.col("vec_id") % 10 == 9, F.substring(body, 1, 9)).otherwise(body)).alias("content"))
+    got = readers.decode_images(e)
+    return rounded(got.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("vec_id"), "h", "w", F.get("pixels", F.lit(0)).alias("first"), F.get("pixels", F.lit(63)).alias("last")))
+
+
+def image_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as images of 8 x 8: the signed distance of each pixel to the set ones."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w"), V.doubles("embedding").alias("pixels"))
+    return rounded(readers.signed_distance(e, 0.1).select("vec_id", F.posexplode("sdf").alias("at", "distance")))
+
+
+def article_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages in folders, of which two in three are marked; the text of those."""
+    out = shared(spark)
+    p = table(spark, sf, "pages").select((F.col("page_id") % 30).alias("folder"), "page_id", F.col("html").alias("value"))
+    p.repartition(1, "folder").sortWithinPartitions("folder", "page_id").drop("page_id").write.partitionBy("folder").text(out)
+    p.where("folder % 3 > 0").select("folder", F.lit(1).alias("marked")).distinct().coalesce(1).write.mode("append").partitionBy("folder").json(out)
+    t = readers.articles(spark, out, ".json", "*.txt")
+    return t.select(F.regexp_extract("folder", "folder=([0-9]+)$", 1).cast("long").alias("folder"), "text")
+
+
+def saved_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """A vocabulary that is saved under two stamps: both stay, and the later one is the latest."""
+    out = shared(spark)
+    words = lambda k: table(spark, sf, "part").where(f"p_size > {k}").select("p_name").distinct()
+    stamps = {"2024-01-01 10-00": 0, "2024-01-02 10-00": 25}
+    for stamp, k in stamps.items():
+        readers.save_twice(words(k), out, stamp)
+    rows = [spark.read.parquet(f"{out}/{n}").select(F.lit(n).alias("copy"), "p_name") for n in (*stamps, "latest")]
+    return rows[0].union(rows[1]).union(rows[2]).groupBy("copy").agg(F.count("*").alias("n"), F.min("p_name").alias("first"))
+
+
+def activation_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Activations of two models by layer: a second run with other values adds what is missing, and leaves the rest."""
+    out = shared(spark)
+    e = table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("m"), F.col("label") % 2).alias("model"), (F.col("label") % 3).alias("layer"), F.get("embedding", F.lit(0)).cast("double").alias("x"))
+    readers.missing_parts(e.where("layer < 2 AND model = 'm0'"), out, ["model", "layer"])
+    got = readers.missing_parts(e.withColumn("x", F.col("x") + 1), out, ["model", "layer"])
+    return rounded(got.select("vec_id", "model", "layer", "x"))
+
+
+def transactions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two requests that commit and one that fails in between: the store holds what the two left."""
+    out, p = shared(spark), table(spark, sf, "part").select("p_partkey", "p_size")
+    readers.transaction(spark, out, lambda last: {"fonts": p.where("p_size > 25"), "ratings": p.where("p_size = 1")})
+
+    def failing(last: str) -> dict:
+        return {"fonts": p.where("p_size < 0"), "ratings": p.select("p_partkey", F.raise_error(F.lit("rolled back")).cast("int").alias("p_size"))}
+
+    try:
+        readers.transaction(spark, out, failing)
+        raise AssertionError("the failing request was committed")
+    except Exception as e:  # the engine's own kinds differ between classic and connect sessions
+        if "rolled back" not in str(e):
+            raise
+    last = readers.transaction(spark, out, lambda last: {"fonts": spark.read.parquet(f"{last}/fonts").union(p.where("p_size <= 5")), "ratings": spark.read.parquet(f"{last}/ratings")})
+    each = [spark.read.parquet(f"{last}/{n}").select(F.lit(n).alias("name"), "p_partkey") for n in ("fonts", "ratings")]
+    return each[0].union(each[1]).groupBy("name").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("mark"))
+
+
+def config_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A nested configuration parsed to a typed value and written again, with a value that was changed on the way."""
+    c = table(spark, sf, "events").select("event_id", F.concat(F.lit('{"model" : {"opt": '), "props", F.lit(', "size": '), F.col("user_id"), F.lit("}, \"name\": null}")).alias("config"))
+    kind = "model STRUCT<opt: MAP<STRING, BIGINT>, size: BIGINT>, name STRING"
+    changed = F.from_json("config", kind).withField("model.size", F.from_json("config", kind)["model"]["size"] + 1)
+    return c.select("event_id", F.to_json(changed).alias("config"))
+
+
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "pages").select("page_id", X.html_text("html").alias("text"))
     return t.select("page_id", "text", F.length("text").cast("long").alias("n"))
@@ -171,6 +246,7 @@ QUERIES = {
     for f in (
         tag_files_scan, category_csv_scan, family_csv_scan, query_json_scan, vector_cache_roundtrip, score_csv_sink, path_explode, store_tables, html_text, url_allowlist,
         registry_add, url_parts, config_dot_path, string_ops, query_template, checked_flag, union_sources, distinct_names, stream_rate_limit, stream_latest, star_join,
+        glyph_images, image_distance, article_scan, saved_twice, activation_parts, transactions, config_roundtrip,
     )
 }
 
@@ -179,7 +255,19 @@ _H = "regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|sty
 for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&amp;", "&")):
     _H = f"replace({_H}, '{_a}', '{_b}')"
 
+_X = "CASE WHEN vec_id % 10 = 9 THEN NULL ELSE round(least(greatest(floor(embedding[{}]::DOUBLE * 256 + 128), 0), 255) / 255, 6) END"
+_HP = _H.replace("html", "string_agg(html, chr(10) ORDER BY page_id)")
+
 ORACLE = {
+    "glyph_images": f"SELECT vec_id, CASE WHEN vec_id % 10 < 9 THEN 8 END AS h, CASE WHEN vec_id % 10 < 9 THEN 8 END AS w, {_X.format(57)} AS first, {_X.format(8)} AS last FROM embeddings",
+    "image_distance": """WITH p AS (SELECT vec_id, k, embedding[k + 1]::DOUBLE > 0.1 AS bit FROM embeddings, range(64) r(k)),
+        n AS (SELECT a.vec_id, a.k, coalesce(sqrt(min((a.k // 8 - b.k // 8) ** 2 + (a.k % 8 - b.k % 8) ** 2) FILTER (b.bit)), 8) AS yes, coalesce(sqrt(min((a.k // 8 - b.k // 8) ** 2 + (a.k % 8 - b.k % 8) ** 2) FILTER (NOT b.bit)), 8) AS no FROM p a JOIN p b USING (vec_id) GROUP BY a.vec_id, a.k)
+        SELECT vec_id, k::INT AS at, round((yes - no) / 8, 6) AS distance FROM n""",
+    "article_scan": f"WITH t AS (SELECT page_id % 30 AS folder, trim(regexp_replace({_HP}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM pages WHERE page_id % 30 % 3 > 0 GROUP BY page_id % 30) SELECT folder, text FROM t",
+    "saved_twice": "SELECT copy, count(DISTINCT p_name) AS n, min(p_name) AS first FROM part JOIN (VALUES ('2024-01-01 10-00', 0), ('2024-01-02 10-00', 25), ('latest', 25)) c(copy, k) ON p_size > k GROUP BY copy",
+    "activation_parts": "SELECT vec_id, 'm' || label % 2 AS model, label % 3 AS layer, round(embedding[1]::DOUBLE + CASE WHEN label % 3 < 2 AND label % 2 = 0 THEN 0 ELSE 1 END, 6) AS x FROM embeddings",
+    "transactions": "SELECT 'fonts' AS name, count(*) AS n, sum(p_partkey) AS mark FROM part WHERE p_size > 25 OR p_size <= 5 UNION ALL SELECT 'ratings', count(*), sum(p_partkey) FROM part WHERE p_size = 1 HAVING count(*) > 0",
+    "config_roundtrip": "SELECT event_id, '{\"model\":{\"opt\":' || replace(props, ' ', '') || ',\"size\":' || (user_id + 1) || '}}' AS config FROM events",
     "tag_files_scan": "SELECT DISTINCT p_name AS words, 1 AS n FROM part",
     "category_csv_scan": "SELECT p_name AS key, arg_max(p_type || ',' || p_brand, p_partkey) AS adjectives FROM part GROUP BY p_name",
     "family_csv_scan": "SELECT p_name AS family, p_type AS tag, round(arg_max(p_size / 100, p_partkey), 6) AS weight FROM part WHERE p_size <> 1 GROUP BY ALL",

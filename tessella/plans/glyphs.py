@@ -60,7 +60,7 @@ def full_glyph_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coverage_having(spark: SparkSession, sf: str) -> DataFrame:
-    return glyph_table(spark, sf).groupBy("font").agg(F.count_distinct("letter").alias("letters"), F.count("*").alias("n")).where("letters = 26")
+    return glyph_table(spark, sf).groupBy("font").agg(F.count_distinct("letter").alias("letters"), F.count("*").alias("n")).where("letters >= 23")
 
 
 def equal_freq_bins(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,6 +132,23 @@ def direction_swap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(one.union(two))
 
 
+def pixel_noise(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as images of 8 x 8, with a patch and random pixels set to 0."""
+    g = glyph_table(spark, sf).select("glyph", F.posexplode(V.noised("pixels", 8, F.col("glyph"))).alias("at", "x"))
+    return rounded(g)
+
+
+def padded_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Lengths of the words of texts, in batches of 16, padded to the longest of the batch."""
+    b = table(spark, sf, "benchmark").select("item_id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("tokens"))
+    longest = F.max(F.size("tokens")).over(W.partitionBy(F.floor(F.col("item_id") / 16)))
+    return b.select("item_id", F.array_join(V.padded("tokens", longest).cast("array<string>"), ",").alias("tokens"))
+
+
+def description_words(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", V.word_count("text").cast("long").alias("words"))
+
+
 def letter_class(spark: SparkSession, sf: str) -> DataFrame:
     """Even rows have the letter, odd ones its upper case; the class is the place in the charset, or -1."""
     g = glyph_table(spark, sf)
@@ -151,7 +168,7 @@ QUERIES = {
     for f in (
         case_pairs, pair_mse_p40, glyph_counts, pair_offsets, pair_index_decode, glyph_pairs_cross, full_glyph_coverage, coverage_having, equal_freq_bins, train_test_split,
         split_complement, holdout_split, filename_parse, charset_filter, member_filter, glyph_path_lookup, first_reference_image, name_order_index, block_index, direction_swap,
-        letter_class, glyph_strip,
+        letter_class, glyph_strip, pixel_noise, padded_batch, description_words,
     )
 }
 
@@ -169,7 +186,7 @@ ORACLE = {
     "pair_index_decode": f"WITH {_N}, i AS (SELECT o_orderkey * 3 AS idx FROM orders) SELECT idx, font, glyph_off + (idx - pair_off) // n AS left, glyph_off + (idx - pair_off) % n AS right FROM i JOIN off ON idx >= pair_off AND idx < pair_off + n * n",
     "glyph_pairs_cross": f"WITH {_G} SELECT a.font, count(*) AS pairs, count(*) FILTER (a.glyph = b.glyph) AS own, sum(a.glyph * b.glyph % 97) AS mark FROM g a JOIN g b ON a.font = b.font GROUP BY a.font",
     "full_glyph_coverage": f"WITH {_G} SELECT font FROM g GROUP BY font HAVING count(DISTINCT slot) = {SLOTS}",
-    "coverage_having": f"WITH {_G} SELECT font, count(DISTINCT letter) AS letters, count(*) AS n FROM g GROUP BY font HAVING count(DISTINCT letter) = 26",
+    "coverage_having": f"WITH {_G} SELECT font, count(DISTINCT letter) AS letters, count(*) AS n FROM g GROUP BY font HAVING count(DISTINCT letter) >= 23",
     "equal_freq_bins": "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS r, count(*) OVER () AS n FROM part) SELECT p_partkey, CASE WHEN n // 7 > 0 THEN least(r // (n // 7), 6) ELSE 6 END::INT AS bin FROM r",
     "train_test_split": f"WITH {_SP} SELECT * FROM sp",
     "split_complement": f"WITH {_SP} SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS side, count(*) AS n, count(DISTINCT l_partkey) AS parts FROM lineitem JOIN sp ON l_partkey = p_partkey GROUP BY is_train",
@@ -182,6 +199,11 @@ ORACLE = {
     "name_order_index": "SELECT p_partkey, p_name, dense_rank() OVER (ORDER BY p_name) - 1 AS font_num FROM part",
     "block_index": f"WITH {_G}, p AS (SELECT glyph, font, row_number() OVER (ORDER BY font, glyph) AS place FROM g) SELECT *, min(place) OVER (PARTITION BY font) AS first, max(place) OVER (PARTITION BY font) AS last FROM p",
     "direction_swap": f"WITH {_CP} SELECT font, letter, -1 AS side, round(upper[1], 6) AS source, round(lower[1], 6) AS target FROM cp UNION ALL SELECT font, letter, 0, round(lower[1], 6), round(lower[1], 6) FROM cp UNION ALL SELECT font, letter, 1, round(upper[1], 6), round(upper[1], 6) FROM cp",
+    "pixel_noise": f"""WITH {_G}, h(glyph, k, h) AS (SELECT glyph, k, (glyph % 2147483647 * 48271 + k * 69621 + 1234 + 2147483647) % 2147483647 FROM g, range(-2, 64) r(k)), u AS (SELECT glyph, k, ((h * h) % 2147483647 * 48271 + h) % 2147483647 / 2147483647.0::DOUBLE AS u FROM h),
+        c AS (SELECT a.glyph, floor(a.u * 7) AS top, floor(b.u * 7) AS left FROM u a JOIN u b USING (glyph) WHERE a.k = -1 AND b.k = -2)
+        SELECT glyph, u.k::INT AS at, round(CASE WHEN u.u < 0.4 OR (u.k // 8 >= c.top AND u.k // 8 < c.top + 2 AND u.k % 8 >= c.left AND u.k % 8 < c.left + 2) THEN 0 ELSE pixels[u.k + 1] END, 6) AS x FROM u JOIN c USING (glyph) JOIN g USING (glyph) WHERE u.k >= 0""",
+    "padded_batch": "WITH b AS (SELECT item_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS t FROM benchmark), m AS (SELECT *, max(len(t)) OVER (PARTITION BY item_id // 16) AS n FROM b) SELECT item_id, array_to_string(list_concat(t, list_transform(range(n - len(t)), lambda k: 0)), ',') AS tokens FROM m",
+    "description_words": "SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS words FROM documents",
     "letter_class": f"WITH {_G}, s AS (SELECT glyph, CASE WHEN glyph % 2 = 0 THEN letter ELSE upper(letter) END AS shown FROM g) SELECT *, instr('abcdefghijklmnopqrstuvwxyABCDEFGHIJKLMNOPQRSTUVWXY', shown) - 1 AS class FROM s",
     "glyph_strip": f"WITH {_O}, t AS (SELECT font, pixels, row_number() OVER (PARTITION BY font ORDER BY letter) - 1 AS k FROM o WHERE kase = 'l') SELECT font, r AS row, 2 * k + c AS col, round(pixels[2 * r + c + 1], 6) AS x FROM t, (SELECT unnest([0, 1]) AS r), (SELECT unnest([0, 1]) AS c)",
 }

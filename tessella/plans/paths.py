@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import vector as V
 from tessella.operators import paths as P
+from tessella.operators import simulation as M
 from tessella.operators import transfer as T
 from tessella.plans.tables import table, vector_of, vectors
 from tessella.plans.vectors import rounded
@@ -117,30 +118,32 @@ def clusters(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("cluster").agg(F.sort_array(F.collect_list("id")).alias("members"), F.count("*").alias("n"))
 
 
-def simulated_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    """A user who looks for some fonts by feedback: the rank of the target after each step of the location."""
+RATES = (0.3, 0.1, 0.01, 0.0001)
+
+
+def _searches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every font whose id is divisible by 100 is looked for at each learning rate."""
     fonts = vectors(spark, sf, "font")
-    targets, frames = [3, 17], []
-    for t in targets:
-        goal, place = vector_of(spark, sf, t), vector_of(spark, sf, 0)
-        for step in range(3):
-            ranked = fonts.withColumn("g", V.dot("v", goal))
-            ends = ranked.agg(F.max_by("v", "g").alias("best"), F.min_by("v", "g").alias("worst")).first()
-            moved = spark.range(1).select(V.moved_location(place, V.literal_vector(ends.best), V.literal_vector(ends.worst), 0.3).alias("l")).first().l
-            place = V.literal_vector(moved)
-            frames.append((t, step, moved))
-    steps = spark.createDataFrame(frames, "target long, step int, l array<double>")
-    scored = fonts.crossJoin(F.broadcast(steps)).select("target", "step", "font", V.dot("v", "l").alias("s"))
-    own = scored.where("font = target").select("target", "step", F.col("s").alias("own"))
-    ranks = scored.join(F.broadcast(own), ["target", "step"]).groupBy("target", "step").agg(F.sum((F.col("s") > F.col("own")).cast("long")).alias("rank"))  # a row for each step
-    return ranks.withColumn("found", F.col("rank") <= 10)
+    rates = F.posexplode(F.array(*(F.lit(r) for r in RATES))).alias("k", "rate")
+    trials = fonts.where("font % 100 = 0").select(F.col("font").alias("target"), rates).select((F.col("target") * len(RATES) + F.col("k")).alias("trial"), "rate", "target")
+    return M.searches(fonts, trials, vector_of(spark, sf, 1))
+
+
+def simulated_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    """A user who looks for fonts by feedback: the rank of the target at each search."""
+    return _searches(spark, sf).withColumn("found", F.col("rank") <= 10)
+
+
+def feedback_success(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of trials that find their font within 15 searches, by learning rate."""
+    return rounded(M.success(_searches(spark, sf)))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         cycle_score, top_paths, path_overlap, path_difference, path_crossover, hop_matrix, evolved_paths, coding_rate, transrate, logme, ridge_mse, h_alpha, control_scores,
-        principal_components, clusters, simulated_feedback,
+        principal_components, clusters, simulated_feedback, feedback_success,
     )
 }
 
@@ -152,7 +155,24 @@ o AS (SELECT path_id, avg(list_sum(list_transform(v, lambda x: abs(x))) / len(v)
 s AS (SELECT path_id, far, edge, std, out, 2 * far - 2 * edge - 2 * std + 0.7 * out AS score FROM f JOIN o USING (path_id))"""
 _AB = "ab AS (SELECT o_orderkey, o_custkey % 9 AS s, range(o_custkey % 9, o_custkey % 9 + 10) AS a, list_transform(range(10), lambda k: (k * 7 + o_custkey % 9) % 19) AS b FROM orders)"
 
+_G = """r AS (SELECT vec_id AS id, label AS fam, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
+z AS (SELECT id, fam, d, x - {} AS x FROM r)"""
+#: Elimination of a symmetric matrix m (a list of rows), whose pivots give the determinant.
+_DET = """det AS (SELECT key, n, m, 1 AS k, 0.0::DOUBLE AS ld FROM m0
+UNION ALL SELECT key, n, list_transform(m, lambda row, i: CASE WHEN i > k THEN list_transform(row, lambda x, j: x - row[k] / m[k][k] * m[k][j]) ELSE row END), k + 1, ld + ln(m[k][k]) FROM det WHERE k <= len(m))"""
+_RATES = """q AS (SELECT coalesce(a.fam, -1) AS key, a.d AS i, b.d AS j, count(*) AS n, (CASE WHEN a.d = b.d THEN 1 ELSE 0 END) + sum(a.x * b.x) / (count(*) * 1e-4) AS x FROM z a JOIN z b ON a.id = b.id GROUP BY GROUPING SETS ((a.fam, a.d, b.d), (a.d, b.d))),
+m0 AS (SELECT key, n, list(row ORDER BY i) AS m FROM (SELECT key, n, i, list(x ORDER BY j) AS row FROM q GROUP BY key, n, i) GROUP BY key, n),
+""" + _DET + ", rate AS (SELECT key, ld / 2 AS r FROM det WHERE k > len(m))"
+
 ORACLE = {
+    "coding_rate": f"WITH RECURSIVE {_G.format('0')}, {_RATES} SELECT round(r, 6) AS rate FROM rate WHERE key = -1",
+    "transrate": f"WITH RECURSIVE {_G.format('avg(x) OVER (PARTITION BY d)')}, {_RATES} SELECT round(max(r) FILTER (key = -1) - avg(r) FILTER (key >= 0), 6) AS score FROM rate",
+    "ridge_mse": f"""WITH RECURSIVE {_G.format('avg(x) OVER (PARTITION BY d)')}, c AS (SELECT a.d AS i, b.d AS j, sum(a.x * b.x) AS x FROM z a JOIN z b ON a.id = b.id WHERE a.d <= 40 AND b.d <= 40 GROUP BY a.d, b.d),
+        g AS (SELECT 1 AS k, list(row ORDER BY i) AS m FROM (SELECT i, list(x + (CASE WHEN i = j THEN 1 ELSE 0 END) ORDER BY j) AS row FROM c WHERE i <= 32 GROUP BY i)
+              UNION ALL SELECT k + 1, list_transform(m, lambda row, i: list_transform(row, lambda x, j: CASE WHEN i = k THEN x / m[k][k] ELSE x - row[k] / m[k][k] * m[k][j] END)) FROM g WHERE k <= 32),
+        w AS (SELECT i, j, m[i][j] AS w FROM g, range(1, 33) a(i), range(33, 41) b(j) WHERE k = 33),
+        err AS (SELECT w.j, max(own.x) - sum(w * (c.x + w)) AS e FROM w JOIN c ON c.i = w.i AND c.j = w.j JOIN c own ON own.i = w.j AND own.j = w.j GROUP BY w.j)
+        SELECT round(-avg(e) / (SELECT count(*) FROM embeddings), 6) AS score FROM err""",
     "cycle_score": f"WITH {_C} SELECT path_id, round(far, 6) AS far, round(edge, 6) AS edge, round(std, 6) AS std, round(out, 6) AS out, round(score, 6) AS score FROM s",
     "top_paths": f"WITH {_C} SELECT path_id, round(score, 6) AS score FROM s ORDER BY round(s.score, 6) DESC, path_id LIMIT 5",
     "path_overlap": f"WITH {_AB} SELECT o_orderkey, round(len(list_intersect(a, b)) / 10, 6) AS share, len(list_intersect(a, b)) / 10 <= 0.4 AS may FROM ab",

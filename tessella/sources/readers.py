@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
+from tessella.sources import png
 
 GLYPH = "font STRING, letter STRING, case STRING, path STRING, source STRING"
 FAMILY_TAGS = "family STRING, na STRING, tags STRING, weight STRING"
@@ -43,8 +45,11 @@ def glyph_files(spark: SparkSession, directory: str, source: str, suffix: str =
 
 
 def _decode(raw: bytes) -> tuple[int, int, list[float]] | None:
-    """Grey values 0..1 of an uncompressed BMP (8, 24 or 32 bits) or a raw array file; None if it can't be read."""
+    """Grey values 0..1 of a PNG, an uncompressed BMP (8, 24 or 32 bits) or a raw array file; None if it can't be read."""
     try:
+        if raw.startswith(png.SIGNATURE):
+            a = png.grey(raw)
+            return *a.shape, a.ravel().tolist()
         if raw[:6] == b"\x93NUMPY":
             import io
 
@@ -62,16 +67,25 @@ def _decode(raw: bytes) -> tuple[int, int, list[float]] | None:
         return None
 
 
-def load_images(spark: SparkSession, directory: str, suffix: str = "bmp") -> DataFrame:
-    """(path, h, w, pixels): decoded images; what can't be read has nulls."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(directory).select("path", "content")
+def decode_images(raw: DataFrame) -> DataFrame:
+    """(path, h, w, pixels) of raw (path, content): decoded images; what can't be read, or is null, has nulls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [_decode(bytes(c)) or (None, None, None) for c in b["content"]]
+            got = [(_decode(bytes(c)) if c is not None else None) or (None, None, None) for c in b["content"]]
             yield pd.DataFrame({"path": b["path"], "h": pd.array([g[0] for g in got], "Int32"), "w": pd.array([g[1] for g in got], "Int32"), "pixels": [g[2] for g in got]})
 
-    return raw.mapInPandas(run, "path string, h int, w int, pixels array<double>")
+    return raw.select("path", "content").mapInPandas(run, "path string, h int, w int, pixels array<double>")
+
+
+def load_images(spark: SparkSession, directory: str, suffix: str = "bmp") -> DataFrame:
+    """(path, h, w, pixels) of a folder's image files."""
+    return decode_images(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(directory))
+
+
+def converted(spark: SparkSession, directory: str, out: str, suffix: str = "png") -> DataFrame:
+    """The decoded images of a folder of market files, written as Parquet once; later calls read that."""
+    return cached(spark, out, lambda: market_normalised(load_images(spark, directory, suffix)))
 
 
 def signed_distance(images: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -79,11 +93,17 @@ def signed_distance(images: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     def one(h: int, w: int, pixels: list[float]) -> list[float]:
         bits = np.asarray(pixels).reshape(h, w) > threshold
-        y, x = np.mgrid[:h, :w]
+        far = float(h + w)
 
         def away(mask: np.ndarray) -> np.ndarray:
-            at = np.argwhere(mask)
-            return np.sqrt(((y[..., None] - at[:, 0]) ** 2 + (x[..., None] - at[:, 1]) ** 2).min(-1)) if len(at) else np.full((h, w), float(max(h, w)))
+            if not mask.any():
+                return np.full((h, w), float(max(h, w)))
+            place = np.arange(h)[:, None]
+            above = np.maximum.accumulate(np.where(mask, place, -far), 0)
+            below = np.minimum.accumulate(np.where(mask, place, h + far)[::-1], 0)[::-1]
+            column = np.minimum(place - above, below - place) ** 2  # squared distance within the column
+            x = np.arange(w)
+            return np.sqrt((column[:, None, :] + (x[:, None] - x[None, :]) ** 2).min(-1))
 
         return ((away(bits) - away(~bits)) / max(h, w)).ravel().tolist()
 
@@ -143,12 +163,12 @@ def family_csv(spark: SparkSession, path: str, header: bool = False) -> DataFram
     return rows.select("family", X.last_path_part("tags").alias("tag"), (F.col("weight").try_cast("double") / 100).alias("weight"), "seq").where("weight IS NOT NULL")
 
 
-def articles(spark: SparkSession, directory: str, marker: str = "METADATA.pb") -> DataFrame:
+def articles(spark: SparkSession, directory: str, marker: str = "METADATA.pb", files: str = "*.html") -> DataFrame:
     """(folder, text): the last HTML file of each folder that holds a marker file (not an empty one, which scans skip)."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path")
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
     marked = names.where(F.col("path").endswith(marker)).select(folder("path").alias("folder")).distinct()
-    html = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(directory, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    html = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(directory, wholetext=True).select(F.input_file_name().alias("file"), "value")
     pages = html.withColumn("folder", F.regexp_extract(F.url_decode("file"), r"^[a-z0-9]*:?/*(.*)/[^/]*$", 1))
     marked = marked.select(F.regexp_replace("folder", "^[a-z0-9]*:?/*", "").alias("folder"))
     last = pages.join(marked, "folder", "left_semi").groupBy("folder").agg(F.max_by("value", "file").alias("html"))
@@ -173,6 +193,19 @@ def cached(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def missing_parts(rows: DataFrame, path: str, parts: list[str]) -> DataFrame:
+    """The store at the path, by parts, after the parts of rows that it lacks are appended; finished ones stay as they are.
+
+    Rows of a finished part aren't computed again if the plan can tell by the parts' columns alone.
+    """
+    spark = rows.sparkSession
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*parts).parquet(path)
+    done = spark.read.schema(schema).parquet(path).select(*parts).distinct()  # a row for each part
+    rows.join(done, parts, "left_anti").write.mode("append").partitionBy(*parts).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def path_file(spark: SparkSession, path: str) -> DataFrame:
     """(path_id, pos, font): a path on each line, names apart by " -> "."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("path_id"), "value").where(F.length("value") > 0)
@@ -196,6 +229,39 @@ def create_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).parquet(f"{root}/{name}") for name, schema in TABLES.items()}
 
 
+def _files(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def committed(spark: SparkSession, root: str) -> str | None:
+    """The folder of the last committed version, None if there is none."""
+    path, fs = _files(spark, root)
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    versions = [int(n[1:]) for n in names if re.fullmatch(r"v\d+", n)]
+    return f"{root}/v{max(versions)}" if versions else None
+
+
+def transaction(spark: SparkSession, root: str, work: Callable[[str | None], dict[str, DataFrame]]) -> str:
+    """Commits the tables that work makes of the last version's folder, all or none; the new version's folder.
+
+    They are written to a folder of their own, which one rename publishes; if anything fails before that, the folder goes
+    and the last version stays. If another writer has published the version meanwhile, the rename fails and so does this.
+    """
+    last = committed(spark, root)
+    new, staged = f"{root}/v{int(last.rsplit('/v', 1)[1]) + 1 if last else 0}", f"{root}/_staged-{uuid.uuid4().hex}"
+    (source, fs), (target, _) = _files(spark, staged), _files(spark, new)
+    try:
+        for name, df in work(last).items():
+            df.write.parquet(f"{staged}/{name}")
+        if fs.exists(target) or not fs.rename(source, target):
+            raise RuntimeError(f"{new} exists already")
+    finally:
+        if fs.exists(source):
+            fs.delete(source, True)
+    return new
+
+
 def save_twice(df: DataFrame, root: str, stamp: str) -> None:
     """One copy under the stamp, which stays, and one as latest."""
     if not re.fullmatch(r"[\w. -]+", stamp):

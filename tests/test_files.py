@@ -84,3 +84,72 @@ def test_streams(spark, tmp_path):
     q = S.ring_stream(S.event_stream(spark, str(tmp_path / "in")), "user_id", "value", 3).writeStream.format("memory").queryName("rings").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c3")).start()
     q.awaitTermination()
     assert all(len(r["items"]) == 3 for r in spark.sql("SELECT * FROM rings").collect())
+
+
+def png(px, depth, kind, laced=False, extra=b"", filters=(0, 1, 2, 3, 4)):
+    """A PNG file of samples (h, w, n), written apart from the reader: every filter is used in turn."""
+    import struct
+    import zlib
+
+    def part(t, d):
+        return struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+
+    def lines(a):
+        out, back = b"", max(1, a.shape[2] * depth // 8)
+        last = None
+        for y, row in enumerate(a.reshape(len(a), -1)):
+            if depth == 16:
+                raw = b"".join(int(v).to_bytes(2, "big") for v in row)
+            else:
+                bits = "".join(format(int(v), f"0{depth}b") for v in row)
+                raw = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+            last, f, line = last or bytes(len(raw)), filters[y % len(filters)], bytearray()
+            for x, v in enumerate(raw):
+                l, u, c = raw[x - back] if x >= back else 0, last[x], last[x - back] if x >= back else 0
+                e = l + u - c
+                paeth = min((abs(e - l), 0, l), (abs(e - u), 1, u), (abs(e - c), 2, c))[2]
+                line.append((v - (0, l, u, (l + u) // 2, paeth)[f]) & 255)
+            out, last = out + bytes([f]) + bytes(line), raw
+        return out
+
+    h, w, _ = px.shape
+    passes = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+    data = b"".join(lines(px[y::dy, x::dx]) for x, y, dx, dy in passes if px[y::dy, x::dx].size) if laced else lines(px)
+    z = zlib.compress(data)
+    head = struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, laced)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + extra + part(b"IDAT", z[:7]) + part(b"IDAT", z[7:]) + part(b"IEND", b"")
+
+
+@pytest.mark.parametrize("laced", [False, True])
+@pytest.mark.parametrize("kind,depth", [(0, 1), (0, 2), (0, 4), (0, 8), (0, 16), (2, 8), (2, 16), (3, 4), (3, 8), (4, 8), (4, 16), (6, 8), (6, 16)])
+def test_png(kind, depth, laced):
+    import struct
+    import zlib
+
+    from tessella.sources.png import grey
+
+    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    r = np.random.default_rng(depth + kind)
+    for h, w in ((11, 13), (1, 1), (3, 9)):
+        px = r.integers(0, min(2**depth, 16 if kind == 3 else 2**depth), (h, w, n))
+        palette = r.integers(0, 256, (16, 3))
+        body = b"PLTE" + bytes(palette.astype(np.uint8).ravel())
+        extra = struct.pack(">I", 48) + body + struct.pack(">I", zlib.crc32(body)) if kind == 3 else b""
+        rgb = palette[px[:, :, 0]] / 255 if kind == 3 else px / (2**depth - 1)
+        want = rgb[:, :, :3] @ [0.299, 0.587, 0.114] if kind in (2, 3, 6) else rgb[:, :, 0]
+        raw = png(px, depth, kind, laced, extra)
+        assert np.allclose(grey(raw), want)
+        for bad in (raw[:-5], raw[:40], raw[:45] + bytes([raw[45] ^ 1]) + raw[46:], b"\x89PNG\r\n\x1a\n"):
+            with pytest.raises(ValueError):
+                grey(bad)
+
+
+def test_market_files_are_converted_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "Font_aa.png").write_bytes(png(np.tile(np.arange(10) * 25, (10, 1))[:, :, None], 8, 0))
+    (tmp_path / "in" / "Font_b.png").write_bytes(b"broken")
+    out = readers.converted(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = {os.path.basename(r.path): r.pixels for r in out.collect()}
+    assert len(got["Font_aa.png"]) == 48 * 48 and got["Font_b.png"] is None
+    (tmp_path / "in" / "Font_c.png").write_bytes(b"")
+    assert readers.converted(spark, str(tmp_path / "in"), str(tmp_path / "out")).count() == 2

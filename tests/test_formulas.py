@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +274,48 @@ def test_padding_and_noise(spark):
     r = df.select(V.padded("t", 4).alias("t"), V.noised("p", 8, F.col("k")).alias("p"), V.word_count("s").alias("n")).collect()
     assert all(x.t == [1, 2, 0, 0] and x.n == 3 and 4 <= x.p.count(0.0) < 64 for x in r)
     assert len({tuple(x.p) for x in r}) == 5
+
+
+def test_p_values(spark):
+    # I_x(a, 1/2) has closed forms for whole a; tables give the rest.
+    df = spark.createDataFrame([(0.0, 10), (0.5, 10), (-0.5, 10), (0.95, 5), (1.0, 9), (float("nan"), 9), (0.3, 2), (0.02, 100_000)], "r double, n long")
+    got = [x.p for x in df.select(retrieval.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()]
+    t = lambda r, n: abs(r) * ((n - 2) / (1 - r * r)) ** 0.5
+    assert got[0] == 1 and got[1] == got[2] == pytest.approx(0.141111, abs=1e-5) and got[3] == pytest.approx(0.013320, abs=1e-4)
+    assert got[4] == 0 and got[5] is None and got[6] is None
+    assert got[7] == pytest.approx(math.erfc(t(0.02, 100_000) / 2**0.5), rel=1e-2)  # the normal limit
+
+
+def test_searches_against_a_plain_simulation(spark, monkeypatch):
+    from tessella.operators import simulation
+
+    monkeypatch.setattr(simulation, "BLOCK", 32)
+    monkeypatch.setattr(simulation, "CHUNK", 3)
+    x = np.random.default_rng(2).normal(size=(90, 5))
+    fonts = spark.createDataFrame([(k, x[k].tolist()) for k in range(90)], "font long, v array<double>")
+    trials = [(k, (0.3, 2.0)[k % 2], 11 * k) for k in range(7)] + [(7, 0.3, 500)]
+    start, want = [1.0, 0.5, -0.2, 0.3, 0.1], {}
+    for trial, rate, target in trials[:7]:
+        place, goal = np.array(start), x[target]
+        for step in range(1, 7):
+            unit = place / np.linalg.norm(place)
+            want[trial, step] = int((np.round(x @ unit, 9) > round(goal @ unit, 9)).sum())
+            if want[trial, step] <= 4:
+                break
+            taken = []
+            for k in sorted(range(90), key=lambda k: (abs(round(x[k] @ unit, 9)), k)):
+                if len(taken) < 4 and all(x[k] @ x[o] <= 0 for o in taken):
+                    taken.append(k)
+            p, n = x[max(taken, key=lambda o: goal @ x[o])], x[min(taken, key=lambda o: goal @ x[o])]
+            if unit @ n - unit @ p + 0.1 > 0:
+                place = place - rate * ((n - p) - unit * (unit @ (n - p))) / np.linalg.norm(place)
+    got = simulation.searches(fonts, spark.createDataFrame(trials, "trial long, rate double, target long"), V.literal_vector(start), 6, 4)
+    assert {(r.trial, r.step): r["rank"] for r in got.collect()} == want
+    total = {r.rate: (r.trials, r.found) for r in simulation.success(got, 4).collect()}
+    assert sum(n for n, _ in total.values()) == 7 and sum(n for _, n in total.values()) == sum(v <= 4 for v in want.values())
+
+
+def test_carried_over_ranges(spark):
+    rows = spark.createDataFrame([(k, k if k % 400 == 3 else None) for k in range(3000)], "k long, x long").repartition(8)
+    got = {r.k: r.x for r in graph.carried(rows, "x", "k").collect()}
+    assert got == {k: None if k < 3 else (k - 3) // 400 * 400 + 3 for k in range(3000)}
