@@ -2,8 +2,9 @@
 
 encode() wraps bytes losslessly in an MPEG-1 Layer III file: an ID3v2 tag that records the payload's length, a first
 frame with a variable-bitrate (Xing) table, then frames of silence whose ancillary bytes are the payload, each with its
-CRC-16. parse() reads any MPEG audio: it skips tags, resynchronises on frame headers after damage, reads Xing and VBRI
-tables, verifies checksums, and gives exact durations (samples over sample rate) and frame seek offsets.
+CRC-16. parse() reads any MPEG audio but free format: it reads ID3 tags, resynchronises on frame headers after damage,
+reads Xing and VBRI tables with their seek points and the encoder's delay and padding, verifies the checksums of all three
+layers, and gives exact durations (samples, less delay and padding, over sample rate) and frame seek offsets.
 
 Null payloads count as empty. Equal bytes give equal files. Bytes without any frame give an index with 0 frames.
 """
@@ -14,7 +15,7 @@ import functools
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from fractions import Fraction
 
@@ -48,7 +49,12 @@ class Header:
     kbps: int
     rate: int
     padding: int
-    mono: bool
+    mode: int  # 0 stereo, 1 joint, 2 two channels, 3 mono
+    extension: int
+
+    @property
+    def mono(self) -> bool:
+        return self.mode == 3
 
     @property
     def samples(self) -> int:
@@ -75,7 +81,7 @@ def read_header(raw: bytes) -> Header | None:
     layer, rate, kbps = 4 - (raw[1] >> 1 & 3), raw[2] >> 2 & 3, raw[2] >> 4
     if version is None or layer == 4 or rate == 3 or kbps in (0, 15):
         return None
-    return Header(version, layer, not raw[1] & 1, BITRATES[min(version, 2), layer][kbps - 1], SAMPLE_RATES[rate] // (1, 2, 4)[version - 1], raw[2] >> 1 & 1, raw[3] >> 6 == 3)
+    return Header(version, layer, not raw[1] & 1, BITRATES[min(version, 2), layer][kbps - 1], SAMPLE_RATES[rate] // (1, 2, 4)[version - 1], raw[2] >> 1 & 1, raw[3] >> 6, raw[3] >> 4 & 3)
 
 
 def _crc_table() -> list[int]:
@@ -99,9 +105,74 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def _crc_of_bits(data: bytes, start: int, bits: int, c: int) -> int:
+    """The checksum continued over so many bits from a byte on."""
+    for b in data[start : start + bits // 8]:
+        c = (c << 8 ^ _TABLE[c >> 8 ^ b]) & 0xFFFF
+    for k in range(bits % 8):
+        bit = data[start + bits // 8] >> 7 - k & 1
+        c = (c << 1 ^ (0x8005 if c >> 15 ^ bit else 0)) & 0xFFFF
+    return c
+
+
+#: Fixed values of the format: bits of a Layer II allocation by subband, as runs of (subbands, bits), for MPEG 1 at medium
+#: and at high bitrates, at low ones, at low ones and 32 kHz, and for MPEG 2.
+ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _allocation(h: Header) -> list[int]:
+    each = h.kbps // (1 if h.mono else 2)
+    if h.version > 1:
+        kind = "lsf"
+    elif each < 56:
+        kind = "d" if h.rate == 32000 else "c"
+    else:
+        kind = "b" if each > 80 and h.rate < 48000 else "a"
+    return [bits for n, bits in ALLOCATIONS[kind] for _ in range(n)]
+
+
+def _protected(data: bytes, at: int, h: Header) -> int:
+    """Bits behind the checksum of the frame at `at` that it covers: side information, or allocations and scale factor selections."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    sizes = [4] * 32 if h.layer == 1 else _allocation(h)
+    bound = min(4 * (h.extension + 1), len(sizes)) if h.mode == 1 else len(sizes)  # from here on both channels share theirs
+    fields = [(bits, 1 if k < bound else channels) for k, bits in enumerate(sizes) for _ in range(channels if k < bound else 1)]
+    total = sum(bits for bits, _ in fields)
+    if h.layer == 2:
+        word = int.from_bytes(data[at + 6 : at + 6 + (total + 7) // 8].ljust((total + 7) // 8, b"\0"), "big") >> -total % 8
+        left = total
+        for bits, n in fields:
+            left -= bits
+            total += 2 * n * bool(word >> left & (1 << bits) - 1)
+    return total
+
+
+def checksum_holds(data: bytes, at: int, h: Header) -> bool:
+    """Whether the checksum of the frame at `at` holds; frames without one pass."""
+    if not h.crc:
+        return True
+    want = int.from_bytes(data[at + 4 : at + 6], "big")
+    if h.layer == 3:
+        return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == want
+    bits = _protected(data, at, h)
+    return at + 6 + (bits + 7) // 8 <= len(data) and _crc_of_bits(data, at + 6, bits, crc16(data[at + 2 : at + 4])) == want
+
+
 @dataclass
 class Index:
-    """What parse() finds. offsets: byte positions of the audio frames; bodies: (start, end) of their ancillary bytes."""
+    """What parse() finds. offsets: byte positions of the audio frames; bodies: (start, end) of their ancillary bytes.
+
+    seek holds the byte positions that a table gives: for each of 100 equal parts of the duration (Xing), or for every so many
+    frames (VBRI). delay and padding are the encoder's samples before and after the sound.
+    """
 
     frames: int = 0
     samples: int = 0
@@ -112,6 +183,9 @@ class Index:
     checked: int = 0
     bad_crc: int = 0
     skipped: int = 0
+    delay: int = 0
+    padding: int = 0
+    seek: list[int] = field(default_factory=list)
     tags: dict[str, bytes] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)
     kbps: list[int] = field(default_factory=list)
@@ -119,7 +193,7 @@ class Index:
 
     @property
     def duration(self) -> Fraction:
-        return Fraction(self.samples, self.rate) if self.rate else Fraction(0)
+        return Fraction(max(0, self.samples - self.delay - self.padding), self.rate) if self.rate else Fraction(0)
 
 
 def _syncsafe(n: int) -> bytes:
@@ -131,29 +205,73 @@ def _unsyncsafe(raw: bytes) -> int:
 
 
 def _id3v2(data: bytes, at: int) -> tuple[int, dict[str, bytes]]:
-    """End of the tag at `at`, and its frames (as for version 2.4; 2.3 has plain sizes)."""
-    size, major, out = _unsyncsafe(data[at + 6 : at + 10]), data[at + 3], {}
-    end = min(at + 10 + size + (10 if data[at + 5] & 0x10 else 0), len(data))
-    k = at + 10
-    while major in (3, 4) and k + 10 <= end and data[k] and data[k : k + 4].isalnum():
-        raw = data[k + 4 : k + 8]
+    """End of the tag at `at`, and its frames, with unsynchronisation undone.
+
+    Version 2.2 has names and sizes of 3 bytes, 2.3 sizes of 4, 2.4 sizes of 4 times 7 bits and flags by frame.
+    """
+    major, flags, out = data[at + 3], data[at + 5], {}
+    stop = at + 10 + _unsyncsafe(data[at + 6 : at + 10])
+    end = min(stop + (10 if major == 4 and flags & 0x10 else 0), len(data))
+    body = data[at + 10 : min(stop, len(data))]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    wide, k = 3 if major == 2 else 4, 0
+    if flags & 0x40 and major > 2 and len(body) >= 4:
+        k = _unsyncsafe(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    head = 6 if major == 2 else 10
+    while major in (2, 3, 4) and k + head <= len(body) and body[k] and body[k : k + wide].isalnum():
+        raw, marks = body[k + wide : k + 2 * wide], body[k + 9] if major == 4 else 0
         n = _unsyncsafe(raw) if major == 4 else int.from_bytes(raw, "big")
-        out[data[k : k + 4].decode("ascii")] = data[k + 10 : min(k + 10 + n, end)]
-        k += 10 + n
+        value = body[k + head : k + head + n]
+        if marks & 1:  # a length stands before the data
+            value = value[4:]
+        out[body[k : k + wide].decode("ascii")] = value.replace(b"\xff\0", b"\xff") if marks & 2 else value
+        k += head + n
     return end, out
 
 
-def _table(data: bytes, at: int, h: Header) -> tuple[str, int, int] | None:
-    """A variable-bitrate table in the frame at `at`: its kind, frames and bytes (-1 if not given)."""
+@dataclass
+class Table:
+    """A variable-bitrate table; frames and bytes are -1 if not given."""
+
+    kind: str
+    frames: int = -1
+    bytes: int = -1
+    seek: list[int] = field(default_factory=list)
+    delay: int = 0
+    padding: int = 0
+
+
+#: How encoders sign the field behind a Xing table that holds delay and padding.
+ENCODERS = (b"LAME", b"Lavf", b"Lavc", b"GOGO")
+
+
+def _table(data: bytes, at: int, h: Header) -> Table | None:
+    """The table in the frame at `at`; its seek points count from that frame."""
+    number = lambda k, n: int.from_bytes(data[k : k + n], "big")
     k = at + 4 + 2 * h.crc + h.side
-    if (kind := data[k : k + 4]) in (b"Xing", b"Info"):
-        flags, k, got = int.from_bytes(data[k + 4 : k + 8], "big"), k + 8, [-1, -1]
-        for j in (0, 1):
-            if flags >> j & 1:
-                got[j], k = int.from_bytes(data[k : k + 4], "big"), k + 4
-        return kind.decode(), *got
+    if data[k : k + 4] in (b"Xing", b"Info"):
+        out, flags, k = Table(data[k : k + 4].decode()), number(k + 4, 4), k + 8
+        if flags & 1:
+            out.frames, k = number(k, 4), k + 4
+        if flags & 2:
+            out.bytes, k = number(k, 4), k + 4
+        if flags & 4:
+            points, k = data[k : k + 100], k + 100
+            size = out.bytes if out.bytes >= 0 else len(data) - at
+            out.seek = [at + p * size // 256 for p in points]
+        k += 4 if flags & 8 else 0
+        if data[k : k + 4] in ENCODERS and k + 24 <= at + h.size:
+            out.delay, out.padding = divmod(number(k + 21, 3), 1 << 12)
+        return out
     if data[at + 36 : at + 40] == b"VBRI":
-        return "VBRI", int.from_bytes(data[at + 50 : at + 54], "big"), int.from_bytes(data[at + 46 : at + 50], "big")
+        out = Table("VBRI", number(at + 50, 4), number(at + 46, 4), delay=number(at + 42, 2))
+        entries, scale, size = (number(at + j, 2) for j in (54, 56, 58))
+        place, k = at, at + 62
+        for _ in range(entries if size and k + entries * size <= len(data) else 0):
+            place, k = place + number(k, size) * scale, k + size
+            out.seek.append(place)
+        return out
     return None
 
 
@@ -174,14 +292,15 @@ def parse(data: bytes) -> Index:
         h = read_header(data[at : at + 4])
         stop = at + h.size if h else 0
         head = at + 4 + 2 * h.crc if h else at
-        sound = bool(h) and (not h.crc or h.layer != 3 or crc16(data[at + 2 : at + 4] + data[head : head + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big"))
+        sound = bool(h) and checksum_holds(data, at, h)
         kind = h and (h.version, h.layer, h.crc, h.rate)
         if h and stop <= end and (stop == end or data[stop : stop + 3] in (b"ID3", b"TAG") or read_header(data[stop : stop + 4]) or sound and kind == before):
             before = kind
             if not out.frames and not out.vbr and h.layer == 3 and (got := _table(data, at, h)):
-                out.vbr, out.table_frames, out.table_bytes = got
+                out.vbr, out.table_frames, out.table_bytes = got.kind, got.frames, got.bytes
+                out.seek, out.delay, out.padding = got.seek, got.delay, got.padding
             else:
-                if h.crc and h.layer == 3:
+                if h.crc:
                     out.checked += 1
                     out.bad_crc += not sound
                 out.frames += 1
@@ -245,10 +364,10 @@ def padded(data: bytes) -> bytes:
 
 
 MEDIA = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
-INDEX = [T.StructField(n, k) for n, k in (("frames", T.LongType()), ("samples", T.LongType()), ("sample_rate", T.IntegerType()), ("vbr", T.StringType()), ("table_frames", T.LongType()), ("checked", T.LongType()), ("bad_crc", T.LongType()), ("skipped", T.LongType()), ("offsets", T.ArrayType(T.LongType())), ("payload", T.BinaryType()))]
+INDEX = [T.StructField(n, k) for n, k in (("frames", T.LongType()), ("samples", T.LongType()), ("sample_rate", T.IntegerType()), ("vbr", T.StringType()), ("table_frames", T.LongType()), ("checked", T.LongType()), ("bad_crc", T.LongType()), ("skipped", T.LongType()), ("delay", T.LongType()), ("padding", T.LongType()), ("seek", T.ArrayType(T.LongType())), ("offsets", T.ArrayType(T.LongType())), ("payload", T.BinaryType()))]
 
 
-def _swap(b: pa.RecordBatch, gone: str, schema: T.StructType, new: dict[str, list]) -> pa.RecordBatch:
+def _swap(b: pa.RecordBatch, schema: T.StructType, new: dict[str, list]) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(schema)
@@ -256,56 +375,100 @@ def _swap(b: pa.RecordBatch, gone: str, schema: T.StructType, new: dict[str, lis
     return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
 
-def encode_column(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_bytes and media (the MPEG file of the padded UTF-8 bytes) in place of the text."""
-    names = {text, *(f.name for f in MEDIA)}
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in names] + MEDIA)
+Step = tuple[T.StructType, Callable[[pa.RecordBatch], pa.RecordBatch]]
+#: Rows that pass through all steps at once.
+ROWS = 256
+
+
+def _chained(df: DataFrame, *steps: Callable[[T.StructType], Step]) -> DataFrame:
+    """df through all steps in one pass: what one makes goes to the next within the worker, some rows at a time."""
+    schema, runs = df.schema, []
+    for step in steps:
+        schema, run = step(schema)
+        runs.append(run)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            for k in range(0, len(b), ROWS):
+                part = b.slice(k, ROWS)
+                for run in runs:
+                    part = run(part)
+                yield part
+
+    return df.mapInArrow(every, schema)
+
+
+def _encoding(text: str) -> Callable[[T.StructType], Step]:
+    def step(before: T.StructType) -> Step:
+        names = {text, *(f.name for f in MEDIA)}
+        schema = T.StructType([f for f in before.fields if f.name not in names] + MEDIA)
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
             raw = [(x.as_py() or "").encode() for x in b.column(text)]
-            yield _swap(b, text, schema, {"n_bytes": [len(x) for x in raw], "media": [encode(padded(x)) for x in raw]})
+            return _swap(b, schema, {"n_bytes": [len(x) for x in raw], "media": [encode(padded(x)) for x in raw]})
 
-    return docs.mapInArrow(run, schema)
+        return schema, run
 
+    return step
 
-def index_column(media: DataFrame, column: str = "media") -> DataFrame:
-    """media with what parse() finds, and the payload where encode() made the file. A null file gives 0 frames."""
-    schema = T.StructType([f for f in media.schema.fields if f.name not in {x.name for x in INDEX}] + INDEX)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+def _indexing(column: str) -> Callable[[T.StructType], Step]:
+    def step(before: T.StructType) -> Step:
+        schema = T.StructType([f for f in before.fields if f.name not in {x.name for x in INDEX}] + INDEX)
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
             new: dict[str, list] = {f.name: [] for f in INDEX}
             for x in b.column(column):
                 data = x.as_py() or b""
                 i = parse(data)
-                for n, v in (("frames", i.frames), ("samples", i.samples), ("sample_rate", i.rate), ("vbr", i.vbr), ("table_frames", i.table_frames), ("checked", i.checked), ("bad_crc", i.bad_crc), ("skipped", i.skipped), ("offsets", i.offsets), ("payload", payload_of(data, i))):
-                    new[n].append(v)
-            yield _swap(b, "", schema, new)
+                found = {"sample_rate": i.rate, "payload": payload_of(data, i)}
+                for n in new:
+                    new[n].append(found[n] if n in found else getattr(i, n))
+            return _swap(b, schema, new)
 
-    return media.mapInArrow(run, schema)
+        return schema, run
 
+    return step
 
-def digest(indexed: DataFrame) -> DataFrame:
-    """The digest columns of op6. feature: frames, exact duration, table, checksums, seek offsets (hashed), mean and spread of the samples."""
+
+def _features(r: dict) -> tuple:
+    p, m = r["payload"], r["media"]
+    samples, d = np.frombuffer(p, np.uint8), Fraction(max(0, r["samples"] - r["delay"] - r["padding"]), r["sample_rate"] or 1)
+    seek = hashlib.sha256(",".join(map(str, r["offsets"])).encode()).hexdigest()[:16]
+    feature = f"frames={r['frames']};seconds={d.numerator}/{d.denominator};vbr={r['vbr']}:{r['table_frames']};crc={r['checked'] - r['bad_crc']}/{r['checked']};seek={seek};mean={samples.mean():.6f};std={samples.std():.6f}"
+    return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-PAD_TO:]), len(m), hashlib.sha256(m).hexdigest(), feature
+
+
+def _digesting(before: T.StructType) -> Step:
     new = [T.StructField(n, k) for n, k in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))]
-    schema = T.StructType([f for f in indexed.schema.fields if f.name in ("doc_id", "n_bytes")] + new)
+    schema = T.StructType([f for f in before.fields if f.name in ("doc_id", "n_bytes")] + new)
+    used = ("payload", "media", "offsets", "frames", "samples", "sample_rate", "vbr", "table_frames", "checked", "bad_crc", "delay", "padding")
 
-    def one(r: dict) -> tuple:
-        p, m = r["payload"], r["media"]
-        samples, d = np.frombuffer(p, np.uint8), Fraction(r["samples"], r["sample_rate"] or 1)
-        seek = hashlib.sha256(",".join(map(str, r["offsets"])).encode()).hexdigest()[:16]
-        feature = f"frames={r['frames']};seconds={d.numerator}/{d.denominator};vbr={r['vbr']}:{r['table_frames']};crc={r['checked'] - r['bad_crc']}/{r['checked']};seek={seek};mean={samples.mean():.6f};std={samples.std():.6f}"
-        return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-PAD_TO:]), len(m), hashlib.sha256(m).hexdigest(), feature
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [_features(dict(zip(used, r, strict=True))) for r in zip(*(b.column(n).to_pylist() for n in used), strict=True)]
+        return _swap(b, schema, {f.name: [r[k] for r in rows] for k, f in enumerate(new)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [one({n: b.column(n)[k].as_py() for n in ("payload", "media", "offsets", "frames", "samples", "sample_rate", "vbr", "table_frames", "checked", "bad_crc")}) for k in range(len(b))]
-            yield _swap(b, "", schema, {f.name: [r[k] for r in rows] for k, f in enumerate(new)})
+    return schema, run
+
+
+def encode_column(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with n_bytes and media (the MPEG file of the padded UTF-8 bytes) in place of the text; columns of these names are replaced."""
+    return _chained(docs, _encoding(text))
+
+
+def index_column(media: DataFrame, column: str = "media") -> DataFrame:
+    """media with what parse() finds, and the payload where encode() made the file; columns of these names are replaced.
+
+    A null file gives 0 frames. Repeated rows give repeated rows, an empty table an empty one.
+    """
+    return _chained(media, _indexing(column))
 
-    return indexed.mapInArrow(run, schema)
+
+def digest(indexed: DataFrame) -> DataFrame:
+    """The digest columns of op6. feature: frames, exact duration, table, checksums, seek offsets (hashed), mean and spread of the samples."""
+    return _chained(indexed, _digesting)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
-    return digest(index_column(encode_column(docs)))
+    return _chained(docs, _encoding("text"), _indexing("media"), _digesting)
