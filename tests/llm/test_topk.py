@@ -19,11 +19,11 @@ def brute(rows, top):
 def test_as_brute_force(spark, monkeypatch):
     r = random.Random(3)
     rows = [(k, [round(r.uniform(-1, 1), 1) if r.random() < 0.7 else 0.0 for _ in range(r.choice([6, 6, 6, 3]))]) for k in range(500)]
-    rows += [(600, None), (700, [1.0, None]), (800, [float("nan")]), (900, [float("inf")]), (None, [1.0]), (1000, []), (100, rows[100][1]), (7, rows[7][1]), (7, rows[8][1])]
+    rows += [(600, None), (700, [1.0, None]), (800, [float("nan")]), (900, [float("inf")]), (None, [1.0]), (1000, []), (100, rows[100][1]), (7, rows[7][1]), (7, rows[8][1])] + [(9, [0.5, 0.25])] * 300 + [(11, [3.0] * 6)] * 4
     df = spark.createDataFrame([(i, v, i, "x") for i, v in rows], "vec_id long, embedding array<double>, id long, v string")
     for block in (64, 4096):
         monkeypatch.setattr(K, "CANDIDATE_BLOCK", block)
-        monkeypatch.setattr(K, "QUERY_BLOCK", 2)
+        monkeypatch.setattr(K, "QUERY_BYTES", 100)
         x = K.integer_vectors(df)
         got = sorted(tuple(t) for t in K.top_k(x.where("id % 100 = 0"), x).collect())
         assert got == brute(rows, 10)
