@@ -54,6 +54,15 @@ def carried(rows: DataFrame, value: str, *order: Column | str) -> DataFrame:
     return placed.join(F.broadcast(before), "_range").withColumn(value, F.coalesce(own, "_before")).drop("_range", "_before")
 
 
+def running(rows: DataFrame, value: str, name: str, *order: Column | str) -> DataFrame:
+    """rows with the sum of value up to and with them in a total order: summed within ranges, on top of what the ranges before add up to."""
+    placed = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = placed.groupBy("_range").agg(F.sum(value).alias("_sum"))  # a row for each range, that is for each partition
+    before = sums.select("_range", F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + own).drop("_range", "_before")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the least node that each node (one column) reaches over edges (two columns).
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.operators.graph import cut
+from tessella.operators.graph import cut, running
 from tessella.operators.similarity import grid, matrix
 
 MASKED = -1e4
@@ -146,7 +146,7 @@ def diagonal_scores(matrix: DataFrame) -> DataFrame:
     on = F.col("i") == F.col("j")
     m = matrix.select(on.alias("diag"), "s")
     steps = m.groupBy("s").agg(F.count("*").alias("n"), F.sum(F.col("diag").cast("long")).alias("ons"))
-    placed = steps.withColumn("rank", F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, 0)) - (F.col("n") - 1) / 2)
+    placed = running(steps, "n", "upto", "s").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     sums = placed.agg(F.sum(F.col("rank") * F.col("ons")).alias("r"), F.sum("ons").alias("a"), F.sum("n").alias("all"))
     auc = sums.select(F.try_divide(F.col("r") - F.col("a") * (F.col("a") + 1) / 2, F.col("a") * (F.col("all") - F.col("a"))).alias("auc"))
     yes, no = F.when(F.col("diag"), F.col("s")), F.when(~F.col("diag"), F.col("s"))

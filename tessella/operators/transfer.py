@@ -14,7 +14,7 @@ from tessella.functions import vector as V
 
 
 def _moments(z: DataFrame, group: str | None = None) -> dict:
-    """Rows, sums and Gram matrices of z (v[, group]), by group: partial sums for each partition, added up."""
+    """Rows, sums and Gram matrices of z (v[, group]), by group: partial sums for each partition, added up by group."""
     import pandas as pd
 
     kind = dict(z.dtypes)[group] if group else "int"
@@ -29,11 +29,15 @@ def _moments(z: DataFrame, group: str | None = None) -> dict:
                 sums[g] = n + len(m), s + m.sum(0), q + m.T @ m
         yield pd.DataFrame([{"g": g, "n": n, "s": list(s), "q": list(q.ravel())} for g, (n, s, q) in sums.items()], columns=["g", "n", "s", "q"])
 
+    def total(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"g": key[0], "n": parts["n"].sum(), "s": list(np.sum(np.stack(parts["s"]), 0)), "q": list(np.sum(np.stack(parts["q"]), 0))}])
+
+    schema = f"g {kind}, n long, s array<double>, q array<double>"
+    sums = rows.mapInPandas(part, schema).groupBy("g").applyInPandas(total, schema)
     out: dict = {}
-    for r in rows.mapInPandas(part, f"g {kind}, n long, s array<double>, q array<double>").collect():  # one row for each group and partition
-        n, s, q = out.get(r.g, (0, 0.0, 0.0))
+    for r in sums.collect():  # one row for each group
         d = len(r.s)
-        out[r.g] = n + r.n, s + np.array(r.s), q + np.array(r.q).reshape(d, d)
+        out[r.g] = r.n, np.array(r.s), np.array(r.q).reshape(d, d)
     return out
 
 
@@ -137,7 +141,7 @@ def average_linkage(rows: DataFrame, clusters: int, most: int = 5000) -> DataFra
     if len(got) > most:
         raise ValueError(f"more than {most} rows")
     x = np.array([r.v for r in got])
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0)) if len(x) else np.empty((0, 0))
+    d = np.stack([np.sqrt(((x - y) ** 2).sum(1)) for y in x]) if len(x) else np.empty((0, 0))
     np.fill_diagonal(d, np.inf)
     size, label = np.ones(len(x)), np.arange(len(x))
     for _ in range(max(0, len(x) - clusters)):

@@ -319,3 +319,9 @@ def test_carried_over_ranges(spark):
     rows = spark.createDataFrame([(k, k if k % 400 == 3 else None) for k in range(3000)], "k long, x long").repartition(8)
     got = {r.k: r.x for r in graph.carried(rows, "x", "k").collect()}
     assert got == {k: None if k < 3 else (k - 3) // 400 * 400 + 3 for k in range(3000)}
+
+
+def test_running_sums_over_ranges(spark):
+    rows = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("x")).repartition(8)
+    got = [r.t for r in graph.running(rows, "x", "t", "k").orderBy("k").collect()]
+    assert got == list(np.cumsum(np.arange(4000) % 7)) and graph.running(rows.limit(0), "x", "t", "k").count() == 0
