@@ -16,6 +16,9 @@ QUERIES = {
     "op6_media": "media",
     "op2_secrets": "secrets",
     "op9_bpe": "bpe",
+    "op11_variants": "variants",
+    "op12_ann": "hashing",
+    "op13_merkle": "merkle",
 }
 
 
