@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 A bounded sample of the vectors teaches rotations (iterative quantisation: principal axes, then the rotation under which
-signs lose least), whose signs are a binary code for every row. Codes are split into substrings of 32 bits and each
+signs lose least), whose signs are a binary code for every row. Codes are split into substrings of 64 bits and each
 substring is indexed. Two codes that differ in r of their bits differ, in some substring, in no more than the pigeonhole
 bound; so a query probes, table by table, the values within that bound, and what it meets holds every code within r.
 Those within r are ranked anew by the inner product of the original vectors.
@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import settle, table
 
-EVERY, TOP, BITS, PIECE = 20, 20, 128, 32
+EVERY, TOP, BITS, PIECE = 20, 20, 256, 64
 #: Rows, and bytes, that the rotations and the radius are learned from at most.
 SAMPLE, SAMPLE_BYTES = 20_000, 16 << 20
 #: Rows of the sample that are searched for to learn the radius, and the share of their nearest that it has to hold.
 TRIALS, RECALL = 500, 0.975
 BLOCK, QUERY_BYTES = 4096, 16 << 20
 #: Queries that are probed at once in a cell.
-BATCH = 32
+BATCH = 64
 
 
 class Model(NamedTuple):
@@ -93,7 +93,7 @@ def _longer(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
 def _rotations(x: np.ndarray, bits: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     mean = x.mean(0)
     value, axes = np.linalg.eigh((x - mean).T @ (x - mean))
-    use = [k for k in np.argsort(-value)[:bits] if value[k] > 1e-6 * max(value.max(), 1e-300)] or [int(np.argmax(value))]
+    use = [k for k in np.argsort(-value)[:bits] if value[k] > 1e-4 * max(value.max(), 1e-300)] or [int(np.argmax(value))]
     axes = axes[:, use]
     z, out = (x - mean) @ axes, []
     for seed in range(-(-bits // len(use))):
@@ -113,7 +113,7 @@ def codes(model: Model, x: np.ndarray, query: bool) -> np.ndarray:
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Bits that differ, by row."""
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(-1, dtype=np.int64)  # of signed numbers it would count the absolute value's bits
 
 
 def learn(vectors: DataFrame, top: int = TOP, bits: int = BITS, sample: int = SAMPLE) -> Model | None:
@@ -156,7 +156,7 @@ def encoded(rows: DataFrame, model: Model, query: bool) -> DataFrame:
 
 
 def pieces(code: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(code).view(np.uint32)
+    return np.ascontiguousarray(code).view(np.uint64)
 
 
 def bounds(radius: int, tables: int) -> list[int]:

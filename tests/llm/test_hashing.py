@@ -99,6 +99,7 @@ def test_every_code_within_the_radius_is_met():
         q, p = H.probe(index, H.pieces(asked), H.bounds(radius, 128 // H.PIECE), 300)
         met = set(zip(q.tolist(), p.tolist(), strict=True))
         bits = [[bin((int(a[0]) ^ int(b[0])) & (2**64 - 1)).count("1") + bin((int(a[1]) ^ int(b[1])) & (2**64 - 1)).count("1") for b in own] for a in asked]
+        assert [H.distance(own, a).tolist() for a in asked] == bits
         assert all((i, j) in met for i in range(20) for j in range(300) if bits[i][j] <= radius)
         assert len(met) == len(q)
     assert H.search_block(pa.table({"is_query": pa.array([True]), "id": [1]}), 2, 3, 20).num_rows == 0
