@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import vector as V
 from tessella.operators.graph import carried, numbered
+from tessella.operators.order import quantiles
 
 
 def case_pairs(glyphs: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def case_pairs(glyphs: DataFrame) -> DataFrame:
 
 def above_percentile(rows: DataFrame, column: str, share: float = 0.4) -> DataFrame:
     """Rows whose value is over the interpolated percentile."""
-    bound = rows.agg(F.expr(f"percentile({column}, {share})").alias("_cut"))
+    bound = quantiles(rows, column, {"_cut": share})
     return rows.crossJoin(F.broadcast(bound)).where(F.col(column) > F.col("_cut")).drop("_cut")  # one row
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -63,23 +64,64 @@ def running(rows: DataFrame, value: str, name: str, *order: Column | str) -> Dat
     return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + own).drop("_range", "_before")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table of its own in the shared folder; gone() deletes it."""
+    path = f"{shared_root(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def gone(df: DataFrame) -> None:
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Edges of a node from which on it is a hub, and the share of all edges; so there are at most 2 * HUB_SHARE hubs.
+HUB, HUB_SHARE = 100_000, 10_000
+
+
+def _to_least(edges: DataFrame, total: int) -> DataFrame:
+    """(u, v, m) of edges (u, v): the least of u and its neighbours beside each edge. Hubs are met in parts, by neighbour."""
+    stats = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    least = stats.select("u", F.least("u", "m").alias("m"), "degree")
+    size = max(HUB, total // HUB_SHARE)
+    if total <= size:
+        return edges.join(least.drop("degree"), "u")
+    parts = F.ceil(F.col("degree") / size).cast("long")
+    least = least.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    hubs = stats.where(F.col("degree") > size).select("u", parts.alias("parts"))  # bounded by HUB_SHARE
+    dealt = edges.join(F.broadcast(hubs), "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).alias("part"))
+    return dealt.join(least, ["u", "part"]).drop("part")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the least node that each node (one column) reaches over edges (two columns).
 
-    Each round every node takes the least label around it, then its label's own label, so labels travel twice as far from
-    round to round.
+    Alternating stars: each node hands its larger neighbours to the least one around it (large star), then itself and its
+    smaller ones (small star), until every edge leads to its component's least node. Rounds are logarithmic. Edges lie in
+    tables of their own that are deleted once they are read; the result's own stays.
     """
     a, b = edges.columns
-    both = cut(edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).union(edges.select(F.col(b), F.col(a))).where("src <> dst").distinct())
-    labels = cut(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct().withColumn("component", F.col("node")))
+    pair = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
+    sound = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    now, mark = written(sound.select(*pair(F.col(a), F.col(b))).distinct()), None
     while True:
-        around = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("least"))
-        near = labels.join(around, labels["node"] == around["src"], "left").select("node", F.col("component").alias("before"), F.least("component", "least").alias("component"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        new = cut(near.join(up, "component", "left").select("node", "before", F.least("component", "above").alias("component")))
-        labels = new.select("node", "component")
-        if new.where("component <> before").isEmpty():
-            return labels
+        n, sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, sums) == mark or not n:
+            break
+        mark = (n, sums)
+        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large_ = written(_to_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = _to_least(large_, n)
+        moved = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        before, now = now, written(moved.where("u <> v").distinct())
+        gone(before)
+        gone(large_)
+    labels = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    return labels.join(now.select(F.col("u").alias("node"), F.col("v").alias("least")), "node", "left").select("node", F.coalesce("least", "node").alias("component"))
 
 
 def large(labels: DataFrame, more_than: int = 100) -> DataFrame:

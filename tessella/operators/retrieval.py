@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.operators.graph import cut, running
+from tessella.operators.order import lower_median
 from tessella.operators.similarity import grid, matrix
 
 MASKED = -1e4
@@ -75,7 +76,7 @@ def recall_at_k(first: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 def median_rank(first: DataFrame) -> DataFrame:
     """The lower median of the first positives' ranks."""
-    return first.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY rank)").cast("double").alias("median_rank"))
+    return lower_median(first, "rank").select(F.col("x").cast("double").alias("median_rank"))
 
 
 def positive_pairs(queries: DataFrame, keys: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import vector as V
 from tessella.operators import retrieval as R
+from tessella.operators.order import quantiles
 from tessella.plans.tables import table
 from tessella.plans.vectors import cosine_matrix_label, rounded
 
@@ -125,9 +126,8 @@ def softmax_select(spark: SparkSession, sf: str) -> DataFrame:
 def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """Ten bars of the predictions' scores, and the quartiles as box plots have them."""
     p = predictions(spark, sf)
-    q = lambda x: F.expr(f"percentile(p, {x})")
     bars = p.groupBy("tag", F.least(F.floor(F.col("p") * 10), F.lit(9)).alias("bar")).agg(F.count("*").alias("n"))
-    box = p.groupBy("tag").agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
+    box = quantiles(p, "p", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, ["tag"])
     return rounded(bars.join(box, "tag"))
 
 
