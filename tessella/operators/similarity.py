@@ -70,8 +70,8 @@ def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return *matrix(cell.filter(pa.array(own))), *matrix(cell.filter(pa.array(~own)))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """(src, dst, sim, rank): for each left row its k right rows of highest dot product, never one of its own id."""
+def best_rows(cells: DataFrame, k: int) -> DataFrame:
+    """(src, dst, sim): of each cell (lane, block) of a grid, each left row's k right rows of highest dot product, never one of its own id."""
 
     def run(cell: pa.Table) -> pa.Table:
         a, x, b, y = _sides(cell)
@@ -87,11 +87,19 @@ def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
                 out += [(a[row], b[j], s[row, j]) for j in best if s[row, j] > -np.inf]
         return pa.table({n: pa.array([r[i] for r in out], kind) for i, (n, kind) in enumerate((("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float64())))})
 
-    found = grid(left, right, False).groupBy("lane", "block").applyInArrow(run, "src long, dst long, sim double")
+    return cells.groupBy("lane", "block").applyInArrow(run, "src long, dst long, sim double")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("src").orderBy(F.desc(F.round("sim", 9)), "dst")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(src, dst, sim, rank): for each left row its k right rows of highest dot product, never one of its own id."""
+    return ranked(best_rows(grid(left, right, False), k), k)
+
+
 def pairs_at_least(rows: DataFrame, threshold: float) -> DataFrame:
     """(i, j, sim) with i < j whose dot product is at least the threshold."""
 

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import vector as V
-from tessella.operators import graph, retrieval, similarity
-from tessella.plans.tables import font_meta, vector_of, vectors
+from tessella.operators import graph, index, retrieval, similarity
+from tessella.plans.tables import font_meta, table, vector_of, vectors
 
 THRESHOLD = 0.35
 
@@ -54,6 +54,21 @@ def knn_graph_10(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.nearest(v, v, 10).select("src", "dst", F.round("sim", 6).alias("sim"))
 
 
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """knn_search through the stored index: only cells that can hold one of the nearest are read."""
+    v = vectors(spark, sf)
+    query = table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+    near, _ = index.search(index.build(v.select("id", "v")), [float(x) for x in query], 20)
+    rows = font_meta(spark, sf).join(F.broadcast(near), "id")  # 20 rows
+    return rows.select("id", "name", F.round("distance", 6).alias("distance"), "location", "file")
+
+
+def index_graph_10(spark: SparkSession, sf: str) -> DataFrame:
+    """knn_graph_10 through the stored index: only pairs of cells that can hold a neighbour are compared."""
+    found, _ = index.nearest_rows(index.build(vectors(spark, sf).select("id", "v")), 10)
+    return found.select("src", "dst", F.round("sim", 6).alias("sim"))
+
+
 def perpendicular_order(spark: SparkSession, sf: str) -> DataFrame:
     out = similarity.perpendicular_order(vectors(spark, sf, "font"), vector_of(spark, sf, 0))
     return out.select("font", F.round("score", 6).alias("score"), "rank")
@@ -181,7 +196,7 @@ QUERIES = {
     "infonce_diagonal": infonce_diagonal, "infonce_masked": infonce_masked, "family_positive_pairs": positive_pairs, "vector_scalars": vector_scalars,
     "tag_probability_mean": tag_probability_mean, "layer_mean": layer_mean, "layer_join": layer_join, "spatial_pool": spatial_pool, "location_update": location_update,
     "rank_of_target": rank_of_target, "minmax_rgb": minmax_rgb, "component_sizes": component_sizes, "large_components": large_components, "top_n_similar": greedy_top_n,
-    "running_mean": running_mean,
+    "running_mean": running_mean, "index_search": index_search, "index_graph_10": index_graph_10,
 }
 
 _E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label AS fam FROM embeddings)"
@@ -237,3 +252,4 @@ ORACLE = {
     "top_n_similar": f"WITH {_E}, {_N}, {_P}, s AS (SELECT a.font AS src, b.font AS dst, sum(a.x * b.x) AS sim FROM p a JOIN p b ON a.pos = b.pos AND a.font <> b.font GROUP BY a.font, b.font), r AS (SELECT src, dst, round(sim, 6) AS sim, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst) AS rank FROM s) SELECT * FROM r WHERE rank <= 4",
     "running_mean": "WITH x AS (SELECT label AS fam, vec_id AS id, embedding[1]::DOUBLE AS x FROM embeddings) SELECT fam, id, round(avg(x) OVER w, 6) AS mean, count(x) OVER w AS n FROM x WINDOW w AS (PARTITION BY fam ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
 }
+ORACLE |= {"index_search": ORACLE["knn_search"], "index_graph_10": ORACLE["knn_graph_10"]}
