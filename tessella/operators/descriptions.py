@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import vector as V
+from tessella.operators.graph import cut
+from tessella.operators.similarity import matches_at_least
 
 #: Generic families whose generated queries are left out.
 GENERIC = ("noto", "unifont", "quivira", "symbola", "dejavu", "gnu unifont")
@@ -69,24 +73,85 @@ def positive_weights(descriptions: DataFrame, vocab: DataFrame) -> DataFrame:
     return joined.select("tag", F.least(F.lit(50.0), (F.col("all") - c) / F.greatest(c, F.lit(1))).alias("w"))
 
 
+#: Names from which on a tag is hot: it makes no pairs of names by a join.
+HOT = 1000
+
+
+def _hot_cell(cell: pa.Table, n: int) -> pa.Table:
+    """Each own key's n best of a cell's other keys, by postings of their tags."""
+    own = cell["own"].to_numpy()
+    left, right = cell.filter(pa.array(own)), cell.filter(pa.array(~own)).sort_by("key")
+    out: list[tuple] = []
+    if len(left) and len(right):
+        names, totals = np.array(right["key"].to_pylist(), object), right["total"].to_numpy()
+        lists = right["t"].combine_chunks()
+        row = np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        terms, weights = lists.flatten().to_numpy(), right["w"].combine_chunks().flatten().to_numpy()
+        order = np.argsort(terms, kind="stable")
+        terms, weights, row = terms[order], weights[order], row[order]
+        for key, total, t, w in zip(left["key"].to_pylist(), left["total"].to_pylist(), left["t"], left["w"], strict=True):
+            mine, by = t.values.to_numpy(), w.values.to_numpy()
+            start = np.searchsorted(terms, mine, "left")
+            size = np.searchsorted(terms, mine, "right") - start
+            ends = np.cumsum(size)
+            at = np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+            least = np.bincount(row[at], np.minimum(weights[at], np.repeat(by, size)), len(names))
+            whole = total + totals - least
+            sim = np.round(np.divide(least, whole, out=np.zeros(len(names)), where=whole != 0), 9)
+            best = np.lexsort((np.arange(len(names)), -sim))[: n + 1]
+            out += [(key, names[k], float(sim[k])) for k in best if names[k] != key]
+    return pa.table({c: pa.array([r[k] for r in out], kind) for k, (c, kind) in enumerate((("key", pa.string()), ("other", pa.string()), ("sim", pa.float64())))})
+
+
+def _hot_pairs(tags: DataFrame, totals: DataFrame, wanted: DataFrame, n: int, block: int = 2048) -> DataFrame:
+    """(key, other, sim): the n best of every block for the wanted keys, against all keys that have tags. No row for each pair is made."""
+    rows = tags.groupBy("key").agg(F.collect_list(F.struct(F.xxhash64("tag").alias("t"), "w")).alias("f")).join(totals, "key").select("key", "total", F.col("f.t").alias("t"), F.col("f.w").alias("w"))
+    mine = rows.join(wanted.select("key"), "key", "left_semi")
+    lanes, blocks = (max(1, -(-df.count() // block)) for df in (wanted, totals))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    deal = lambda k: F.pmod(F.xxhash64("key"), F.lit(k))
+    left = mine.select(F.lit(True).alias("own"), "*", deal(lanes).alias("lane"), every(blocks).alias("block"))
+    right = rows.select(F.lit(False).alias("own"), "*", every(lanes).alias("lane"), deal(blocks).alias("block"))
+    return left.unionByName(right).groupBy("lane", "block").applyInArrow(lambda cell: _hot_cell(cell, n), "key string, other string, sim double")
+
+
+def rare_pairs(tags: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(key, other, least) over the tags that `hot` names at most have, by a join of at most `hot` rows for each row; and the hot tags' rows."""
+    counted = tags.join(tags.groupBy("tag").agg(F.count("*").alias("df")), "tag")
+    rare = counted.where(F.col("df") <= hot).select("key", "tag", "w")
+    other = rare.select(F.col("key").alias("other"), "tag", F.col("w").alias("w2"))
+    return rare.join(other, "tag").where("key <> other").groupBy("key", "other").agg(F.sum(F.least("w", "w2")).alias("least")), counted.where(F.col("df") > hot).select("key", "tag", "w")
+
+
 def similar(descriptions: DataFrame, n: int = 4) -> DataFrame:
-    """(key, other, sim, rank): the n descriptions of highest weighted Jaccard similarity, other than the own key.
+    """(key, other, sim, rank): the n descriptions of highest weighted Jaccard similarity, other than the own key. Weights are at least 0.
 
-    Pairs come from shared tags: the sum of least weights is added up by tag, and the sum of greatest follows from the
-    totals. Pairs without a shared tag are 0 and follow, by key, where there are too few others: a key of n - 1 better ones
-    finds what it lacks among the first 2 n keys.
+    Pairs come from rare tags that both have; the hot ones are added to them from maps. A pair of hot tags alone is at most
+    the hot share of a key's weight: a key whose n-th best lies over that is done. The others are compared with all keys
+    in blocks, of which only the n best come out. Pairs without a shared tag are 0 and follow, by key, where there are too
+    few others: a key of n - 1 better ones finds what it lacks among the first 2 n keys.
     """
     keys = descriptions.where("key IS NOT NULL").select("key").distinct()
-    tags = descriptions.select("key", F.explode("tags").alias("tag", "w"))
+    tags = descriptions.where("key IS NOT NULL").select("key", F.explode("tags").alias("tag", "w")).where("w > 0").groupBy("key", "tag").agg(F.sum("w").alias("w"))
     totals = tags.groupBy("key").agg(F.sum("w").alias("total"))
-    other = tags.select(F.col("key").alias("other"), "tag", F.col("w").alias("w2"))
-    least = tags.join(other, "tag").where("key <> other").groupBy("key", "other").agg(F.sum(F.least("w", "w2")).alias("least"))
+    least, hot = rare_pairs(tags, HOT)
     both = least.join(totals, "key").join(totals.select(F.col("key").alias("other"), F.col("total").alias("total2")), "other")
-    sim = F.coalesce(F.try_divide(F.col("least"), F.col("total") + F.col("total2") - F.col("least")), F.lit(0.0))
     order = W.partitionBy("key").orderBy(F.desc(F.round("sim", 9)), "other")
+    if hot.isEmpty():
+        found = both.select("key", "other", (F.col("least") / (F.col("total") + F.col("total2") - F.col("least"))).alias("sim"))
+    else:
+        maps = hot.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("tag", "w"))).alias("hot"), F.sum("w").alias("heat"))
+        both = both.join(maps.select("key", "hot"), "key", "left").join(maps.select(F.col("key").alias("other"), F.col("hot").alias("hot2")), "other", "left")
+        common = F.aggregate(F.map_entries("hot"), F.lit(0.0), lambda a, e: a + F.coalesce(F.least(e["value"], F.when(F.map_contains_key(F.col("hot2"), e["key"]), F.col("hot2")[e["key"]]).otherwise(0.0)), F.lit(0.0)))
+        both = both.withColumn("least", F.col("least") + F.coalesce(common, F.lit(0.0)))
+        joined = cut(both.select("key", "other", (F.col("least") / (F.col("total") + F.col("total2") - F.col("least"))).alias("sim")))
+        nth = joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == n).select("key", F.col("sim").alias("nth"))
+        reach = F.col("heat") / F.col("total") + 1e-9
+        left = cut(totals.join(maps.select("key", "heat"), "key").join(nth, "key", "left").where(F.coalesce("nth", F.lit(0.0)) <= reach).select("key"))
+        found = joined.join(left, "key", "left_anti").unionByName(_hot_pairs(tags, totals, left, n))
     first = keys.orderBy("key").limit(2 * n).select(F.col("key").alias("other"))
     rest = keys.crossJoin(F.broadcast(first)).where("key <> other").withColumn("sim", F.lit(None).cast("double"))  # 2 n rows
-    every = both.select("key", "other", sim.alias("sim")).union(rest).groupBy("key", "other").agg(F.coalesce(F.max("sim"), F.lit(0.0)).alias("sim"))
+    every = found.select("key", "other", "sim").union(rest).groupBy("key", "other").agg(F.coalesce(F.max("sim"), F.lit(0.0)).alias("sim"))
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
@@ -119,13 +184,17 @@ def query_weights(terms: DataFrame, vocab: DataFrame, threshold: float = 0.5, sc
     """
     words = terms.select("text", "lemma").distinct()
     exact = words.join(vocab, words["lemma"] == vocab["tag"]).select("text", "lemma", "tag_idx", "tag", F.lit(1.0).alias("m"))
-    inside = (F.contains("tag", "text") | F.contains("tag", "lemma")) & (F.col("lemma") != F.col("tag"))
-    part = words.join(F.broadcast(vocab.select("tag_idx", "tag")), inside).select("text", "lemma", "tag_idx", "tag", F.lit(0.5).alias("m"))  # a vocabulary of tags
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("tag")), lambda a: F.transform(F.sequence(F.lit(1), F.length("tag") - a + 1), lambda n: F.substring(F.col("tag"), a, n))))
+    pieces = vocab.where("tag <> ''").select("tag_idx", "tag", F.explode(F.array_distinct(spans)).alias("word"))  # a tag is short: an equi-join on what it contains
+    sides = words.select("text", "lemma", F.explode(F.array_distinct(F.array("text", "lemma"))).alias("word"))
+    part = sides.join(pieces, "word").where("lemma <> tag").select("text", "lemma", "tag_idx", "tag", F.lit(0.5).alias("m")).distinct()
     found = exact.union(part)
     if term_vectors is not None:
         rest = words.join(found, ["text", "lemma"], "left_anti").join(term_vectors.withColumnRenamed("v", "_v"), "lemma")
-        near = rest.crossJoin(F.broadcast(vocab.select("tag_idx", "tag", "v"))).withColumn("cos", V.cosine("_v", "v")).where(F.col("cos") >= threshold)
-        found = found.union(near.select("text", "lemma", "tag_idx", "tag", F.col("cos") * scale))
+        unit = lambda df, key, v: df.select(F.col(key).alias("id"), V.normalized(v).alias("v")).dropDuplicates(["id"])
+        near = matches_at_least(unit(rest, "lemma", "_v"), unit(vocab.where("v IS NOT NULL"), "tag", "v"), threshold)
+        close = rest.select("text", "lemma").join(near.withColumnsRenamed({"left": "lemma", "right": "tag"}), "lemma").join(vocab.select("tag_idx", "tag"), "tag")
+        found = found.union(close.select("text", "lemma", "tag_idx", "tag", F.col("sim") * scale))
     hits = terms.join(found, ["text", "lemma"])
     side = lambda neg: F.coalesce(F.max(F.when(F.col("negative") == neg, F.col("m"))), F.lit(0.0))
     return hits.groupBy("id", "tag_idx", "tag").agg((side(False) - side(True)).alias("weight"))

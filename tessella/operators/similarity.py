@@ -62,7 +62,7 @@ def grid(left: DataFrame, right: DataFrame, half: bool, left_more: tuple = (), r
 def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     t = t.sort_by("id")
     v = t["v"].combine_chunks()
-    return t["id"].to_numpy(), v.values.to_numpy(zero_copy_only=False).reshape(len(t), -1)[:, :] if len(t) else np.empty((0, 0))
+    return t["id"].to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)[:, :] if len(t) else np.empty((0, 0))
 
 
 def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,6 +115,18 @@ def pairs_at_least(rows: DataFrame, threshold: float) -> DataFrame:
     return grid(rows, rows, True).groupBy("lane", "block").applyInArrow(run, "i long, j long, sim double")
 
 
+def matches_at_least(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left, right, sim): rows (id, v) of both sides, ids of text, whose dot product is at least the threshold."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        a, x, b, y = _sides(cell)
+        s = x @ y.T if len(a) and len(b) else np.zeros((0, 0))
+        p, q = np.nonzero(s >= threshold)
+        return pa.table({"left": pa.array([a[k] for k in p], pa.string()), "right": pa.array([b[k] for k in q], pa.string()), "sim": pa.array(s[p, q], pa.float64())})
+
+    return grid(left, right, False).groupBy("lane", "block").applyInArrow(run, "left string, right string, sim double")
+
+
 def perpendicular_order(fonts: DataFrame, location: Column) -> DataFrame:
     """(font, v, score, rank): fonts by how near to a right angle they stand to the location."""
     scored = fonts.select("font", "v", V.dot("v", location).alias("score"))
