@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import table, tuned
+from tessella.llm.common import others, table, tuned
 
 #: Fixed value: the pattern by which byte-level BPE splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -207,7 +207,7 @@ def _with(batch: pa.RecordBatch, drop: str | None, **columns: pa.Array) -> pa.Re
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of token ids in place of the text."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in (text, ids)] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType(others(docs.schema.fields, text, ids) + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -222,7 +222,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
 
 def decode_documents(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """tokens with the decoded text in place of the ids."""
-    schema = T.StructType([f for f in tokens.schema.fields if f.name not in (text, ids)] + [T.StructField(text, T.StringType())])
+    schema = T.StructType(others(tokens.schema.fields, text, ids) + [T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -235,7 +235,8 @@ def decode_documents(tokens: DataFrame, path: str, ids: str = "ids", text: str =
 def digest(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """n_tokens, and SHA-256 of the joined ids and of the text that they decode to."""
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    schema = T.StructType([f for f in tokens.schema.fields if f.name != ids] + new)
+    tokens = tokens.drop(*(f.name for f in new))
+    schema = T.StructType(others(tokens.schema.fields, ids) + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

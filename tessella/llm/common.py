@@ -29,6 +29,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def others(fields: list, *names: str) -> list:
+    """The fields of other names; names are equal whatever their case, as in Spark."""
+    gone = {n.lower() for n in names}
+    return [f for f in fields if f.name.lower() not in gone]
+
+
 def guarded(*names: str):
     """For pipeline stages: keeps columns of these names, and such that begin with "_", out of the way while a stage runs."""
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import table, tuned
+from tessella.llm.common import others, table, tuned
 
 #: Wordings of public licenses and their notices, by SPDX-like name.
 TEMPLATES = {
@@ -164,7 +164,13 @@ def find(text: str | None) -> list[dict]:
                     found[name, part[a][1]] = {"license": name, "start": part[a][1], "end": part[b - 1][2], "gain": round(gain, 6), "lacking": lack, "extra": extra}
                     rest += [x for x in (part[:a], part[b:]) if x]
                     break
-    return sorted(found.values(), key=lambda x: (x["start"], x["license"]))
+    # Parts of a long block overlap: a notice that two of them met in different extents counts once, where most of it is.
+    sizes = {name: len(template) for name, template, _ in _templates()}
+    kept: list[dict] = []
+    for x in sorted(found.values(), key=lambda x: (len(x["lacking"]) - sizes[x["license"]], len(x["extra"]), x["start"], x["license"])):
+        if all(x["end"] <= k["start"] or k["end"] <= x["start"] for k in kept):
+            kept.append(x)
+    return sorted(kept, key=lambda x: (x["start"], x["license"]))
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("gain", T.DoubleType()), T.StructField("lacking", T.ArrayType(T.StringType())), T.StructField("extra", T.ArrayType(T.StringType()))]))
@@ -172,7 +178,7 @@ FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.St
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a column licenses."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "licenses"] + [T.StructField("licenses", FOUND)])
+    schema = T.StructType(others(docs.schema.fields, "licenses") + [T.StructField("licenses", FOUND)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type

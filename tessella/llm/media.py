@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tessella.llm.common import table, tuned
+from tessella.llm.common import others, table, tuned
 
 #: Fixed values of the format: kbit/s by (MPEG 1, layer) and by (MPEG 2 and 2.5, layer), indices 1 to 14.
 BITRATES = {
@@ -400,8 +400,7 @@ def _chained(df: DataFrame, *steps: Callable[[T.StructType], Step]) -> DataFrame
 
 def _encoding(text: str) -> Callable[[T.StructType], Step]:
     def step(before: T.StructType) -> Step:
-        names = {text, *(f.name for f in MEDIA)}
-        schema = T.StructType([f for f in before.fields if f.name not in names] + MEDIA)
+        schema = T.StructType(others(before.fields, text, *(f.name for f in MEDIA)) + MEDIA)
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             raw = [(x.as_py() or "").encode() for x in b.column(text)]
@@ -414,7 +413,7 @@ def _encoding(text: str) -> Callable[[T.StructType], Step]:
 
 def _indexing(column: str) -> Callable[[T.StructType], Step]:
     def step(before: T.StructType) -> Step:
-        schema = T.StructType([f for f in before.fields if f.name not in {x.name for x in INDEX}] + INDEX)
+        schema = T.StructType(others(before.fields, *(x.name for x in INDEX)) + INDEX)
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             new: dict[str, list] = {f.name: [] for f in INDEX}

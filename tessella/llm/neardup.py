@@ -141,7 +141,7 @@ def fingerprints(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
             none = pa.nulls(len(b), bands.type)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pc.if_else(mask, none, bands), pc.if_else(mask, none, sketch)], names=["doc_id", "n_shingles", "set_hash", "bands", "sketch"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>")
 
 
 def _apart(a: str, b: str) -> Column:

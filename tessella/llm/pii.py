@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import table, tuned
+from tessella.llm.common import others, table, tuned
 
 #: Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -351,7 +351,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 def detect(docs: DataFrame, crf: Crf | None, text: str = "text") -> DataFrame:
     """docs with a column pii_spans: by kind, then start; base tells pattern spans from added ones."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "pii_spans"] + [T.StructField("pii_spans", SPANS)])
+    schema = T.StructType(others(docs.schema.fields, "pii_spans") + [T.StructField("pii_spans", SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import guarded, table, tuned
+from tessella.llm.common import guarded, others, table, tuned
 
 #: Bound of the training sample.
 TRAIN_ROWS = 20_000
@@ -184,9 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, text: str
     """A model from at most `most` labelled rows that aren't held out."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", text).join(F.broadcast(known), "doc_id")  # `most` rows at most
+    same = F.col("doc_id").cast("string").alias("_same")  # both tables' ids as text, whatever their types
+    rows = docs.select(same, "doc_id", text).join(F.broadcast(known.select(same, "quality")), "_same")  # `most` rows at most
     rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min(text).alias(text))  # one of each doc_id, however often it repeats
-    schema = "doc_id long, quality int, x array<double>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,13 +197,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, text: str
 
     got = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), text).mapInArrow(run, schema).toArrow().sort_by([("doc_id", "ascending")])
     x = got["x"].combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if len(got) else np.empty((0, len(FEATURES)))
-    order = np.lexsort((*x.T, got["doc_id"].to_numpy())) if len(got) else []
+    order = np.lexsort((*x.T, np.unique(got["doc_id"].to_numpy(), return_inverse=True)[1])) if len(got) else []
     return Additive.fit(x[order], got["quality"].to_numpy()[order].astype(float))
 
 
 def scored(docs: DataFrame, model: Additive, text: str = "text") -> DataFrame:
     """docs with a column quality_score."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "quality_score"] + [T.StructField("quality_score", T.DoubleType())])
+    schema = T.StructType(others(docs.schema.fields, "quality_score") + [T.StructField("quality_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

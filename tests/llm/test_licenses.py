@@ -84,3 +84,14 @@ def test_ranking_chooses_among_like_templates():
             assert [x["license"] for x in L.find(text)] == [name]
     both = f"{L.TEMPLATES['GPL-2.0+']} {words(10)} {L.TEMPLATES['GPL-3.0+']} {words(10)} {L.TEMPLATES['SPDX/BSD-3-Clause']} {L.TEMPLATES['SPDX/MIT']}"
     assert [x["license"] for x in L.find(both)] == ["GPL-2.0+", "GPL-3.0+", "SPDX/BSD-3-Clause", "SPDX/MIT"]
+
+
+def test_a_long_block_has_each_notice_once():
+    """A notice at any offset of a block that is read in parts."""
+    for name in ("MIT", "GPL-3.0+", "BSD"):
+        template = next(t[1] for t in L._templates() if t[0] == name)
+        for offset in range(0, 400, 2):
+            filler = [("license" if k % 60 == 0 else f"w{k}") for k in range(900)]
+            text = " ".join(filler[:offset] + template + filler[offset:])
+            found = [x["license"] for x in L.find(text)]
+            assert found == [name], (name, offset, found)
