@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.vector import as_col
 
@@ -74,13 +78,23 @@ def json_path(text: Column | str, path: str) -> Column:
     return F.get_json_object(as_col(text), f"$.{path}")
 
 
-def html_text(html: Column | str) -> Column:
-    """Text of a page: scripts, styles and tags go, the common entities become characters, white space is folded."""
-    t = F.regexp_replace(as_col(html), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    t = F.regexp_replace(t, "<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"[ \t\n\r\f\x0B]+", " "))
+#: What isn't text: comments, scripts and styles with what they hold, tags with quoted values, declarations. What isn't closed is text.
+_MARKUP = re.compile(
+    r"""<!--.*?-->|<(script|style)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>.*?</\1\s*>|</?[a-z][^\s/>]*(?:[^>"']|"[^"]*"|'[^']*')*>|<[!?][^>]*>""",
+    re.IGNORECASE | re.DOTALL,
+)
+
+
+def page_text(page: str | None) -> str | None:
+    """The text of one page: markup becomes a space, character references their characters, white space is folded."""
+    if page is None:
+        return None
+    return re.sub("[ \t\n\r\f\v]+", " ", html.unescape(_MARKUP.sub(" ", page)).replace("\xa0", " ")).strip(" ")
+
+
+def html_text(page: Column | str) -> Column:
+    """Text of a page, in Arrow batches; see page_text. All named and numeric references of HTML 5 are known."""
+    return F.pandas_udf(lambda pages: pages.map(page_text), T.StringType())(as_col(page))
 
 
 def prompt(adjectives: Column, tags: Column, plain: Column) -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators.graph import cut, numbered
+
 
 def latest(log: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """(keys..., value): what the last row of a key says."""
@@ -64,10 +70,51 @@ def step_log(steps: DataFrame, step: str, every: int = 25, save: int = 1000) ->
     return steps.where(due(every) | due(save)).withColumn("logged", due(every)).withColumn("saved", due(save))
 
 
+def _smaller_before(first: str, second: str):
+    """For groups of rows: by row, how many rows of its run come before it in `first` and have a smaller `second`."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(first)
+        out, seen, now = [], [], None
+        for key, value in zip(rows["_run"].to_pylist(), rows[second].to_pylist(), strict=True):
+            if key != now:
+                now, seen = key, []
+            out.append(bisect.bisect_left(seen, value))
+            bisect.insort(seen, value)
+        return pa.table({"_n": rows["_n"], "c": pa.array(out, pa.int64())})
+
+    return run
+
+
+#: Rows of a chunk, at least; it grows with the square root of all rows, so that pairs of chunks stay fewer than rows.
+CHUNK = 4096
+
+
 def early_stop(losses: DataFrame, run: str, order: str, loss: str) -> DataFrame:
-    """losses with better_before (earlier losses below the current one) and stop (two or more of them)."""
-    earlier = F.collect_list(loss).over(W.partitionBy(run).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return losses.withColumn("better_before", F.size(F.filter(earlier, lambda x: x < F.col(loss)))).withColumn("stop", F.col("better_before") >= 2)
+    """losses with better_before (earlier losses of the run below the current one) and stop (two or more of them).
+
+    Rows are numbered by (run, order) and by (run, loss); both numbers are cut in chunks. What is smaller in both is counted
+    in a row's chunk of the one, in its chunk of the other, and by sums over pairs of chunks. No task holds more than a chunk.
+    A null loss has none before it and counts for none; orders are distinct within a run.
+    """
+    keys = losses.select(F.to_json(F.struct(run), {"ignoreNullFields": "false"}).alias("_run"), F.col(order).alias("_o"), F.col(loss).alias("_l"))
+    steps = numbered(keys, "_n", "_run", "_o")
+    both = cut(numbered(steps, "_m", "_run", F.col("_l").asc_nulls_last(), F.col("_o").desc()).where("_l IS NOT NULL"))
+    size = max(CHUNK, 8 * math.isqrt(both.count()))
+    rows = both.select("_run", "_n", "_m", F.floor(F.col("_n") / size).alias("_a"), F.floor(F.col("_m") / size).alias("_b"))
+    near = rows.groupBy("_a").applyInArrow(_smaller_before("_n", "_m"), "_n long, c long")
+    beside = rows.groupBy("_b").applyInArrow(_smaller_before("_m", "_a"), "_n long, c long")
+    spans = rows.groupBy("_run").agg(F.min("_a").alias("a0"), F.max("_a").alias("a1"), F.min("_b").alias("b0"), F.max("_b").alias("b1")).where("a1 > a0 AND b1 > b0")
+    cells = spans.select("_run", F.explode(F.sequence("a0", "a1")).alias("_a"), "b0", "b1").select("_run", "_a", F.explode(F.sequence("b0", "b1")).alias("_b"))
+    held = cells.join(rows.groupBy("_run", "_a", "_b").agg(F.count("*").alias("c")), ["_run", "_a", "_b"], "left")
+    below = lambda value, by, along: F.coalesce(F.sum(value).over(W.partitionBy("_run", by).orderBy(along).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = held.withColumn("g", below("c", "_a", "_b")).select("_run", "_a", "_b", below("g", "_b", "_a").alias("c")).where("c > 0")
+    far = rows.join(sums, ["_run", "_a", "_b"]).select("_n", "c")
+    total = near.union(beside).union(far).groupBy("_n").agg(F.sum("c").alias("better_before"))
+    marks = steps.join(total, "_n", "left").select("_run", "_o", F.coalesce("better_before", F.lit(0)).cast("int").alias("better_before"))
+    own = losses.withColumn("_run", F.to_json(F.struct(run), {"ignoreNullFields": "false"}))
+    out = own.join(marks, (own["_run"] == marks["_run"]) & (own[order] == marks["_o"])).select(*losses.columns, "better_before")
+    return out.withColumn("stop", F.col("better_before") >= 2)
 
 
 def best_so_far(steps: DataFrame, run: str, order: str, loss: str, item: str) -> DataFrame:

@@ -90,14 +90,14 @@ def step_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def describe_append(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select((F.col("doc_id") * 7 % 5000).alias("p_partkey"), "doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit("  ")).otherwise(F.left("text", F.lit(20))).alias("description"))
+    """Whole texts as descriptions of the fonts that are known; blank ones are refused."""
+    rows = table(spark, sf, "documents").select((F.col("doc_id") * 7 % 5000).alias("p_partkey"), "doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit("  ")).otherwise(F.col("text")).alias("description"))
     return B.append_valid(rows, table(spark, sf, "part"), "p_partkey", "description")
 
 
 def describe_append_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of describe_append with whole texts as descriptions."""
-    rows = table(spark, sf, "documents").select((F.col("doc_id") * 7 % 5000).alias("p_partkey"), "doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit("  ")).otherwise(F.col("text")).alias("description"))
-    return B.append_valid(rows, table(spark, sf, "part"), "p_partkey", "description")
+    """The same under the name that it had beside a shorter one."""
+    return describe_append(spark, sf)
 
 
 def resume_anti(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,6 +145,8 @@ QUERIES = {
 _L = "l AS (SELECT (props->>'k')::BIGINT % 20 AS font, user_id % 10 AS \"user\", event_id % 3 AS query, CASE WHEN event_type IN ('click', 'purchase', 'signup') THEN 'add' ELSE 'remove' END AS op, event_id AS seq, ts AS created, floor(value % 5)::INT AS rating FROM events)"
 _AP = "SELECT a.font, a.\"user\", a.query FROM (SELECT font, \"user\", query, max(seq) AS i FROM l WHERE op = 'add' GROUP BY ALL) a LEFT JOIN (SELECT {0}, max(seq) AS o FROM l WHERE op = 'remove' GROUP BY ALL) r USING ({0}) WHERE o IS NULL OR i > o"
 
+_APPEND = "SELECT doc_id * 7 % 5000 AS p_partkey, doc_id, text AS description FROM documents WHERE doc_id % 9 <> 0 AND length(trim(text)) > 0 AND doc_id * 7 % 5000 IN (SELECT p_partkey FROM part)"
+
 ORACLE = {
     "latest_rating": f"WITH {_L} SELECT font, \"user\", arg_max(rating, seq) AS rating FROM l GROUP BY ALL",
     "approval_state": f"WITH {_L} " + _AP.format('font, "user", query'),
@@ -159,8 +161,8 @@ ORACLE = {
     "ema_fold": "WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS back FROM events) SELECT user_id, round(sum(value * 0.1 * power(0.9, back)), 6) AS ema FROM n GROUP BY user_id",
     "running_loss": "WITH s AS (SELECT user_id, row_number() OVER w AS step, avg(value / 100) OVER w AS mean, exp(value / 100) AS perplexity FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT user_id, step, round(mean, 6) AS mean, round(perplexity, 6) AS perplexity FROM s WHERE step % 25 = 0",
     "step_log": "SELECT step, event_id, round(value / 100, 6) AS loss, step % 1000 = 0 AS saved FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS step FROM events) WHERE step % 25 = 0",
-    "describe_append": "SELECT doc_id * 7 % 5000 AS p_partkey, doc_id, left(text, 20) AS description FROM documents WHERE doc_id % 9 <> 0 AND length(trim(left(text, 20))) > 0 AND doc_id * 7 % 5000 IN (SELECT p_partkey FROM part)",
-    "describe_append_whole": "SELECT doc_id * 7 % 5000 AS p_partkey, doc_id, text AS description FROM documents WHERE doc_id % 9 <> 0 AND length(trim(text)) > 0 AND doc_id * 7 % 5000 IN (SELECT p_partkey FROM part)",
+    "describe_append": _APPEND,
+    "describe_append_whole": _APPEND,
     "resume_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "completed_union": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS run FROM customer",
     "registry_drain": "SELECT 'store' AS origin, count(*) AS n, sum(p_partkey) AS mark FROM part WHERE p_partkey % 4 < 2 UNION ALL SELECT 'registry', count(*), sum(p_partkey) FROM part WHERE p_partkey % 4 >= 2 UNION ALL SELECT 'left', 0, 0",

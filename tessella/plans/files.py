@@ -252,7 +252,7 @@ QUERIES = {
 
 _U = "u AS (SELECT p_partkey, replace(['https://www.dafont.com/{}.ttf', 'https://www.myfonts.com/{}.otf', 'http://www.dafont.com/{}.ttf', 'https://www.dafont.com:443/{}.ttf', 'https://u@www.dafont.com/{}.ttf', 'https://WWW.dafont.com/{}.ttf', 'https://example.com/{}.ttf?x=1#f', 'no address {}'][(p_partkey % 8 + 1)::INT], '{}', replace(p_name, ' ', '-')) AS url FROM part)"
 _H = "regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'g')"
-for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&amp;", "&")):
+for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _H = f"replace({_H}, '{_a}', '{_b}')"
 
 _X = "CASE WHEN vec_id % 10 = 9 THEN NULL ELSE round(least(greatest(floor(embedding[{}]::DOUBLE * 256 + 128), 0), 255) / 255, 6) END"

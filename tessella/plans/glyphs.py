@@ -199,8 +199,8 @@ ORACLE = {
     "name_order_index": "SELECT p_partkey, p_name, dense_rank() OVER (ORDER BY p_name) - 1 AS font_num FROM part",
     "block_index": f"WITH {_G}, p AS (SELECT glyph, font, row_number() OVER (ORDER BY font, glyph) AS place FROM g) SELECT *, min(place) OVER (PARTITION BY font) AS first, max(place) OVER (PARTITION BY font) AS last FROM p",
     "direction_swap": f"WITH {_CP} SELECT font, letter, -1 AS side, round(upper[1], 6) AS source, round(lower[1], 6) AS target FROM cp UNION ALL SELECT font, letter, 0, round(lower[1], 6), round(lower[1], 6) FROM cp UNION ALL SELECT font, letter, 1, round(upper[1], 6), round(upper[1], 6) FROM cp",
-    "pixel_noise": f"""WITH {_G}, h(glyph, k, h) AS (SELECT glyph, k, (glyph % 2147483647 * 48271 + k * 69621 + 1234 + 2147483647) % 2147483647 FROM g, range(-2, 64) r(k)), u AS (SELECT glyph, k, ((h * h) % 2147483647 * 48271 + h) % 2147483647 / 2147483647.0::DOUBLE AS u FROM h),
-        c AS (SELECT a.glyph, floor(a.u * 7) AS top, floor(b.u * 7) AS left FROM u a JOIN u b USING (glyph) WHERE a.k = -1 AND b.k = -2)
+    "pixel_noise": f"""WITH {_G}, h(glyph, k, h) AS MATERIALIZED (SELECT glyph, k, (glyph % 2147483647 * 48271 + k * 69621 + 1234 + 2147483647) % 2147483647 FROM g, range(-2, 64) r(k)), u AS MATERIALIZED (SELECT glyph, k, ((h * h) % 2147483647 * 48271 + h) % 2147483647 / 2147483647.0::DOUBLE AS u FROM h),
+        c AS (SELECT glyph, floor(max(u) FILTER (k = -1) * 7) AS top, floor(max(u) FILTER (k = -2) * 7) AS left FROM u GROUP BY glyph)
         SELECT glyph, u.k::INT AS at, round(CASE WHEN u.u < 0.4 OR (u.k // 8 >= c.top AND u.k // 8 < c.top + 2 AND u.k % 8 >= c.left AND u.k % 8 < c.left + 2) THEN 0 ELSE pixels[u.k + 1] END, 6) AS x FROM u JOIN c USING (glyph) JOIN g USING (glyph) WHERE u.k >= 0""",
     "padded_batch": "WITH b AS (SELECT item_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS t FROM benchmark), m AS (SELECT *, max(len(t)) OVER (PARTITION BY item_id // 16) AS n FROM b) SELECT item_id, array_to_string(list_concat(t, list_transform(range(n - len(t)), lambda k: 0)), ',') AS tokens FROM m",
     "description_words": "SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS words FROM documents",
