@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.operators.descriptions import STOP_WORDS
+from tessella.operators.graph import written
 
 #: Rows of either side of a cell, about.
 BLOCK = 1024
@@ -18,16 +20,19 @@ def features(docs: DataFrame, max_features: int = 50_000, stop_words: tuple[str,
 
     Words have two letters or digits at least; stop words go before pairs are made. The terms of highest count stay.
     With copies, a column that says how many documents a row stands for, n, df and counts are taken over all of them.
+    Texts are dealt out by id once; counts, weights and norms of a document stay where it lies. The terms that stay are
+    max_features at most, so they go to every task.
     """
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop_words))
-    listed = docs.select("id", (F.lit(1) if copies is None else F.col(copies)).cast("long").alias("copies"), words.alias("ws"))
+    dealt = docs.select("id", "text", (F.lit(1) if copies is None else F.col(copies)).cast("long").alias("copies")).repartition("id")
+    listed = dealt.select("id", "copies", words.alias("ws"))
     pairs = F.when(F.size("ws") > 1, F.zip_with(F.slice("ws", F.lit(1), F.size("ws") - 1), F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     tf = listed.select("id", "copies", F.explode(F.concat("ws", pairs)).alias("term")).groupBy("id", "copies", "term").agg(F.count("*").alias("tf"))
     stats = tf.groupBy("term").agg(F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("cf")).orderBy(F.desc("cf"), "term").limit(max_features).drop("cf")
     n = docs.agg((F.count("*") if copies is None else F.coalesce(F.sum(copies), F.lit(0))).alias("n"))
-    raw = tf.join(stats, "term").crossJoin(F.broadcast(n)).select("id", "term", "df", ((1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))  # one row
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
+    known = stats.crossJoin(F.broadcast(n)).select("term", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    raw = tf.join(F.broadcast(known), "term").select("id", "term", "df", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))  # max_features rows
+    return raw.select("id", "term", "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))).alias("w"))
 
 
 def _cell(cell: pa.Table, threshold: float, selves: bool) -> pa.Table:
@@ -63,8 +68,8 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.35, max_features: int =
     threshold. So a term that all texts share costs additions, not joined rows, and no pair of rows is shuffled.
     """
     rows = features(docs, max_features, copies=copies).groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("f"))
-    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("f.t").alias("t"), F.col("f.w").alias("w"))
-    n = max(1, -(-docs.count() // BLOCK))
+    rows = written(rows.select(F.col("id").cast("long").alias("id"), F.col("f.t").alias("t"), F.col("f.w").alias("w")))
+    n = max(1, -(-rows.count() // BLOCK))
     own = rows.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(n)))
     every = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
     left = own.select(F.lit(True).alias("own"), "id", "t", "w", F.col("deal").alias("lane"), F.explode(F.filter(every, lambda b: b >= F.col("deal"))).alias("block"))
