@@ -110,6 +110,23 @@ def principal_components(spark: SparkSession, sf: str) -> DataFrame:
     return T.principal_components(vectors(spark, sf), 3).select("id", F.transform("pc", lambda x: F.round(x, 6)).alias("pc"))
 
 
+def singular_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The three largest singular values of the vectors, and each vector's coordinates along them."""
+    from tessella.operators.spectral import truncated_svd
+
+    rows, values, _ = truncated_svd(vectors(spark, sf), 3)
+    along = F.transform(F.arrays_zip(F.col("u").alias("u"), V.literal_vector(list(values)).alias("s")), lambda x: F.round(x["u"] * x["s"], 5))
+    return rows.select("id", along.alias("coordinates"), F.lit(round(float(values[0]), 6)).alias("largest"))
+
+
+def sketched_penalty(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance from the identity of the covariance of the vectors, made four times as wide by products of neighbours, in a sketch of 64."""
+    from tessella.operators.spectral import covariance_penalty
+
+    wide = F.concat("v", *(F.transform(F.arrays_zip(F.col("v").alias("a"), F.concat(F.slice("v", F.lit(k + 1), F.size("v") - k), F.slice("v", 1, k)).alias("b")), lambda x: x["a"] * x["b"] * 8) for k in (1, 2, 3)))
+    return _one(spark, "penalty", covariance_penalty(vectors(spark, sf).select(wide.alias("v")), 64))
+
+
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Members of each cluster of the pooled families."""
     from tessella.plans.vectors import _pooled
@@ -143,7 +160,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cycle_score, top_paths, path_overlap, path_difference, path_crossover, hop_matrix, evolved_paths, coding_rate, transrate, logme, ridge_mse, h_alpha, control_scores,
-        principal_components, clusters, simulated_feedback, feedback_success,
+        principal_components, singular_vectors, sketched_penalty, clusters, simulated_feedback, feedback_success,
     )
 }
 
