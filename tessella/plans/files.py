@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import tables
 from tessella.functions import text as X
 from tessella.functions import vector as V
 from tessella.operators import descriptions as D
@@ -165,6 +166,18 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("page_id", "text", F.length("text").cast("long").alias("n"))
 
 
+def path_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Names as paths, taken apart by the table function in SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT p_partkey, pos, node FROM {p} p, LATERAL path_nodes(concat(replace(p_name, ' ', ' -> '), ' ->  -> '))", p=table(spark, sf, "part"))
+
+
+def pair_glyphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pair indices decoded by the table function in SQL; some lie outside their font."""
+    tables.register(spark)
+    return spark.sql("SELECT p_partkey, l.left, l.right FROM {p} p, LATERAL pair_glyphs(p_partkey % 700, CAST(p_size AS BIGINT)) l", p=table(spark, sf, "part"))
+
+
 def _urls(spark: SparkSession, sf: str) -> DataFrame:
     """Font addresses of all kinds."""
     p = table(spark, sf, "part")
@@ -244,7 +257,7 @@ def star_join(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tag_files_scan, category_csv_scan, family_csv_scan, query_json_scan, vector_cache_roundtrip, score_csv_sink, path_explode, store_tables, html_text, url_allowlist,
+        tag_files_scan, category_csv_scan, family_csv_scan, query_json_scan, vector_cache_roundtrip, score_csv_sink, path_explode, store_tables, html_text, path_nodes, pair_glyphs, url_allowlist,
         registry_add, url_parts, config_dot_path, string_ops, query_template, checked_flag, union_sources, distinct_names, stream_rate_limit, stream_latest, star_join,
         glyph_images, image_distance, article_scan, saved_twice, activation_parts, transactions, config_roundtrip,
     )
@@ -276,6 +289,8 @@ ORACLE = {
     "score_csv_sink": "SELECT o_orderpriority AS name, max(o_totalprice) FILTER (o_orderstatus = 'F') AS F, max(o_totalprice) FILTER (o_orderstatus = 'O') AS O, max(o_totalprice) FILTER (o_orderstatus = 'P' AND o_orderpriority <> '5-LOW') AS P FROM orders GROUP BY o_orderpriority",
     "path_explode": "WITH r AS (SELECT l_partkey::VARCHAR AS font, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey::VARCHAR) - 1 AS pos FROM lineitem) SELECT pos, font, count(*) AS n FROM r GROUP BY ALL",
     "store_tables": "SELECT p_size > 25 AS paid, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT NULL, 0",
+    "path_nodes": "SELECT p_partkey, (unnest(range(len(w))))::INTEGER AS pos, unnest(w) AS node FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)",
+    "pair_glyphs": 'SELECT p_partkey, i // n AS "left", i % n AS "right" FROM (SELECT p_partkey, p_partkey % 700 AS i, p_size::BIGINT AS n FROM part) WHERE i < n * n',
     "html_text": f"WITH t AS (SELECT page_id, trim(regexp_replace({_H}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM pages) SELECT page_id, text, length(text) AS n FROM t",
     "url_allowlist": f"WITH {_U} SELECT p_partkey, p_partkey % 8 IN (0, 1) AS ok, p_partkey % 8 = 1 AS paid, regexp_matches(url, '\\.(otf|ttf)$') AS font FROM u",
     "registry_add": f"WITH {_U}, k AS (SELECT * FROM u WHERE p_partkey % 8 IN (0, 1)) SELECT p_partkey, url, p_partkey % 8 = 1 AS paid FROM k WHERE url NOT IN (SELECT url FROM k WHERE p_partkey % 5 = 0)",
