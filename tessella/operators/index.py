@@ -104,24 +104,40 @@ def _pairs(index: Index, bound: np.ndarray) -> np.ndarray:
     return (best + SLACK >= bound[:, None]) & (index.sizes[:, None] > 0) & (index.sizes[None, :] > 0)
 
 
-def _cells(index: Index, pairs: np.ndarray) -> DataFrame:
-    """Rows of both sides beside the pair of cells that they are wanted for; cells of many rows go in blocks."""
+def _packed(index: Index) -> np.ndarray:
+    """By cell the group that it is compared in: small cells beside each other go together, up to BLOCK rows."""
+    spread = index.centres - index.centres.mean(0)
+    axis = np.linalg.svd(spread, full_matrices=False)[2][0] if spread.size else np.zeros(spread.shape[1])
+    groups, now, held = np.zeros(len(index.sizes), int), 0, 0
+    for c in np.argsort(spread @ axis, kind="stable"):
+        if held and held + index.sizes[c] > BLOCK:
+            now, held = now + 1, 0
+        groups[c], held = now, held + index.sizes[c]
+    return groups
+
+
+def _cells(index: Index, pairs: np.ndarray) -> tuple[DataFrame, float]:
+    """Rows of both sides beside the pair of groups that they are wanted for, and the share of pairs of rows that meet; groups of many rows go in blocks."""
     spark = index.rows.sparkSession
-    blocks = np.maximum(1, -(-index.sizes // BLOCK))
-    listed = spark.createDataFrame(pa.table({"a": pa.array(np.nonzero(pairs)[0], pa.int32()), "b": pa.array(np.nonzero(pairs)[1], pa.int32())}))  # CELLS squared at most
-    deal = spark.createDataFrame(pa.table({"cell": pa.array(range(len(blocks)), pa.int32()), "blocks": pa.array(blocks, pa.int64())}))
-    rows = index.rows.join(F.broadcast(deal), "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), "blocks").alias("part"))  # CELLS rows
+    groups = _packed(index)
+    sizes = np.bincount(groups, index.sizes).astype(np.int64)
+    met = np.zeros((len(sizes),) * 2, bool)
+    met[groups[np.nonzero(pairs)[0]], groups[np.nonzero(pairs)[1]]] = True
+    blocks = np.maximum(1, -(-sizes // BLOCK))
+    a, b = np.nonzero(met)
+    wide = spark.createDataFrame(pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "m": pa.array(blocks[a]), "n": pa.array(blocks[b])}))  # CELLS squared at most
+    deal = spark.createDataFrame(pa.table({"cell": pa.array(range(len(groups)), pa.int32()), "grp": pa.array(groups, pa.int64()), "blocks": pa.array(blocks[groups])}))
+    rows = index.rows.join(F.broadcast(deal), "cell").select("id", "v", "grp", F.pmod(F.xxhash64("id"), "blocks").alias("part"))  # CELLS rows
     every = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.col(side) - 1))
-    wide = listed.join(F.broadcast(deal.select(F.col("cell").alias("a"), F.col("blocks").alias("m"))), "a").join(F.broadcast(deal.select(F.col("cell").alias("b"), F.col("blocks").alias("n"))), "b")
     lane = lambda c, p: F.concat_ws(":", c, p)
-    left = rows.join(wide.select(F.col("a").alias("cell"), "b", "n"), "cell").select("*", every("n").alias("other"))
-    right = rows.join(wide.select(F.col("b").alias("cell"), "a", "m"), "cell").select("*", every("m").alias("other"))
-    sides = (F.lit(True).alias("own"), "id", "v", lane("cell", "part").alias("lane"), lane("b", "other").alias("block")), (F.lit(False).alias("own"), "id", "v", lane("a", "other").alias("lane"), lane("cell", "part").alias("block"))
-    return left.select(*sides[0]).unionByName(right.select(*sides[1]))
+    left = rows.join(wide.select(F.col("a").alias("grp"), "b", "n"), "grp").select("*", every("n").alias("other"))
+    right = rows.join(wide.select(F.col("b").alias("grp"), "a", "m"), "grp").select("*", every("m").alias("other"))
+    sides = (F.lit(True).alias("own"), "id", "v", lane("grp", "part").alias("lane"), lane("b", "other").alias("block")), (F.lit(False).alias("own"), "id", "v", lane("a", "other").alias("lane"), lane("grp", "part").alias("block"))
+    return left.select(*sides[0]).unionByName(right.select(*sides[1])), float((np.outer(sizes, sizes) * met).sum()) / max(1, int(sizes.sum()) ** 2)
 
 
 def nearest_rows(index: Index, k: int) -> tuple[DataFrame, float]:
-    """(src, dst, sim, rank) of every row's k others of highest dot product, as similarity.nearest; and the share of pairs of cells that were compared.
+    """(src, dst, sim, rank) of every row's k others of highest dot product, as similarity.nearest; and the share of all pairs of rows that were compared at last.
 
     Rows first meet their own cell and those nearest to it, which bounds what a cell's rows have at least; then cells whose
     best product can reach that bound.
@@ -131,12 +147,11 @@ def nearest_rows(index: Index, k: int) -> tuple[DataFrame, float]:
     for c in np.flatnonzero(index.sizes):
         order = [c, *(o for o in near[c] if o != c and index.sizes[o])]
         first[c, order[: int(np.searchsorted(np.cumsum(index.sizes[order]), k + 1)) + 1]] = True
-    found = best_rows(_cells(index, first), k)
+    found = best_rows(_cells(index, first)[0], k)
     kth = ranked(found, k).where(F.col("rank") == k).select(F.col("src").alias("id"), "sim")
     worst = index.rows.join(kth, "id", "left").groupBy("cell").agg(F.min("sim").alias("least"), F.count("sim").alias("n"), F.count("*").alias("all")).collect()  # a row a cell
     bound = np.full(len(index.centres), -np.inf)
     for r in worst:
         bound[r.cell] = r.least if r.n == r["all"] else -np.inf
-    pairs = _pairs(index, bound) | first
-    filled = int((index.sizes > 0).sum()) or 1
-    return ranked(best_rows(_cells(index, pairs), k), k), float(pairs.sum()) / filled**2
+    cells, share = _cells(index, _pairs(index, bound) | first)
+    return ranked(best_rows(cells, k), k), share
