@@ -5,6 +5,10 @@ a digit or an at sign (also spelled out, as in "a[at]b[dot]c"); neighbouring wor
 spelling share potentials. Words in a pattern's span are evidence, their label is known; loopy message passing carries it
 to the other words. Neighbouring words that come out sure enough of one label are an added span.
 
+Neighbouring words that together write a span in another way are one node: numbers whose joined digits end a phone number
+or are a card's, four numbers that are an address, names around a spelled-out "at" and "dot" (the domain may stop after
+its first name), a card's last four digits that are masked or announced. Its skips go to the span's words.
+
 Weights come from maximum pseudo-likelihood over counts taken from a bounded sample of documents (SAMPLE_DOCS, smallest
 hashes), labelled by the patterns. As a pattern finds its own repeats, each span of the sample is also repeated with the
 pattern's marks hidden (no plus, other separators, signs spelled out), beside a decoy of the same shape that no span
@@ -17,6 +21,7 @@ empty table gives an empty result. A column pii_spans is replaced, all others pa
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +47,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _HINT = re.compile(r"[0-9@]|[\[({](?:at|AT)[\])}]")
-_AT, _DOT = re.compile(r"[\[({](?:at|AT|@)[\])}]"), re.compile(r"[\[({](?:dot|DOT|\.)[\])}]")
+_AT = re.compile(r"[\[({](?:at|AT|@)[\])}]|(?<=[A-Za-z0-9])_(?:at|AT)_(?=[A-Za-z0-9])")
+_DOT = re.compile(r"[\[({](?:dot|DOT|\.)[\])}]|(?<=[A-Za-z0-9])_(?:dot|DOT)_(?=[A-Za-z0-9])")
+_AT_SIGN, _AT_WORD, _DOT_WORD = re.compile(r"(?i)@|(?<![a-z0-9])at(?![a-z0-9])"), re.compile(r"(?i)[\[({<]?(?:at|@)[\])}>]?"), re.compile(r"(?i)[\[({<]?(?:dot|\.)[\])}>]?")
+_NUMBER, _JOINER = re.compile(r"[(\[]*\+?[0-9][0-9()+./-]*[)\],;:!?]*"), re.compile(r"[-/.]+")
+_MASKED, _FOUR = re.compile(r"[*xX#][*xX#-]*([0-9]{4})[\]).,;:!?]*"), re.compile(r"[0-9]{4}[\]).,;:!?]*")
+#: Words, among the two before it, that announce a number's last digits.
+_ENDING = frozenset(("ending", "ends", "last", "digits"))
 _EDGES = "[]<>{}\"'.,;:!?#$%&*|"
 _ADDRESS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 
@@ -142,32 +153,146 @@ def _shape(word: str) -> tuple[int, ...]:
 SIZES = (7, 3, 5, 2, 4, 2, 2, 2, 2)
 
 
+#: Most dots on each side of a spelled-out at sign, and most characters of a word that is part of a number.
+DOTS, PART = 6, 40
+Group = tuple[int, set, tuple[int, ...]]  # last word, keys, shape
+
+
+def _told_keys(kind: int, span: str) -> set[tuple[str, str]]:
+    """What a span shares with other ways to write it."""
+    d = _digits(span)
+    if kind == 0:
+        local, domain = span.lower().split("@")
+        return {("@", f"{local}@{domain}"), ("@", f"{local}@{domain.split('.')[0]}")}
+    if kind == 1:
+        return {("ip", ".".join(p.lstrip("0") or "0" for p in span.split(".")))}
+    return {("n", d), ("four", d[-4:])} if kind == 2 else {("n", d[k:]) for k in range(len(d) - 6)}
+
+
+class Respelled:
+    """Runs of words outside the told spans that write one of these in another way. groups: by first word; anchors: keys by a told span's last word."""
+
+    def __init__(self, text: str, told: list[Span]) -> None:
+        self.groups: dict[int, Group] = {}
+        self.anchors: dict[int, set] = {}
+        if not told:
+            return
+        self.text, self.words = text, [m.span() for m in _WORD.finditer(text)]
+        self.starts = [a for a, _ in self.words]
+        self.taken: set[int] = set()
+        for kind, a, b in told:
+            first, last = bisect_right(self.starts, a) - 1, bisect_right(self.starts, b - 1) - 1
+            self.taken.update(range(first, last + 1))
+            self.anchors.setdefault(last, set()).update(_told_keys(kind, text[a:b]))
+        self.known = set().union(*self.anchors.values())
+        sorts = {x[0] for x in self.known}
+        if "@" in sorts:
+            self._mails()
+        if sorts - {"@"}:
+            self._numbers()
+
+    def _word(self, k: int) -> str:
+        a, b = self.words[k]
+        return self.text[a:b]
+
+    def _put(self, first: int, last: int, keys: set, as_one: str, spelled: bool) -> None:
+        shape = _shape(as_one)
+        self.groups[first] = last, keys, (*shape[:-1], 1) if spelled else shape
+        self.taken.update(range(first, last + 1))
+
+    def _side(self, k: int, step: int, own: str) -> list[tuple[int, str]]:
+        """(word, spelling) on one side of an at sign, shorter ones first: the rest of the sign's own word or the next one, and what dots add."""
+        free = lambda x: 0 <= x < len(self.words) and x not in self.taken
+        if not own:
+            k += step
+            if not free(k) or self.words[k][1] - self.words[k][0] > 255:
+                return []
+            own = _plain(self._word(k)).strip("()")
+        out = [(k, own)]
+        while len(out) <= DOTS and free(k + step) and free(k + 2 * step) and _DOT_WORD.fullmatch(self._word(k + step)):
+            k += 2 * step
+            more = _plain(self._word(k)).strip("()")
+            out.append((k, f"{out[-1][1]}.{more}" if step > 0 else f"{more}.{out[-1][1]}"))
+        return out
+
+    def _mails(self) -> None:
+        for m in _AT_SIGN.finditer(self.text):
+            k = bisect_right(self.starts, m.start()) - 1
+            if k in self.taken or self.words[k][1] - self.words[k][0] > 255:
+                continue
+            w = self._word(k)
+            left, sign, right = ("", "@", "") if _AT_WORD.fullmatch(w) else _plain(w).strip("()").partition("@")
+            if not sign or "@" in right:
+                continue
+            found = ((a, b, key) for a, x in reversed(self._side(k, -1, left)) for b, y in reversed(self._side(k, 1, right)) if (key := ("@", f"{x}@{y}")) in self.known)
+            if hit := next(found, None):
+                self._put(hit[0], hit[1], {hit[2]}, hit[2][1], True)
+
+    def _numbers(self) -> None:
+        """From left to right, the longest run of numbers that a key fits."""
+        n, first = len(self.words), 0
+        while first < n:
+            digits, parts, best, k = "", [], None, first
+            while k < n and k not in self.taken and len(digits) < 20 and self.words[k][1] - self.words[k][0] <= PART:
+                w = self._word(k)
+                if _NUMBER.fullmatch(w):
+                    digits += _digits(w)
+                    parts += [p.lstrip("0") or "0" for p in re.findall("[0-9]+", w)]
+                    if len(parts) == 4 and (key := ("ip", ".".join(parts))) in self.known:
+                        best = k, {key}, key[1], True
+                    elif hits := {x for x in (("n", digits), ("n", digits.lstrip("0"))) if x in self.known}:
+                        best = k, hits, w if k == first else digits, False
+                elif k == first or not _JOINER.fullmatch(w):
+                    break
+                k += 1
+            if best:
+                self._put(first, *best)
+                first = best[0]
+            elif first not in self.taken and self.words[first][1] - self.words[first][0] <= PART:
+                w = self._word(first)
+                told = _MASKED.fullmatch(w) or _FOUR.fullmatch(w) and any(self._word(x).strip(_EDGES).lower() in _ENDING for x in range(max(first - 2, 0), first))
+                if told and (key := ("four", _digits(w))) in self.known:
+                    self._put(first, first, {key}, f"xxxx-{key[1]}", True)
+            first += 1
+
+
 class Field:
-    """Nodes and edges of one document. words: (start, end); label: by the patterns; chain, skip: pairs of nodes."""
+    """Nodes and edges of one document. words: (start, end); label: by the patterns; chain, skip: pairs of nodes; respelled: nodes that write a told span in another way.
+
+    Told spans (by default all of them) are those whose other spellings are looked for.
+    """
 
-    def __init__(self, text: str, spans: list[Span]) -> None:
+    def __init__(self, text: str, spans: list[Span], told: list[Span] | None = None) -> None:
         self.words: list[tuple[int, int]] = []
         self.shapes: list[tuple[int, ...]] = []
         self.labels: list[int] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
+        self.respelled: set[int] = set()
         before, last = -2, {}
         ordered, near = sorted((a, b, k) for k, a, b in spans), 0
+        other = Respelled(text, spans if told is None else told)
         for pos, m in enumerate(_WORD.finditer(text)):
             w = m[0]
-            if not _HINT.search(w):
+            group = other.groups.get(pos)
+            if pos <= before or not (group or _HINT.search(w)):
                 continue
             k = len(self.words)
-            self.words.append(m.span())
-            self.shapes.append(_shape(w))
-            while near < len(ordered) and ordered[near][1] <= m.start():
+            start, end = m.start(), other.words[group[0]][1] if group else m.end()
+            self.words.append((start, end))
+            self.shapes.append(group[2] if group else _shape(w))
+            while near < len(ordered) and ordered[near][1] <= start:
                 near += 1
-            self.labels.append(next((1 + x[2] for x in ordered[near : near + 8] if x[0] < m.end() and x[1] > m.start()), 0))
+            self.labels.append(next((1 + x[2] for x in ordered[near : near + 8] if x[0] < end and x[1] > start), 0))
             beside = before == pos - 1
             if beside:
                 self.chain.append((k - 1, k))
-            before = pos
-            keys = _keys(w)
+            before = group[0] if group else pos
+            keys = set() if group and group[0] > pos else _keys(w)
+            if group:
+                self.respelled.add(k)
+                keys |= group[1]
+            keys |= other.anchors.get(before, set())
             self.skip += [(j, k) for j in sorted({last[x] for x in keys if x in last}) if not (beside and j == k - 1)]
             last |= dict.fromkeys(keys, k)
 
@@ -262,7 +387,7 @@ def find(text: str | None, crf: Crf | None) -> tuple[list[Span], list[Span]]:
     if not text or crf is None or not _HINT.search(text):
         return base, []
     f = Field(text, base)
-    telling = [not y and (s[0] >= 3 or s[1] > 0) for s, y in zip(f.shapes, f.labels, strict=True)]
+    telling = [not y and (s[0] >= 3 or s[1] > 0 or k in f.respelled) for k, (s, y) in enumerate(zip(f.shapes, f.labels, strict=True))]
     if not any(telling):
         return base, []  # no word that could be a span
     p = crf.marginals(f)
@@ -287,23 +412,24 @@ def find(text: str | None, crf: Crf | None) -> tuple[list[Span], list[Span]]:
 def _hidden(kind: int, span: str) -> list[str]:
     """A span as a text may repeat it without the marks that the patterns look for."""
     if kind == 0:
-        return [span.replace("@", "[at]").replace(".", "[dot]"), span.replace("@", "[at]")]
+        return [span.replace("@", "[at]").replace(".", "[dot]"), span.replace("@", "[at]"), span.replace("@", " at ").replace(".", " dot ")]
     if kind == 1:
-        return [span.replace(".", "[.]")]
+        return [span.replace(".", "[.]"), span.replace(".", "-")]
     d = _digits(span)
     if kind == 2:
-        return [".".join(d[k : k + 4] for k in range(0, len(d), 4))]
-    return [span.lstrip("+"), d, d[-7:-4] + "-" + d[-4:], d[-10:-7] + "." + d[-7:-4] + "." + d[-4:]]
+        fours = [d[k : k + 4] for k in range(0, len(d), 4)]
+        return [".".join(fours), "  ".join(fours), f"xxxx-{d[-4:]}"]
+    return [span.lstrip("+"), d, d[-7:-4] + "-" + d[-4:], d[-10:-7] + "." + d[-7:-4] + "." + d[-4:], d[-10:-7] + " " + d[-7:-4] + " " + d[-4:]]
 
 
 #: Turns a span into another of the same shape; signs that are spelled out stay.
-_DECOY = re.compile(r"\[(?:at|dot)\]|[A-Za-z0-9]+")
+_DECOY = re.compile(r"\[(?:at|dot)\]|(?<=\x20)(?:at|dot)(?=\x20)|[A-Za-z0-9]+")
 _OTHER = {ord(x[k]): x[(k + 3) % len(x)] for x in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for k in range(len(x))}
 
 
 def decoy(repeat: str, times: int = 1) -> str:
     for _ in range(times):
-        repeat = _DECOY.sub(lambda m: m[0] if m[0][0] == "[" else m[0].translate(_OTHER), repeat)
+        repeat = _DECOY.sub(lambda m: m[0] if m[0][0] == "[" or m[0] in ("at", "dot") else m[0].translate(_OTHER), repeat)
     return repeat
 
 
@@ -323,7 +449,7 @@ def lessons(text: str) -> Iterator[tuple]:
                 spans.append((kind, at + 5, at + 5 + len(each[k])))
                 parts.append(line)
                 at += len(line)
-        yield from Field("".join(parts), spans).around(len(text))
+        yield from Field("".join(parts), spans, base).around(len(text))
 
 
 def sample_counts(docs: DataFrame, most: int = SAMPLE_DOCS, text: str = "text") -> Counter:
