@@ -54,6 +54,16 @@ def query_json_scan(spark: SparkSession, sf: str) -> DataFrame:
     return readers.query_json(spark, out)
 
 
+def vector_json_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as one JSON object in one file, which is read by byte ranges; the first key has no list."""
+    out, e = shared(spark), table(spark, sf, "embeddings")
+    line = lambda text: spark.range(1).select(F.lit(text).alias("value"))
+    entries = e.select(F.concat(F.lit(',"'), "vec_id", F.lit('": '), F.to_json("embedding")).alias("value"))
+    line('{"none": null').union(entries).union(line("}")).coalesce(1).write.text(out)
+    got = readers.vector_json(spark, out).where("v IS NOT NULL")
+    return got.select(F.col("font").cast("long").alias("vec_id"), F.size("v").cast("long").alias("n"), F.round(F.get("v", F.lit(0)), 5).alias("first"), F.round(F.element_at("v", -1), 5).alias("last"))
+
+
 def vector_cache_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     out, e = shared(spark), table(spark, sf, "embeddings")
     first = readers.cached(spark, out, lambda: e)
@@ -257,7 +267,7 @@ def star_join(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tag_files_scan, category_csv_scan, family_csv_scan, query_json_scan, vector_cache_roundtrip, score_csv_sink, path_explode, store_tables, html_text, path_nodes, pair_glyphs, url_allowlist,
+        tag_files_scan, category_csv_scan, family_csv_scan, query_json_scan, vector_json_scan, vector_cache_roundtrip, score_csv_sink, path_explode, store_tables, html_text, path_nodes, pair_glyphs, url_allowlist,
         registry_add, url_parts, config_dot_path, string_ops, query_template, checked_flag, union_sources, distinct_names, stream_rate_limit, stream_latest, star_join,
         glyph_images, image_distance, article_scan, saved_twice, activation_parts, transactions, config_roundtrip,
     )
@@ -285,6 +295,7 @@ ORACLE = {
     "category_csv_scan": "SELECT p_name AS key, arg_max(p_type || ',' || p_brand, p_partkey) AS adjectives FROM part GROUP BY p_name",
     "family_csv_scan": "SELECT p_name AS family, p_type AS tag, round(arg_max(p_size / 100, p_partkey), 6) AS weight FROM part WHERE p_size <> 1 GROUP BY ALL",
     "query_json_scan": "SELECT DISTINCT p_brand AS font, p_name AS query FROM part",
+    "vector_json_scan": "SELECT vec_id, len(embedding) AS n, round(embedding[1]::DOUBLE, 5) AS first, round(embedding[-1]::DOUBLE, 5) AS last FROM embeddings",
     "vector_cache_roundtrip": "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings",
     "score_csv_sink": "SELECT o_orderpriority AS name, max(o_totalprice) FILTER (o_orderstatus = 'F') AS F, max(o_totalprice) FILTER (o_orderstatus = 'O') AS O, max(o_totalprice) FILTER (o_orderstatus = 'P' AND o_orderpriority <> '5-LOW') AS P FROM orders GROUP BY o_orderpriority",
     "path_explode": "WITH r AS (SELECT l_partkey::VARCHAR AS font, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey::VARCHAR) - 1 AS pos FROM lineitem) SELECT pos, font, count(*) AS n FROM r GROUP BY ALL",

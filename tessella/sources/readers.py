@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
@@ -33,6 +33,11 @@ def _stem(path: str = "path") -> Column:
     return F.regexp_extract(path, r"([^/\\]+)\.[^./\\]*$", 1)
 
 
+def _file_order() -> Column:
+    """Ascends with the files by path, their byte ranges, and the rows of a range."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+
+
 def glyph_files(spark: SparkSession, directory: str, source: str, suffix: str = "bmp", market: bool = False) -> DataFrame:
     """The glyph table of a folder's image files; only paths are read. Market sets have their own naming."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(directory).select("path")
@@ -147,19 +152,22 @@ def tag_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def category_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(key, adjectives) of a CSV with a header; malformed lines are left out, the last row of a key counts.
+    """(key, adjectives) of CSV files with a header; malformed lines are left out, the last row of a key counts.
 
-    The order of rows is that of the file (one file, read in order).
+    The order of rows is that of the files by path, and that within each file.
     """
     rows = spark.read.schema("base_font_name STRING, category STRING, theme STRING").option("header", True).option("mode", "DROPMALFORMED").csv(path)
-    rows = rows.withColumn("_seq", F.monotonically_increasing_id())
+    rows = rows.withColumn("_seq", _file_order())
     last = rows.groupBy("base_font_name").agg(F.max_by(F.array("category", "theme"), "_seq").alias("adjectives"))
     return last.select(F.col("base_font_name").alias("key"), "adjectives")
 
 
 def family_csv(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """(family, tag, weight, seq): tags lose their path, weights are over 100; weights that aren't numbers drop the row."""
-    rows = spark.read.schema(FAMILY_TAGS).option("header", header).csv(path).withColumn("seq", F.monotonically_increasing_id())
+    """(family, tag, weight, seq): tags lose their path, weights are over 100; weights that aren't numbers drop the row.
+
+    seq ascends with the files by path, and within each file.
+    """
+    rows = spark.read.schema(FAMILY_TAGS).option("header", header).csv(path).withColumn("seq", _file_order())
     return rows.select("family", X.last_path_part("tags").alias("tag"), (F.col("weight").try_cast("double") / 100).alias("weight"), "seq").where("weight IS NOT NULL")
 
 
@@ -175,16 +183,49 @@ def articles(spark: SparkSession, directory: str, marker: str = "METADATA.pb", f
     return last.select("folder", X.html_text("html").alias("text"))
 
 
+def json_lists(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(key, items) of JSON objects of lists of numbers or of strings, one object a file; a key without a list has null.
+
+    A file is read in byte ranges, cut behind each list: a piece holds a whole entry, unless a string holds a bracket.
+    Pieces with half a string are put together again, by the quotes before them; only files that have such pieces pay
+    for that. Entries of other types, and what isn't JSON, have no rows.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    pieces = spark.read.option("lineSep", "]").text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("at"))
+    quotes = F.length(F.regexp_replace(F.regexp_replace("value", r"(?s)\\.", ""), '[^"]', ""))
+    pieces = pieces.withColumn("odd", quotes % 2)
+    if not pieces.where("odd = 1").isEmpty():
+        pieces = _whole_entries(pieces)
+    body = F.regexp_replace("value", r"^\s*[{,]?", "")
+    closed = body.rlike(r"}\s*$")  # what follows the last list
+    entry = F.concat(F.lit("{"), body, F.when(closed, "").otherwise("]}"))
+    return pieces.select(F.explode(F.from_json(entry, f"map<string,array<{kind}>>")).alias("key", "items"))
+
+
+def _whole_entries(pieces: DataFrame) -> DataFrame:
+    """Pieces joined up to the next one behind which no string is open: quotes and ends are counted by block, and over a file's blocks."""
+    inside, before = Window.partitionBy("file", "at.block").orderBy("at"), Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lambda df, c: df.groupBy("file", F.col("at.block").alias("block")).agg(F.sum(c).alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
+
+    def counted(df: DataFrame, c: str, out: str) -> DataFrame:
+        so_far = blocks(df, c).withColumnsRenamed({"block": "_block", "file": "_file"})
+        joined = df.join(so_far, (F.col("file") == F.col("_file")) & (F.col("at.block") == F.col("_block"))).drop("_file", "_block")
+        return joined.withColumn(out, F.col("n") + F.sum(c).over(inside)).drop("n")
+
+    open_after = counted(pieces, "odd", "quotes").withColumn("ends", (F.col("quotes") % 2 == 0).cast("int"))
+    entry = counted(open_after, "ends", "ended").withColumn("entry", F.col("ended") - F.col("ends"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "]")
+    return entry.groupBy("file", "entry").agg(whole.alias("value"))
+
+
 def query_json(spark: SparkSession, path: str) -> DataFrame:
     """(font, query) of a JSON object of lists."""
-    m = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
-    return m.select(F.explode("m").alias("font", "queries")).select("font", F.explode("queries").alias("query"))
+    return json_lists(spark, path, "string").select(F.col("key").alias("font"), F.explode("items").alias("query"))
 
 
 def vector_json(spark: SparkSession, path: str) -> DataFrame:
     """(font, v) of a JSON object of number lists."""
-    m = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<double>>").alias("m"))
-    return m.select(F.explode("m").alias("font", "v"))
+    return json_lists(spark, path, "double").select(F.col("key").alias("font"), F.col("items").alias("v"))
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:

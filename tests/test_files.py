@@ -1,3 +1,4 @@
+import json
 import os
 
 import numpy as np
@@ -153,3 +154,37 @@ def test_market_files_are_converted_once(spark, tmp_path):
     assert len(got["Font_aa.png"]) == 48 * 48 and got["Font_b.png"] is None
     (tmp_path / "in" / "Font_c.png").write_bytes(b"")
     assert readers.converted(spark, str(tmp_path / "in"), str(tmp_path / "out")).count() == 2
+
+
+def test_json_lists_are_read_by_pieces(spark, tmp_path):
+    odd = {"a]b": ["x]", "]", "\\", 'c"]', "{", "}"], "b": [], "é \\": ["]]", 'plain, "quoted"'], "}": ["}"], "last": ["z"]}
+    for name, text in (("one", json.dumps(odd)), ("wide", json.dumps(odd, indent=2, ensure_ascii=False) + "\n"), ("none", "{}"), ("empty", ""), ("plain", '{"n": null, "k": ["v", "w"], "m": null}')):
+        (tmp_path / f"{name}.json").write_text(text)
+        want = sorted((k, v) for k, vs in (json.loads(text) if text else {}).items() for v in vs or [])
+        assert sorted(map(tuple, readers.query_json(spark, str(tmp_path / f"{name}.json")).collect())) == want, name
+    (tmp_path / "v.json").write_text('{"n": null, "k": [1, 2.5], "m": null}')
+    assert [tuple(r) for r in readers.vector_json(spark, str(tmp_path / "v.json")).collect()] == [("n", None), ("k", [1.0, 2.5]), ("m", None)]
+
+
+def test_one_json_file_is_read_by_several_tasks(spark, tmp_path):
+    many = {f"k{k}": [k / 8, -k, 1e-9] for k in range(20_000)}
+    odd = {f"k{k}": ["]" * (k % 3), f'"{k}]', "a" * (k % 50)] for k in range(20_000)}
+    (tmp_path / "v.json").write_text(json.dumps(many))
+    (tmp_path / "q.json").write_text(json.dumps(odd))
+    old = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 65536)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        v = readers.vector_json(spark, str(tmp_path / "v.json"))
+        assert v.rdd.getNumPartitions() > 5 and {r.font: r.v for r in v.collect()} == many
+        assert sorted(map(tuple, readers.query_json(spark, str(tmp_path / "q.json")).collect())) == sorted((k, x) for k, xs in odd.items() for x in xs)
+    finally:
+        for n, x in old.items():
+            spark.conf.set(n, x)
+
+
+def test_the_last_row_over_several_csv_files_counts(spark, tmp_path):
+    for k, name in enumerate("cab"):
+        (tmp_path / f"{name}.csv").write_text("base_font_name,category,theme\n" + f"x,{name},1\n" * (400 if name != "c" else 1) + f"x,{name},2\n{name},own,{k}\n")
+    got = {r.key: r.adjectives for r in readers.category_csv(spark, str(tmp_path)).collect()}
+    assert got == {"x": ["c", "2"], "c": ["own", "0"], "a": ["own", "1"], "b": ["own", "2"]}
