@@ -65,7 +65,7 @@ def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return t["id"].to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)[:, :] if len(t) else np.empty((0, 0))
 
 
-def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     own = cell["own"].to_numpy()
     return *matrix(cell.filter(pa.array(own))), *matrix(cell.filter(pa.array(~own)))
 
@@ -74,7 +74,7 @@ def best_rows(cells: DataFrame, k: int) -> DataFrame:
     """(src, dst, sim): of each cell (lane, block) of a grid, each left row's k right rows of highest dot product, never one of its own id."""
 
     def run(cell: pa.Table) -> pa.Table:
-        a, x, b, y = _sides(cell)
+        a, x, b, y = sides(cell)
         out: list[tuple] = []
         if len(a) and len(b):
             s = x @ y.T
@@ -104,7 +104,7 @@ def pairs_at_least(rows: DataFrame, threshold: float) -> DataFrame:
     """(i, j, sim) with i < j whose dot product is at least the threshold."""
 
     def run(cell: pa.Table) -> pa.Table:
-        a, x, b, y = _sides(cell)
+        a, x, b, y = sides(cell)
         if not (len(a) and len(b)):
             return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
         s = x @ y.T
@@ -119,7 +119,7 @@ def matches_at_least(left: DataFrame, right: DataFrame, threshold: float) -> Dat
     """(left, right, sim): rows (id, v) of both sides, ids of text, whose dot product is at least the threshold."""
 
     def run(cell: pa.Table) -> pa.Table:
-        a, x, b, y = _sides(cell)
+        a, x, b, y = sides(cell)
         s = x @ y.T if len(a) and len(b) else np.zeros((0, 0))
         p, q = np.nonzero(s >= threshold)
         return pa.table({"left": pa.array([a[k] for k in p], pa.string()), "right": pa.array([b[k] for k in q], pa.string()), "sim": pa.array(s[p, q], pa.float64())})

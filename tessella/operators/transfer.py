@@ -1,16 +1,22 @@
 """How well one representation transfers to another.
 
 All sums over rows (Gram matrices, cross products, class sums) are made by Spark; only d x d matrices reach the driver,
-whatever the number of rows.
+whatever the number of rows. Average linkage merges clusters in rounds over a table of distances.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import vector as V
+from tessella.operators.graph import components, gone, written
+from tessella.operators.similarity import grid, sides
 
 
 def _moments(z: DataFrame, group: str | None = None) -> dict:
@@ -135,22 +141,83 @@ def random_projection(z: DataFrame, components: int, seed: int = 0) -> DataFrame
     return z.withColumn("proj", F.array(*(V.dot("v", V.literal_vector(list(c))) for c in m.T)))
 
 
-def average_linkage(rows: DataFrame, clusters: int, most: int = 5000) -> DataFrame:
-    """(id, cluster) of rows (id, v) by average linkage on Euclidean distances. For tables of at most `most` rows, which is checked."""
-    got = rows.select("id", V.doubles("v").alias("v")).orderBy("id").limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError(f"more than {most} rows")
-    x = np.array([r.v for r in got])
-    d = np.stack([np.sqrt(((x - y) ** 2).sum(1)) for y in x]) if len(x) else np.empty((0, 0))
-    np.fill_diagonal(d, np.inf)
-    size, label = np.ones(len(x)), np.arange(len(x))
-    for _ in range(max(0, len(x) - clusters)):
+#: Clusters from which on the driver ends a tree of average linkage: at most LOCAL * LOCAL / 2 distances.
+LOCAL = 500
+
+
+def _distances(rows: DataFrame) -> DataFrame:
+    """(a, b, s) with a < b: Euclidean distances of rows (id, v), on the grid of blocks."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        a, x, b, y = sides(cell)
+        out = [(np.array([], np.int64), np.array([], np.int64), np.array([]))]
+        same = cell["lane"][0].as_py() == cell["block"][0].as_py()
+        for i in range(len(a)):
+            take = b > a[i] if same else np.full(len(b), True)
+            out.append((np.minimum(a[i], b[take]), np.maximum(a[i], b[take]), np.sqrt(((y[take] - x[i]) ** 2).sum(1))))
+        return pa.table(dict(zip("abs", map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return grid(rows, rows, True).groupBy("lane", "block").applyInArrow(run, "a long, b long, s double")
+
+
+def _rounds(edges: DataFrame, sizes: DataFrame, left: int, local: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Merges (a, b, height, step) by rounds until at most `local` clusters are left, and what is left of edges and sizes."""
+    merges: list[DataFrame] = []
+    while left > local:
+        n = lambda side: sizes.select(F.col("c").alias(side), F.col("n").alias(f"n{side}"))
+        means = edges.join(n("a"), "a").join(n("b"), "b").select("a", "b", F.struct((F.col("s") / F.col("na") / F.col("nb")).alias("height"), "a", "b").alias("e"))
+        near = means.select(F.explode(F.array("a", "b")).alias("c"), "e").groupBy("c").agg(F.min("e").alias("e"))
+        pairs = written(near.groupBy("e").agg(F.count("*").alias("both")).where("both = 2").select("e.a", "e.b", "e.height", F.lit(len(merges)).alias("step")))
+        into = pairs.select(F.col("b").alias("c"), F.col("a").alias("to"))
+        moved = lambda df, side: df.join(into.withColumnRenamed("c", side), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+        joined = moved(moved(edges, "a"), "b").where("a <> b")
+        new = written(joined.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")))
+        fewer = written(moved(sizes, "c").groupBy("c").agg(F.sum("n").alias("n")))
+        gone(edges), gone(sizes)
+        edges, sizes, left = new, fewer, left - pairs.count()
+        merges.append(pairs)
+    return merges, edges, sizes
+
+
+def _ended(edges: DataFrame, sizes: DataFrame, step: int) -> list[tuple[int, int, float, int]]:
+    """The merges of a bounded number of clusters, nearest first."""
+    size = dict(map(tuple, sizes.collect()))
+    ids = sorted(size)
+    at, n = {c: k for k, c in enumerate(ids)}, np.array([size[c] for c in ids], float)
+    d = np.full((len(ids), len(ids)), np.inf)
+    for a, b, s in edges.collect():
+        d[at[a], at[b]] = d[at[b], at[a]] = s / n[at[a]] / n[at[b]]
+    out = []
+    for k in range(len(ids) - 1):
         i, j = sorted(np.unravel_index(d.argmin(), d.shape))
-        row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
+        out.append((ids[i], ids[j], float(d[i, j]), step + k))
+        row = (d[i] * n[i] + d[j] * n[j]) / (n[i] + n[j])
         row[[i, j]] = np.inf
-        d[i], d[:, i] = row, row
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    order = {c: k for k, c in enumerate(dict.fromkeys(label.tolist()))}
-    return rows.sparkSession.createDataFrame([(r.id, order[c]) for r, c in zip(got, label.tolist(), strict=True)], "id long, cluster int")
+        d[i], d[:, i], d[j], d[:, j] = row, row, np.inf, np.inf
+        n[i] += n[j]
+    return out
+
+
+def average_linkage(rows: DataFrame, clusters: int, local: int = LOCAL) -> DataFrame:
+    """(id, cluster) of rows (id, v) by average linkage on Euclidean distances; clusters are numbered by their least ids.
+
+    All clusters that are each other's nearest merge in one round, which for average linkage gives the same tree as one
+    merge at a time; summed distances between clusters are a table, quadratic in the rows as the method is. When at most
+    `local` clusters are left, the driver ends the tree. The last `clusters - 1` merges are undone; components of the
+    others are the clusters. ids are distinct, of type long; those that are null are left out. Of equal distances, the
+    pair of least ids merges first.
+    """
+    if clusters < 1:
+        raise ValueError("at least one cluster")
+    spark, points = rows.sparkSession, rows.select("id", V.doubles("v").alias("v")).where("id IS NOT NULL")
+    sizes = written(points.select(F.col("id").alias("c"), F.lit(1).cast("long").alias("n")))
+    merges, edges, sizes = _rounds(written(_distances(points)), sizes, sizes.count(), max(local, 1))
+    last = spark.createDataFrame(_ended(edges, sizes, len(merges)), "a long, b long, height double, step int")
+    tree = reduce(DataFrame.union, merges, last)
+    undone = tree.orderBy(F.desc(F.round("height", 9)), F.desc("step"), F.desc("a"), F.desc("b")).limit(clusters - 1)
+    kept = tree.join(F.broadcast(undone), ["a", "b"], "left_anti").select("a", "b")  # clusters - 1 rows
+    found = components(kept, points.select("id"))
+    for table in (edges, sizes, *merges):
+        gone(table)
+    order = found.select("component").distinct().select("component", (F.row_number().over(W.orderBy("component")) - 1).alias("cluster"))  # `clusters` rows
+    return found.join(order, "component").select(F.col("node").alias("id"), "cluster")

@@ -190,6 +190,14 @@ ORACLE = {
         w AS (SELECT i, j, m[i][j] AS w FROM g, range(1, 33) a(i), range(33, 41) b(j) WHERE k = 33),
         err AS (SELECT w.j, max(own.x) - sum(w * (c.x + w)) AS e FROM w JOIN c ON c.i = w.i AND c.j = w.j JOIN c own ON own.i = w.j AND own.j = w.j GROUP BY w.j)
         SELECT round(-avg(e) / (SELECT count(*) FROM embeddings), 6) AS score FROM err""",
+    "clusters": """WITH RECURSIVE r AS (SELECT vec_id, label, d, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM (SELECT vec_id, label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings)),
+        p AS (SELECT label, d, avg(x) AS x FROM r GROUP BY label, d),
+        m AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.x - b.x) ** 2)) AS s FROM p a JOIN p b USING (d) WHERE a.label <> b.label GROUP BY a.label, b.label),
+        g AS (SELECT len(l) AS k, list_transform(l, lambda x: [x]) AS c FROM (SELECT list(DISTINCT label::BIGINT) AS l FROM p)
+              UNION ALL SELECT k - 1, list_concat(list_filter(c, lambda x: x <> e.x AND x <> e.y), [list_concat(e.x, e.y)]) FROM (
+                SELECT k, c, (SELECT min({'h': h, 'x': x, 'y': y}) FROM (SELECT x, y, (SELECT avg(s) FROM m WHERE list_contains(x, a) AND list_contains(y, b)) AS h FROM (SELECT unnest(c) AS x) u, (SELECT unnest(c) AS y) w WHERE x < y) t) AS e FROM g WHERE k > 4) n),
+        o AS (SELECT list_sort(unnest(c)) AS members FROM (SELECT c FROM g ORDER BY k LIMIT 1))
+        SELECT (row_number() OVER (ORDER BY members[1]) - 1)::INT AS cluster, members, len(members) AS n FROM o""",
     "cycle_score": f"WITH {_C} SELECT path_id, round(far, 6) AS far, round(edge, 6) AS edge, round(std, 6) AS std, round(out, 6) AS out, round(score, 6) AS score FROM s",
     "top_paths": f"WITH {_C} SELECT path_id, round(score, 6) AS score FROM s ORDER BY round(s.score, 6) DESC, path_id LIMIT 5",
     "path_overlap": f"WITH {_AB} SELECT o_orderkey, round(len(list_intersect(a, b)) / 10, 6) AS share, len(list_intersect(a, b)) / 10 <= 0.4 AS may FROM ab",
