@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,16 +86,26 @@ _MARKUP = re.compile(
 )
 
 
-def page_text(page: str | None) -> str | None:
-    """The text of one page: markup becomes a space, character references their characters, white space is folded."""
+#: A character reference with its semicolon.
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+
+
+def page_text(page: str | None, whole: bool = False) -> str | None:
+    """The text of one page: markup becomes a space, character references their characters, white space is folded.
+
+    HTML knows some names without their semicolon too; with `whole`, what lacks it stays as it stands.
+    """
     if page is None:
         return None
-    return re.sub("[ \t\n\r\f\v]+", " ", html.unescape(_MARKUP.sub(" ", page)).replace("\xa0", " ")).strip(" ")
+    text = _MARKUP.sub(" ", page)
+    named = lambda m: html.unescape(m[0]) if m[1] is None or f"{m[1]};" in html5 else m[0]
+    text = _REFERENCE.sub(named, text) if whole else html.unescape(text)
+    return re.sub("[ \t\n\r\f\v]+", " ", text.replace("\xa0", " ")).strip(" ")
 
 
-def html_text(page: Column | str) -> Column:
+def html_text(page: Column | str, whole: bool = False) -> Column:
     """Text of a page, in Arrow batches; see page_text. All named and numeric references of HTML 5 are known."""
-    return F.pandas_udf(lambda pages: pages.map(page_text), T.StringType())(as_col(page))
+    return F.pandas_udf(lambda pages: pages.map(lambda p: page_text(p, whole)), T.StringType())(as_col(page))
 
 
 def prompt(adjectives: Column, tags: Column, plain: Column) -> Column:
