@@ -171,8 +171,8 @@ def family_csv(spark: SparkSession, path: str, header: bool = False) -> DataFram
     return rows.select("family", X.last_path_part("tags").alias("tag"), (F.col("weight").try_cast("double") / 100).alias("weight"), "seq").where("weight IS NOT NULL")
 
 
-def articles(spark: SparkSession, directory: str, marker: str = "METADATA.pb", files: str = "*.html") -> DataFrame:
-    """(folder, text): the last HTML file of each folder that holds a marker file (not an empty one, which scans skip)."""
+def articles(spark: SparkSession, directory: str, marker: str = "METADATA.pb", files: str = "*.html", whole: bool = False) -> DataFrame:
+    """(folder, text): the last HTML file of each folder that holds a marker file (not an empty one, which scans skip). For whole see page_text."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path")
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
     marked = names.where(F.col("path").endswith(marker)).select(folder("path").alias("folder")).distinct()
@@ -180,7 +180,7 @@ def articles(spark: SparkSession, directory: str, marker: str = "METADATA.pb", f
     pages = html.withColumn("folder", F.regexp_extract(F.url_decode("file"), r"^[a-z0-9]*:?/*(.*)/[^/]*$", 1))
     marked = marked.select(F.regexp_replace("folder", "^[a-z0-9]*:?/*", "").alias("folder"))
     last = pages.join(marked, "folder", "left_semi").groupBy("folder").agg(F.max_by("value", "file").alias("html"))
-    return last.select("folder", X.html_text("html").alias("text"))
+    return last.select("folder", X.html_text("html", whole).alias("text"))
 
 
 def json_lists(spark: SparkSession, path: str, kind: str) -> DataFrame:
