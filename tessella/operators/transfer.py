@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import vector as V
 from tessella.operators.graph import components, gone, written
-from tessella.operators.similarity import grid, sides
+from tessella.operators.similarity import BLOCK, grid, sides
 
 
 def _moments(z: DataFrame, group: str | None = None) -> dict:
@@ -157,7 +157,7 @@ def _distances(rows: DataFrame) -> DataFrame:
             out.append((np.minimum(a[i], b[take]), np.maximum(a[i], b[take]), np.sqrt(((y[take] - x[i]) ** 2).sum(1))))
         return pa.table(dict(zip("abs", map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    return grid(rows, rows, True).groupBy("lane", "block").applyInArrow(run, "a long, b long, s double")
+    return grid(rows, rows, True, block=BLOCK).groupBy("lane", "block").applyInArrow(run, "a long, b long, s double")
 
 
 def _rounds(edges: DataFrame, sizes: DataFrame, left: int, local: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:

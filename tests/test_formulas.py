@@ -325,3 +325,42 @@ def test_running_sums_over_ranges(spark):
     rows = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("x")).repartition(8)
     got = [r.t for r in graph.running(rows, "x", "t", "k").orderBy("k").collect()]
     assert got == list(np.cumsum(np.arange(4000) % 7)) and graph.running(rows.limit(0), "x", "t", "k").count() == 0
+
+
+def test_copies_of_a_row_do_not_grow_with_the_rows(spark, monkeypatch):
+    """However many blocks of the least size there were, a row lies in LANES cells of each side at most."""
+    monkeypatch.setattr(similarity, "BLOCK", 5)
+    v = spark.range(600).select("id", F.array(F.cos("id"), F.sin("id")).alias("v"))
+    for n in (150, 600):
+        rows = v.where(f"id < {n}")
+        assert similarity.grid(rows, rows, False).count() == 2 * n * similarity.LANES
+        assert similarity.grid(rows, rows, True).count() == n * (similarity.LANES + 1)
+    assert similarity.blocks(6 * similarity.MOST * similarity.LANES) == 6 * similarity.LANES
+
+
+def test_links_join_as_all_pairs_do(spark, monkeypatch):
+    """Few rows leave a cell, whatever the pairs; the components are those of all pairs."""
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    monkeypatch.setattr(similarity, "PRODUCTS", 100)
+    x = np.random.default_rng(8).normal(size=(130, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[100:] = x[7]  # copies
+    v = spark.createDataFrame([(k * 3, r) for k, r in enumerate(x.tolist())], "id long, v array<double>")
+    for bound in (0.5, 0.97):
+        links, pairs = similarity.links_at_least(v, bound), similarity.pairs_at_least(v, bound)
+        both = [{(r.node, r.component) for r in graph.components(e.select("i", "j"), v.select("id")).collect()} for e in (links, pairs)]
+        assert both[0] == both[1] and all(r.i < r.j for r in links.collect())
+        assert links.count() <= 130 * 8 < pairs.count() or bound > 0.9
+    got = {(r.i, r.j) for r in similarity.pairs_at_least(v, 0.5).collect()}
+    assert got == {(3 * i, 3 * j) for i in range(130) for j in range(i + 1, 130) if x[i] @ x[j] >= 0.5}
+
+
+def test_nearest_rows_among_copies(spark, monkeypatch):
+    """Copies tie, so the least ids come first, whatever the tile they are multiplied in."""
+    monkeypatch.setattr(similarity, "BLOCK", 30)
+    monkeypatch.setattr(similarity, "PRODUCTS", 64)
+    x = np.repeat(np.random.default_rng(9).normal(size=(9, 5)), 12, 0)
+    v = spark.createDataFrame(list(enumerate(x.tolist())), "id long, v array<double>")
+    s = np.round(x @ x.T, 9)
+    want = {(i, j) for i in range(len(x)) for j in sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[i, j], j))[:15]}
+    assert {(r.src, r.dst) for r in similarity.nearest(v, v, 15).collect()} == want
