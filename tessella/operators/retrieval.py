@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,22 +15,28 @@ from pyspark.sql import types as T
 
 from tessella.operators.graph import cut, running
 from tessella.operators.order import lower_median
-from tessella.operators.similarity import grid, matrix
+from tessella.operators.similarity import equal_ids, grid, joined, matrix, tiles
 
 MASKED = -1e4
 
 
-def _sides(cell: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]:
-    """Queries and keys of a cell by id, their scores, and which pairs are positive; the diagonal is always."""
+def _sides(cell: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Queries of a cell by id; ids, vectors and families of queries and of keys, families as numbers, -1 and -2 for none."""
     own = cell["own"].to_numpy()
     q, k = cell.filter(pa.array(own)).sort_by("id"), cell.filter(pa.array(~own)).sort_by("id")
+    fam = pa.concat_arrays([*q["fam"].chunks, *k["fam"].chunks]).dictionary_encode().indices
+    fam = fam.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+    f, g = fam[: len(q)], fam[len(q) :]
+    g[g < 0] = -2
     (a, x), (b, y) = matrix(q), matrix(k)
-    if not (len(a) and len(b)):
-        return q, k, np.empty((len(a), len(b))), np.empty((len(a), len(b)), bool)
-    known = np.flatnonzero(k["fam"].is_valid().to_numpy())
-    same = np.zeros((len(a), len(b)), bool)
-    same[:, known] = np.array(q["fam"].to_pylist(), object)[:, None] == np.array(k["fam"].to_pylist(), object)[None, known]
-    return q, k, x @ y.T, same | (a[:, None] == b[None, :])
+    return q, a, x, f, b, y, g
+
+
+def _families(f: np.ndarray, g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By family that queries and keys have: the places of both, in order."""
+    by, at = np.argsort(f, kind="stable"), np.argsort(g, kind="stable")
+    for n in np.intersect1d(f, g):
+        yield by[slice(*np.searchsorted(f[by], (n, n + 1)))], at[slice(*np.searchsorted(g[at], (n, n + 1)))]
 
 
 def _placed(cells: DataFrame, run, schema: str) -> DataFrame:
@@ -45,21 +52,33 @@ def first_positive(queries: DataFrame, keys: DataFrame) -> DataFrame:
     """
 
     def best(cell: pa.Table) -> pa.Table:
-        q, k, s, pos = _sides(cell)
-        a, b = q["id"].to_numpy(), k["id"].to_numpy()
+        _, a, x, f, b, y, g = _sides(cell)
         out = []
-        if s.size:
-            s = np.where(pos & (a[:, None] != b[None, :]), np.round(s, 9), -np.inf)
-            at = s.argmax(1)  # keys are in order, so the first of equal ones
-            out = [(a[r], s[r, c], b[c]) for r, c in enumerate(at) if s[r, c] > -np.inf]
-        return pa.table({"i": pa.array([o[0] for o in out], pa.int64()), "top": pa.array([o[1] for o in out], pa.float64()), "key": pa.array([o[2] for o in out], pa.int64())})
+        for rows, cols in _families(f, g):
+            z, own = y[cols].T, b[cols]
+            for t in tiles(len(rows), len(cols)):
+                s = np.round(x[rows[t]] @ z, 9)
+                s[equal_ids(a[rows[t]], own)] = -np.inf
+                at = s.argmax(1)  # keys are in order, so the first of equal ones
+                top = s[np.arange(len(s)), at]
+                on = top > -np.inf
+                out.append((a[rows[t]][on], top[on], own[at[on]]))
+        return joined(out, ("i", "top", "key"), (pa.int64(), pa.float64(), pa.int64()))
 
     def ahead(cell: pa.Table) -> pa.Table:
-        q, k, s, pos = _sides(cell)
+        q, a, x, f, b, y, g = _sides(cell)
         n = np.zeros(len(q), np.int64)
-        if s.size:
-            s, top, key = np.round(s, 9), q["top"].to_numpy()[:, None], q["key"].to_numpy()[:, None]
-            n = (~pos & ((s > top) | ((s == top) & (k["id"].to_numpy()[None, :] < key)))).sum(1)
+        top, key = q["top"].to_numpy(), q["key"].to_numpy()
+        for t in tiles(len(a), len(b)):
+            s = x[t] @ y.T
+            own = equal_ids(a[t], b)
+            s[own] = -np.inf
+            s -= top[t][:, None]
+            n[t] = np.count_nonzero(s > 1e-9, axis=1)  # positives aren't over the best of them
+            row, at = np.nonzero(np.abs(s, out=s) <= 1e-9)  # what nine places may make equal
+            sim = np.round((x[t][row] * y[at]).sum(1), 9)
+            on = (f[t][row] != g[at]) & ((sim > top[t][row]) | ((sim == top[t][row]) & (b[at] < key[t][row])))
+            n[t] += np.bincount(row[on], minlength=len(s))
         return pa.table({"i": q["id"].combine_chunks().cast(pa.int64()), "n": pa.array(n, pa.int64())})
 
     found = _placed(grid(queries, keys, False, ("fam",), ("fam",)), best, "i long, top double, key long")
@@ -97,15 +116,27 @@ def info_nce(queries: DataFrame, keys: DataFrame, temperature: float = 1.0, mask
     """
 
     def part(cell: pa.Table) -> pa.Table:
-        q, _, s, pos = _sides(cell)
-        if not s.size:
-            q, s, pos = q.slice(0, 0), np.zeros((0, 1)), np.zeros((0, 1), bool)
-        logit = s / temperature
-        if mask_from is not None:
-            logit[(s >= mask_from) & ~pos] = MASKED
-        top = logit.max(1)
-        sums = {"top": top, "rest": np.exp(logit - top[:, None]).sum(1), "good": np.where(pos, logit, 0).sum(1)}
-        return pa.table({"i": q["id"].combine_chunks().cast(pa.int64()), **{n: pa.array(c, pa.float64()) for n, c in sums.items()}, "n": pa.array(pos.sum(1), pa.int64())})
+        q, a, x, f, b, y, g = _sides(cell)
+        if not len(b):
+            q = q.slice(0, 0)
+        sums = {c: np.zeros(len(q)) for c in ("top", "rest", "good")}
+        n = np.zeros(len(q), np.int64)
+        for t in tiles(len(q), len(b)):
+            s = x[t] @ y.T
+            own = equal_ids(a[t], b)
+            lone = f[t][own[0]] != g[own[1]]  # of no family, or of another as a key
+            sums["good"][t] += np.bincount(own[0][lone], s[own][lone] / temperature, len(s))
+            n[t] += np.bincount(own[0][lone], minlength=len(s))
+            row, at = np.nonzero(s >= mask_from) if mask_from is not None else (np.empty(0, int),) * 2
+            off = (f[t][row] != g[at]) & (a[t][row] != b[at])
+            s /= temperature
+            s[row[off], at[off]] = MASKED
+            sums["top"][t] = s.max(1)
+            sums["rest"][t] = np.exp(np.subtract(s, sums["top"][t][:, None], out=s), out=s).sum(1)
+        for rows, cols in _families(f[: len(q)], g):
+            sums["good"][rows] += x[rows] @ y[cols].sum(0) / temperature
+            n[rows] += len(cols)
+        return pa.table({"i": q["id"].combine_chunks().cast(pa.int64()), **{c: pa.array(v, pa.float64()) for c, v in sums.items()}, "n": pa.array(n, pa.int64())})
 
     parts = cut(_placed(grid(queries, keys, False, ("fam",), ("fam",)), part, "i long, top double, rest double, good double, n long"))
     most = parts.groupBy("i").agg(F.max("top").alias("most"))
