@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import vector as V
+from tessella.operators import similarity
 from tessella.operators.graph import shared_root
-from tessella.operators.similarity import BLOCK, best_rows, ranked
+from tessella.operators.similarity import BLOCK, LANES, best_rows, ranked
 
 #: Cells at most, and sampled rows for each centre at most: what the driver holds.
 CELLS, PER_CELL = 1024, 16
@@ -104,26 +105,36 @@ def _pairs(index: Index, bound: np.ndarray) -> np.ndarray:
     return (best + SLACK >= bound[:, None]) & (index.sizes[:, None] > 0) & (index.sizes[None, :] > 0)
 
 
-def _packed(index: Index) -> np.ndarray:
-    """By cell the group that it is compared in: small cells beside each other go together, up to BLOCK rows."""
+def _packed(index: Index, block: int) -> np.ndarray:
+    """By cell the group that it is compared in: small cells beside each other go together, up to `block` rows."""
     spread = index.centres - index.centres.mean(0)
     axis = np.linalg.svd(spread, full_matrices=False)[2][0] if spread.size else np.zeros(spread.shape[1])
     groups, now, held = np.zeros(len(index.sizes), int), 0, 0
     for c in np.argsort(spread @ axis, kind="stable"):
-        if held and held + index.sizes[c] > BLOCK:
+        if held and held + index.sizes[c] > block:
             now, held = now + 1, 0
         groups[c], held = now, held + index.sizes[c]
     return groups
 
 
 def _cells(index: Index, pairs: np.ndarray) -> tuple[DataFrame, float]:
-    """Rows of both sides beside the pair of groups that they are wanted for, and the share of pairs of rows that meet; groups of many rows go in blocks."""
+    """Rows of both sides beside the pair of groups that they are wanted for, and the share of pairs of rows that meet; groups of many rows go in blocks.
+
+    Groups and blocks have BLOCK rows. Where little can be left out, so that a row would be copied more than 4 * LANES
+    times, they have twice as many, and so on; a grid of all rows copies each 2 * LANES times.
+    """
     spark = index.rows.sparkSession
-    groups = _packed(index)
-    sizes = np.bincount(groups, index.sizes).astype(np.int64)
-    met = np.zeros((len(sizes),) * 2, bool)
-    met[groups[np.nonzero(pairs)[0]], groups[np.nonzero(pairs)[1]]] = True
-    blocks = np.maximum(1, -(-sizes // BLOCK))
+    block, most = BLOCK, min(similarity.MOST, -(-int(index.sizes.sum()) // LANES))
+    while True:
+        groups = _packed(index, block)
+        sizes = np.bincount(groups, index.sizes).astype(np.int64)
+        met = np.zeros((len(sizes),) * 2, bool)
+        met[groups[np.nonzero(pairs)[0]], groups[np.nonzero(pairs)[1]]] = True
+        blocks = np.maximum(1, -(-sizes // block))
+        copies = (met * (np.outer(sizes, blocks) + np.outer(blocks, sizes))).sum()
+        if block >= most or copies <= 4 * LANES * index.sizes.sum():
+            break
+        block = min(2 * block, most)
     a, b = np.nonzero(met)
     wide = spark.createDataFrame(pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "m": pa.array(blocks[a]), "n": pa.array(blocks[b])}))  # CELLS squared at most
     deal = spark.createDataFrame(pa.table({"cell": pa.array(range(len(groups)), pa.int32()), "grp": pa.array(groups, pa.int64()), "blocks": pa.array(blocks[groups])}))
