@@ -166,13 +166,19 @@ def minmax_rgb(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.scaled_rgb(v.select("font", *(F.get("v", F.lit(k)).alias(n) for k, n in enumerate("rgb"))))
 
 
+def _components(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows joined by pairs over the threshold; the pairs themselves are found, and aren't handed on."""
+    v = vectors(spark, sf)
+    return graph.components(similarity.links_at_least(v, THRESHOLD), v.select("id"))
+
+
 def component_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    found = graph.components(allpairs_ge_threshold(spark, sf).select("i", "j"), vectors(spark, sf).select("id"))
+    found = _components(spark, sf)
     return found.groupBy("component").agg(F.count("*").alias("n"))
 
 
 def large_components(spark: SparkSession, sf: str) -> DataFrame:
-    found = graph.components(allpairs_ge_threshold(spark, sf).select("i", "j"), vectors(spark, sf).select("id"))
+    found = _components(spark, sf)
     return graph.large(found, 1).select("node", "component")
 
 
