@@ -15,6 +15,8 @@ from tessella.functions import vector as V
 MORE, STEPS = 8, 4
 #: Columns of the sketch that are drawn at once in a task.
 DRAWN = 256
+#: Width up to which the Gram matrix is made, in one pass over the rows.
+GRAM = 1024
 
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
@@ -43,8 +45,9 @@ def truncated_svd(z: DataFrame, k: int, tolerance: float = 1e-10, seed: int = 0,
     """z (v, ...) with u, the k singular values from the largest down, and the right vectors (k x d); values of no size are left out.
 
     Block power iteration from a seeded Gaussian sketch: each step multiplies the basis (d x (k + MORE)) by the rows' Gram
-    matrix, which is never made; partial products are summed by Spark. The small matrix in the basis gives values and
-    turns; it stops when the values move by less than the tolerance. The d x d matrix is nowhere, rows stay distributed.
+    matrix. Up to a width of GRAM that is summed by Spark in one pass over the rows; beyond, it is never made, and each step
+    is a pass that sums partial products, as the last steps are. The small matrix in the basis gives values and turns; it stops when the values
+    move by less than the tolerance. Rows stay distributed.
     """
     rows = z.where("v IS NOT NULL").select(V.doubles("v").alias("v"))
     first = rows.first()
@@ -52,15 +55,19 @@ def truncated_svd(z: DataFrame, k: int, tolerance: float = 1e-10, seed: int = 0,
         return z.withColumn("u", F.array().cast("array<double>")), np.empty(0), np.empty((0, 0))
     d = len(first.v)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, min(d, k + MORE))))[0]
+    gram = _added(rows, lambda x: x.T @ x) if d <= GRAM else None
     before, values = None, None
     for step in range(most):
-        moved = _added(rows, lambda x, basis=basis: x.T @ (x @ basis))
+        moved = _added(rows, lambda x, basis=basis: x.T @ (x @ basis)) if gram is None else gram @ basis
         # In the basis the Gram matrix is small; its turn gives the values that the basis holds.
         square, turn = np.linalg.eigh((basis.T @ moved + moved.T @ basis) / 2)
         order = np.argsort(-square)
         values, best = np.sqrt(np.maximum(square[order], 0))[:k], (basis @ turn[:, order])[:, :k]
-        if len(basis.T) == d or before is not None and np.all(np.abs(values - before) <= tolerance * max(values[0], 1e-300)):
-            break
+        power = 1 if gram is None else 2  # sums of squares can't tell small values
+        if len(basis.T) == d or before is not None and np.all(np.abs(values**power - before**power) <= tolerance * max(values[0] ** power, 1e-300)):
+            if gram is None:
+                break
+            gram = None  # its rounding hides values of no size, so the last looks are at the rows
         before, basis = values, np.linalg.qr(moved)[0]
     keep = values > 1e-10 * max(values[0], 1e-300)
     values, best = values[keep], best[:, keep]

@@ -36,3 +36,14 @@ def test_penalty_of_narrow_and_wide_rows(spark):
     wide = np.random.default_rng(4).standard_normal((60, 4096))
     draw = np.vstack([np.random.default_rng([0, at]).standard_normal((256, 32)) for at in range(0, 4096, 256)]) / 64
     assert spectral.covariance_penalty(frame(spark, wide), 32) == pytest.approx(direct(wide @ draw))
+
+
+def test_few_passes_over_narrow_rows(spark, monkeypatch):
+    """Even values take many steps, but only the Gram matrix and the last looks read the rows."""
+    x = np.random.default_rng(6).standard_normal((400, 40))
+    passes, added = [], spectral._added
+    monkeypatch.setattr(spectral, "_added", lambda *a: passes.append(1) or added(*a))
+    _, values, _ = spectral.truncated_svd(frame(spark, x), 3)
+    assert values == pytest.approx(np.linalg.svd(x, compute_uv=False)[:3], rel=1e-6) and len(passes) <= 4
+    monkeypatch.setattr(spectral, "GRAM", 1)
+    assert spectral.truncated_svd(frame(spark, x[:, :12]), 3)[1] == pytest.approx(np.linalg.svd(x[:, :12], compute_uv=False)[:3], rel=1e-6)
