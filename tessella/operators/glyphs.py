@@ -48,6 +48,20 @@ def glyph_pairs(glyphs: DataFrame) -> DataFrame:
     return glyphs.select("font", F.col("glyph").alias("left")).join(glyphs.select("font", F.col("glyph").alias("right")), "font")
 
 
+def pair_sums(glyphs: DataFrame, modulus: int = 97) -> DataFrame:
+    """(font, pairs, own, mark) over glyph_pairs: how many there are, of a glyph with itself, and the sum of left * right % modulus.
+
+    A product's remainder follows from its factors' remainders, so glyphs are counted by remainder, and only remainders,
+    fewer than twice the modulus, meet within a font: the work grows with the glyphs, not with the pairs.
+    """
+    each = glyphs.where("font IS NOT NULL").groupBy("font", "glyph").agg(F.count("*").alias("n"))
+    fonts = each.groupBy("font").agg((F.sum("n") * F.sum("n")).alias("pairs"), F.sum(F.when(F.col("glyph").isNotNull(), F.col("n") * F.col("n"))).alias("own"))
+    rests = each.where("glyph IS NOT NULL").groupBy("font", (F.col("glyph") % modulus).alias("rest")).agg(F.sum("n").alias("n"))
+    both = rests.join(rests.select("font", F.col("rest").alias("other"), F.col("n").alias("m")), "font")
+    marks = both.groupBy("font").agg(F.sum(F.col("rest") * F.col("other") % modulus * F.col("n") * F.col("m")).alias("mark"))
+    return fonts.join(marks, "font", "left")
+
+
 def complete(glyphs: DataFrame, slots: int = 26) -> DataFrame:
     """(font): fonts that have every slot."""
     return glyphs.groupBy("font").agg(F.count_distinct("slot").alias("n")).where(F.col("n") == slots).select("font")

@@ -364,3 +364,18 @@ def test_nearest_rows_among_copies(spark, monkeypatch):
     s = np.round(x @ x.T, 9)
     want = {(i, j) for i in range(len(x)) for j in sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[i, j], j))[:15]}
     assert {(r.src, r.dst) for r in similarity.nearest(v, v, 15).collect()} == want
+
+
+def test_sums_over_pairs_of_glyphs_make_no_pair(spark):
+    """A font of many glyphs, repeated, negative and missing ones: as the pair table adds up, without a row for each pair."""
+    from tessella.operators import glyphs as G
+
+    rows = [("a", k * 37 - 900) for k in range(60)] + [("a", 5), ("a", 5), ("a", None), ("b", 7), ("c", None), (None, 3)]
+    df = spark.createDataFrame(rows, "font string, glyph long")
+    mod = F.col("left") * F.col("right") % 97
+    want = G.glyph_pairs(df).groupBy("font").agg(F.count("*").alias("pairs"), F.sum((F.col("left") == F.col("right")).cast("long")).alias("own"), F.sum(mod).alias("mark"))
+    assert {tuple(r) for r in G.pair_sums(df).collect()} == {tuple(r) for r in want.collect()}
+    many = spark.range(300_000).select(F.lit("f").alias("font"), F.col("id").alias("glyph"))
+    r = G.pair_sums(many).first()
+    n = [300_000 // 97 + (k < 300_000 % 97) for k in range(97)]
+    assert (r.pairs, r.own, r.mark) == (300_000**2, 300_000, sum(n[i] * n[j] * (i * j % 97) for i in range(97) for j in range(97)))
