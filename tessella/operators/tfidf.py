@@ -11,8 +11,20 @@ from pyspark.sql import functions as F
 from tessella.operators.descriptions import STOP_WORDS
 from tessella.operators.graph import written
 
-#: Rows of either side of a cell, about.
-BLOCK = 1024
+#: Rows of a block at least, and blocks of a side as long as these hold at most MOST rows.
+BLOCK, LANES, MOST = 1024, 8, 1 << 15
+
+
+def _counted(docs: DataFrame, max_features: int, stop_words: tuple[str, ...], copies: str | None) -> tuple[DataFrame, DataFrame]:
+    """(id, term, tf) of docs, and (term, df, idf) of the terms that stay; see features."""
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop_words))
+    dealt = docs.select("id", "text", (F.lit(1) if copies is None else F.col(copies)).cast("long").alias("copies")).repartition("id")
+    listed = dealt.select("id", "copies", words.alias("ws"))
+    pairs = F.when(F.size("ws") > 1, F.zip_with(F.slice("ws", F.lit(1), F.size("ws") - 1), F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    tf = listed.select("id", "copies", F.explode(F.concat("ws", pairs)).alias("term")).groupBy("id", "copies", "term").agg(F.count("*").alias("tf"))
+    stats = tf.groupBy("term").agg(F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("cf")).orderBy(F.desc("cf"), "term").limit(max_features).drop("cf")
+    n = docs.agg((F.count("*") if copies is None else F.coalesce(F.sum(copies), F.lit(0))).alias("n"))
+    return tf, stats.crossJoin(F.broadcast(n)).select("term", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
 
 
 def features(docs: DataFrame, max_features: int = 50_000, stop_words: tuple[str, ...] = STOP_WORDS, copies: str | None = None) -> DataFrame:
@@ -23,39 +35,40 @@ def features(docs: DataFrame, max_features: int = 50_000, stop_words: tuple[str,
     Texts are dealt out by id once; counts, weights and norms of a document stay where it lies. The terms that stay are
     max_features at most, so they go to every task.
     """
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop_words))
-    dealt = docs.select("id", "text", (F.lit(1) if copies is None else F.col(copies)).cast("long").alias("copies")).repartition("id")
-    listed = dealt.select("id", "copies", words.alias("ws"))
-    pairs = F.when(F.size("ws") > 1, F.zip_with(F.slice("ws", F.lit(1), F.size("ws") - 1), F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    tf = listed.select("id", "copies", F.explode(F.concat("ws", pairs)).alias("term")).groupBy("id", "copies", "term").agg(F.count("*").alias("tf"))
-    stats = tf.groupBy("term").agg(F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("cf")).orderBy(F.desc("cf"), "term").limit(max_features).drop("cf")
-    n = docs.agg((F.count("*") if copies is None else F.coalesce(F.sum(copies), F.lit(0))).alias("n"))
-    known = stats.crossJoin(F.broadcast(n)).select("term", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    tf, known = _counted(docs, max_features, stop_words, copies)
     raw = tf.join(F.broadcast(known), "term").select("id", "term", "df", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))  # max_features rows
     return raw.select("id", "term", "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))).alias("w"))
 
 
-def _cell(cell: pa.Table, threshold: float, selves: bool) -> pa.Table:
+def _postings(rows: pa.Table, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, and by document its first place, terms and weights of unit rows (id, t, n), n being how often a term occurs."""
+    lists = rows["t"].combine_chunks()
+    terms, n = lists.flatten().to_numpy(), rows["n"].combine_chunks().flatten().to_numpy()
+    size = np.diff(lists.offsets.to_numpy())
+    w = (1 + np.log(n)) * idf[terms]
+    length = np.sqrt(np.bincount(np.repeat(np.arange(len(size)), size), w * w, len(size)))
+    return rows["id"].to_numpy(), np.concatenate([[0], np.cumsum(size)]), terms, w / np.repeat(length, size)
+
+
+def _cell(cell: pa.Table, threshold: float, selves: bool, idf: np.ndarray) -> pa.Table:
     """Pairs of a cell's own rows with its other rows, by scattering the postings of each own row's terms."""
     own = cell["own"].to_numpy()
     left, right = cell.filter(pa.array(own)), cell.filter(pa.array(~own))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(left) and len(right):
-        ids = right["id"].to_numpy()
-        lists = right["t"].combine_chunks()
-        row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-        terms, weights = lists.flatten().to_numpy(), right["w"].combine_chunks().flatten().to_numpy()
-        order = np.argsort(terms, kind="stable")
-        terms, weights, row = terms[order], weights[order], row[order]
+        ids, at, terms, weights = _postings(right, idf)
+        row, order = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(at)), np.argsort(terms, kind="stable")
+        weights, row = weights[order], row[order]
+        first = np.searchsorted(terms[order], np.arange(len(idf) + 1))
         same = cell["lane"][0].as_py() == cell["block"][0].as_py()
-        for i, t, w in zip(left["id"].to_pylist(), left["t"], left["w"], strict=True):
-            mine, by = t.values.to_numpy(), w.values.to_numpy()
-            start = np.searchsorted(terms, mine, "left")
-            n = np.searchsorted(terms, mine, "right") - start
-            ends = np.cumsum(n)
-            at = np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-            sim = np.bincount(row[at], weights[at] * np.repeat(by, n), len(ids))
-            hit = np.flatnonzero((sim >= threshold) & ((ids >= i if selves else ids > i) if same else (ids != i)))
+        mine, at, terms, by = _postings(left, idf)
+        for i, a, z in zip(mine.tolist(), at[:-1], at[1:], strict=True):
+            sim = np.zeros(len(ids))
+            for t, w in zip(terms[a:z].tolist(), by[a:z].tolist(), strict=True):
+                part = slice(first[t], first[t + 1])
+                sim[row[part]] += weights[part] * w  # a document has a term once
+            hit = np.flatnonzero(sim >= threshold)
+            hit = hit[(ids[hit] >= i if selves else ids[hit] > i) if same else (ids[hit] != i)]
             out.append((np.full(len(hit), i), ids[hit], sim[hit]))
     a, b, sim = (np.concatenate([x[k] for x in out]) if out else np.empty(0) for k in range(3))
     return pa.table({"i": pa.array(np.minimum(a, b).astype(np.int64)), "j": pa.array(np.maximum(a, b).astype(np.int64)), "sim": pa.array(sim.astype(float))})
@@ -64,17 +77,23 @@ def _cell(cell: pa.Table, threshold: float, selves: bool) -> pa.Table:
 def similar_pairs(docs: DataFrame, threshold: float = 0.35, max_features: int = 50_000, copies: str | None = None, selves: bool = False) -> DataFrame:
     """(i, j, sim), i < j (with selves i <= j), cosine at least the threshold; ids are whole numbers. For copies see features.
 
-    Rows are dealt into blocks of BLOCK; each cell of the grid holds two of them and hands out only pairs over the
-    threshold. So a term that all texts share costs additions, not joined rows, and no pair of rows is shuffled.
+    Rows are dealt into blocks, of BLOCK rows or of more if they were over LANES; each cell of the grid holds two of them
+    and hands out only pairs over the threshold. So a term that all texts share costs additions, not joined rows, and no
+    pair of rows is shuffled. Rows hold numbers of terms and how often these occur; the terms' weights, max_features at
+    most, go to every task.
     """
-    rows = features(docs, max_features, copies=copies).groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("f"))
-    rows = written(rows.select(F.col("id").cast("long").alias("id"), F.col("f.t").alias("t"), F.col("f.w").alias("w")))
-    n = max(1, -(-rows.count() // BLOCK))
+    tf, known = _counted(docs, max_features, STOP_WORDS, copies)
+    known = written(known.withColumn("t", F.row_number().over(W.orderBy("term")) - 1))  # max_features rows
+    idf = known.orderBy("t").select("idf").toArrow()["idf"].to_numpy()
+    rows = tf.join(F.broadcast(known), "term").groupBy("id").agg(F.collect_list(F.struct("t", F.col("tf").cast("int").alias("n"))).alias("f"))
+    rows = written(rows.select(F.col("id").cast("long").alias("id"), F.col("f.t").alias("t"), F.col("f.n").alias("n")))
+    total = rows.count()
+    n = max(1, min(-(-total // BLOCK), max(LANES, -(-total // MOST))))
     own = rows.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(n)))
     every = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    left = own.select(F.lit(True).alias("own"), "id", "t", "w", F.col("deal").alias("lane"), F.explode(F.filter(every, lambda b: b >= F.col("deal"))).alias("block"))
-    right = own.select(F.lit(False).alias("own"), "id", "t", "w", F.explode(F.filter(every, lambda b: b <= F.col("deal"))).alias("lane"), F.col("deal").alias("block"))
-    return left.union(right).groupBy("lane", "block").applyInArrow(lambda cell: _cell(cell, threshold, selves), "i long, j long, sim double")
+    left = own.select(F.lit(True).alias("own"), "id", "t", "n", F.col("deal").alias("lane"), F.explode(F.filter(every, lambda b: b >= F.col("deal"))).alias("block"))
+    right = own.select(F.lit(False).alias("own"), "id", "t", "n", F.explode(F.filter(every, lambda b: b <= F.col("deal"))).alias("lane"), F.col("deal").alias("block"))
+    return left.union(right).groupBy("lane", "block").applyInArrow(lambda cell: _cell(cell, threshold, selves, idf), "i long, j long, sim double")
 
 
 def similar_documents(docs: DataFrame, threshold: float = 0.35, max_features: int = 50_000) -> DataFrame:

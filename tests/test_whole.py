@@ -96,3 +96,15 @@ def test_retrieval_scores_over_several_blocks(spark, monkeypatch):
         lse = np.log(np.exp(logit - logit.max(1, keepdims=True)).sum(1)) + logit.max(1)
         assert retrieval.info_nce(v, v, 0.5, bound).first().loss == pytest.approx((lse - (logit * same).sum(1) / same.sum(1)).mean())
     assert retrieval.first_positive(v.limit(0), v.limit(0)).count() == 0 and retrieval.info_nce(v.limit(0), v.limit(0)).first().loss is None
+
+
+def test_similar_pairs_copy_a_text_a_fixed_number_of_times(spark, monkeypatch):
+    """Blocks grow with the texts: however many there are, a row lies in LANES + 1 cells of the half grid; pairs are those of few blocks."""
+    words = ("bold", "clean", "serif", "script", "round", "light", "wide", "narrow")
+    docs = spark.createDataFrame([(k, " ".join(words[(k * 5 + k // 3 * j + j) % 8] for j in range(5))) for k in range(90)], "id long, text string")
+    want = {(r.i, r.j): r.sim for r in tfidf.similar_pairs(docs).collect()}
+    monkeypatch.setattr(tfidf, "BLOCK", 3)
+    got = tfidf.similar_pairs(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()  # texts would be dealt into 30
+    assert {(r.i, r.j): r.sim for r in got.collect()} == pytest.approx(want) and want
+    assert f", 42), {tfidf.LANES}) AS deal" in plan
