@@ -108,3 +108,40 @@ def test_similar_pairs_copy_a_text_a_fixed_number_of_times(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()  # texts would be dealt into 30
     assert {(r.i, r.j): r.sim for r in got.collect()} == pytest.approx(want) and want
     assert f", 42), {tfidf.LANES}) AS deal" in plan
+
+
+def test_similar_pairs_leave_out_only_what_cannot_reach_the_threshold(spark, monkeypatch):
+    """Terms counted in many parts, most of them short, and bounds on frequent terms: still the pairs of the SQL's words, marks and digits too."""
+    import random
+
+    import duckdb
+    from tessella.plans import tags
+
+    r = random.Random(4)
+    words = ["der", "la", "x²", "Ⅷa", "é́t", "_1", "b", "12½"] + [f"w{k}" for k in range(40)]
+    texts = {k: " ".join(r.choice(words[: 12 if k % 3 else 48]) for _ in range(r.randrange(1, 30))) for k in range(150)} | {150: None, 151: "", 152: "la " * 700 + "der", 153: "der " + "la " * 300}
+    monkeypatch.setattr(tfidf, "FREQUENT", 6)
+    monkeypatch.setattr(tfidf, "GROUPS", 2)
+    monkeypatch.setattr(tfidf, "PART", 200)
+    monkeypatch.setattr(tfidf, "SHARE", 60)
+    monkeypatch.setattr(tfidf, "CHARS", 400)
+    monkeypatch.setattr(tfidf, "BLOCK", 40)
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for most in (50_000, 30):
+        with duckdb.connect() as db:
+            db.register("documents", documents.toArrow())
+            want = {(i, j): s for i, j, s in db.execute(tags.ORACLE["tfidf_similar_pairs"].replace("LIMIT 50000", f"LIMIT {most}")).fetchall()}
+        docs = documents.groupBy("text").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "id").repartition(2)
+        got = tfidf.similar_pairs(docs, max_features=most).collect()
+        assert {(x.i, x.j): x.sim for x in got} == pytest.approx(want, abs=2e-6) and len(want) > 100
+
+
+def test_parts_hand_on_few_terms(spark):
+    """What a part hands on doesn't grow with its terms once they are many: rare ones stay where they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    part = tfidf._Part()
+    part.add(pa.array([" ".join(f"u{k}" for k in range(2000)), "bold clean " * 40]), np.ones(2, int), frozenset())
+    got = {r["term"]: (r["n"], r["short"]) for b in part.terms(1000) for r in b.to_pylist()}
+    assert got == {"bold": (40, 3), "clean": (40, 3), "bold clean": (40, 3), "clean bold": (39, 3), None: (0, 3)}
