@@ -380,9 +380,10 @@ def similar_documents(docs: DataFrame, threshold: float = 0.35, max_features: in
     rows of kind "pair" are the similar classes, i <= j. Two documents are similar where their classes are; those of one
     class where it has a pair with itself, which a text without terms lacks. So copies cost rows, not pairs of rows.
     """
-    texts = docs.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     key = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null")).alias("key")
-    members = docs.select(F.col("id").cast("long").alias("j"), key).join(texts.select(F.col("id").cast("long").alias("i"), key), "key")
+    texts = written(docs.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    members = docs.select(F.col("id").cast("long").alias("j"), key).join(written(texts.select(F.col("id").cast("long").alias("i"), key)), "key")
     pairs = similar_pairs(texts, threshold, max_features, "copies", selves=True)
+    gone(texts)
     member = members.select(F.lit("member").alias("kind"), "i", "j", F.lit(None).cast("double").alias("sim"))
     return member.unionByName(pairs.select(F.lit("pair").alias("kind"), "i", "j", "sim"))
