@@ -315,6 +315,39 @@ def test_searches_against_a_plain_simulation(spark, monkeypatch):
     assert sum(n for n, _ in total.values()) == 7 and sum(n for _, n in total.values()) == sum(v <= 4 for v in want.values())
 
 
+@pytest.mark.parametrize("lots", [(1, 2), (2, 5), (24, 96)])
+def test_options_come_from_one_pass_or_from_further_ones(spark, monkeypatch, lots):
+    """A step reads the fonts once, where all its options lie near; else it goes on, and takes the same ones."""
+    from tessella.operators import simulation
+
+    passes = []
+    for name in ("_orders", "_pass"):
+        monkeypatch.setattr(simulation, name, lambda *a, f=getattr(simulation, name), name=name: passes.append(name) or f(*a))
+    monkeypatch.setattr(simulation, "BLOCK", 64)
+    monkeypatch.setattr(simulation, "LOTS", lots)
+    x = np.random.default_rng(3).normal(size=(150, 4))
+    x[60:75] = x[40:55]  # ties
+    fonts = spark.createDataFrame([(f"f{k:03}", x[k].tolist()) for k in range(150)], "font string, v array<double>")
+    trials = spark.createDataFrame([(k, 0.5, f"f{40 + 9 * k:03}") for k in range(5)], "trial long, rate double, target string")
+    got = {(r.trial, r.step): r["rank"] for r in simulation.searches(fonts, trials, V.literal_vector([1.0, -0.2, 0.4, 0.1]), 4, 3).collect()}
+    want = {}
+    for k in range(5):
+        place, goal = np.array([1.0, -0.2, 0.4, 0.1]), x[40 + 9 * k]
+        for step in range(1, 5):
+            unit, taken = place / np.linalg.norm(place), []
+            want[k, step] = int((np.round(x @ unit, 9) > round(goal @ unit, 9)).sum())
+            if want[k, step] <= 3:
+                break
+            for o in sorted(range(150), key=lambda o: (abs(round(x[o] @ unit, 9)), o)):
+                if len(taken) < 4 and all(x[o] @ x[t] <= 0 for t in taken):
+                    taken.append(o)
+            p, n = x[max(taken, key=lambda o: goal @ x[o])], x[min(taken, key=lambda o: goal @ x[o])]
+            if unit @ n - unit @ p + 0.1 > 0:
+                place = place - 0.5 * ((n - p) - unit * (unit @ (n - p))) / np.linalg.norm(place)
+    assert got == want and passes.count("_orders") == max(step for _, step in want)
+    assert lots[-1] < 96 or passes.count("_pass") <= 3 * passes.count("_orders")
+
+
 def test_carried_over_ranges(spark):
     rows = spark.createDataFrame([(k, k if k % 400 == 3 else None) for k in range(3000)], "k long, x long").repartition(8)
     got = {r.k: r.x for r in graph.carried(rows, "x", "k").collect()}
