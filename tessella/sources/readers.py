@@ -29,6 +29,10 @@ TABLES = {
 }
 
 
+#: Folders whose names go to every task.
+FOLDERS = 10_000
+
+
 def _stem(path: str = "path") -> Column:
     return F.regexp_extract(path, r"([^/\\]+)\.[^./\\]*$", 1)
 
@@ -172,15 +176,18 @@ def family_csv(spark: SparkSession, path: str, header: bool = False) -> DataFram
 
 
 def articles(spark: SparkSession, directory: str, marker: str = "METADATA.pb", files: str = "*.html", whole: bool = False) -> DataFrame:
-    """(folder, text): the last HTML file of each folder that holds a marker file (not an empty one, which scans skip). For whole see page_text."""
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path")
-    folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
-    marked = names.where(F.col("path").endswith(marker)).select(folder("path").alias("folder")).distinct()
-    html = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(directory, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    pages = html.withColumn("folder", F.regexp_extract(F.url_decode("file"), r"^[a-z0-9]*:?/*(.*)/[^/]*$", 1))
-    marked = marked.select(F.regexp_replace("folder", "^[a-z0-9]*:?/*", "").alias("folder"))
-    last = pages.join(marked, "folder", "left_semi").groupBy("folder").agg(F.max_by("value", "file").alias("html"))
-    return last.select("folder", X.html_text("html", whole).alias("text"))
+    """(folder, text): the last HTML file of each folder that holds a marker file (not an empty one, which scans skip). For whole see page_text.
+
+    Files are chosen by their names; only those are read on, each where it is read, so no page is shuffled or kept beside another.
+    """
+    listed = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(directory).select(F.col("_metadata.file_path").alias("file"))
+    folder = F.regexp_extract(F.url_decode("file"), r"^[a-z0-9]*:?/*(.*)/[^/]*$", 1).alias("folder")
+    marked = listed("*").where(F.url_decode("file").endswith(marker)).select(folder).distinct()
+    last = listed(files).select("file", folder).join(marked, "folder", "left_semi").groupBy("folder").agg(F.max("file").alias("file"))
+    if last.count() <= FOLDERS:
+        last = F.broadcast(last)
+    html = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return html.join(last, "file").select("folder", X.html_text("value", whole).alias("text"))
 
 
 def json_lists(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -61,6 +61,18 @@ def test_descriptions(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s" / "latest")).count() == 3
 
 
+def test_articles_are_not_shuffled(spark, tmp_path):
+    """The last file is chosen by its name; no page is shuffled or aggregated."""
+    for d, names in (("a b", ("1.html", "2.html", "note.pb")), ("c", ("9.html", "METADATA.pb")), ("d", ("x.html",))):
+        os.makedirs(tmp_path / d)
+        for n in names:
+            (tmp_path / d / n).write_text(f"<p>{d} {n}</p>")
+    got = readers.articles(spark, str(tmp_path), ".pb")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "value" not in "".join(x for x in plan.splitlines() if "Aggregate" in x)
+    assert {(r.folder.rsplit("/", 1)[1], r.text) for r in got.collect()} == {("a b", "a b 2.html"), ("c", "c 9.html")}
+
+
 def test_approvals_and_ring(spark):
     log = spark.createDataFrame([(1, 1, "q", "add", 1), (1, 1, "q", "remove", 2), (1, 2, "q", "add", 3), (2, 1, "q", "remove", 4), (2, 1, "q", "add", 5)], "font int, user int, query string, op string, seq int")
     assert {(r.font, r.user) for r in B.approvals(log).collect()} == {(1, 2), (2, 1)}
