@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import io
 import re
 from html.entities import html5
 
@@ -97,10 +98,28 @@ def page_text(page: str | None, whole: bool = False) -> str | None:
     """
     if page is None:
         return None
-    text = _MARKUP.sub(" ", page)
+    bare, end = io.StringIO(), 0  # a substitution keeps a list of all pieces
+    for m in _MARKUP.finditer(page):
+        bare.write(page[end : m.start()])
+        bare.write(" ")
+        end = m.end()
+    bare.write(page[end:])
+    text = bare.getvalue()
+    del bare
     named = lambda m: html.unescape(m[0]) if m[1] is None or f"{m[1]};" in html5 else m[0]
     text = _REFERENCE.sub(named, text) if whole else html.unescape(text)
-    return re.sub("[ \t\n\r\f\v]+", " ", text.replace("\xa0", " ")).strip(" ")
+    return _folded(text.replace("\xa0", " ")).strip(" ")
+
+
+def _folded(text: str, step: int = 1 << 20) -> str:
+    """Runs of white space as one space each, a stretch after another."""
+    parts: list[str] = []
+    for k in range(0, len(text), step):
+        part = re.sub("[ \t\n\r\f\v]+", " ", text[k : k + step])
+        part = part.removeprefix(" ") if parts and parts[-1].endswith(" ") else part
+        if part:
+            parts.append(part)
+    return "".join(parts)
 
 
 def html_text(page: Column | str, whole: bool = False) -> Column:

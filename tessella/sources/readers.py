@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -178,7 +179,8 @@ def family_csv(spark: SparkSession, path: str, header: bool = False) -> DataFram
 def articles(spark: SparkSession, directory: str, marker: str = "METADATA.pb", files: str = "*.html", whole: bool = False) -> DataFrame:
     """(folder, text): the last HTML file of each folder that holds a marker file (not an empty one, which scans skip). For whole see page_text.
 
-    Files are chosen by their names; only those are read on, each where it is read, so no page is shuffled or kept beside another.
+    Files are chosen by their names. Only those are read on, in lines, which meet by folder in order; a page is put together
+    and its text taken before the next one comes, so only the text is ever one value of a row.
     """
     listed = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(directory).select(F.col("_metadata.file_path").alias("file"))
     folder = F.regexp_extract(F.url_decode("file"), r"^[a-z0-9]*:?/*(.*)/[^/]*$", 1).alias("folder")
@@ -186,8 +188,29 @@ def articles(spark: SparkSession, directory: str, marker: str = "METADATA.pb", f
     last = listed(files).select("file", folder).join(marked, "folder", "left_semi").groupBy("folder").agg(F.max("file").alias("file"))
     if last.count() <= FOLDERS:
         last = F.broadcast(last)
-    html = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return html.join(last, "file").select("folder", X.html_text("value", whole).alias("text"))
+    at = ("_metadata.file_path", "_metadata.file_block_start")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).option("lineSep", "\n").text(directory)
+    lines = lines.select(*(F.col(c).alias(n) for c, n in zip(at, ("file", "block"))), F.monotonically_increasing_id().alias("row"), "value")
+
+    def text(folder: str | None, parts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([X.page_text("\n".join(parts), whole)], pa.string())], ["folder", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            names = b["folder"].to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist()] if len(names) else []
+            for k, z in zip(starts, [*starts[1:], len(names)]):
+                if parts and names[k] != now:
+                    yield text(now, parts)
+                    parts = []
+                now = names[k]
+                parts.append("\n".join(b["value"].slice(k, z - k).to_pylist()))
+        if parts:
+            yield text(now, parts)
+
+    met = lines.join(last, "file").repartition("folder").sortWithinPartitions("folder", "block", "row")
+    return met.select("folder", "value").mapInArrow(run, "folder string, text string")
 
 
 def json_lists(spark: SparkSession, path: str, kind: str) -> DataFrame:

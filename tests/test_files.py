@@ -61,12 +61,12 @@ def test_descriptions(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s" / "latest")).count() == 3
 
 
-def test_articles_are_not_shuffled(spark, tmp_path):
-    """The last file is chosen by its name; no page is shuffled or aggregated."""
+def test_articles_are_not_gathered(spark, tmp_path):
+    """The last file is chosen by its name; pages aren't aggregated, and lines that markup runs over are read in order."""
     for d, names in (("a b", ("1.html", "2.html", "note.pb")), ("c", ("9.html", "METADATA.pb")), ("d", ("x.html",))):
         os.makedirs(tmp_path / d)
         for n in names:
-            (tmp_path / d / n).write_text(f"<p>{d} {n}</p>")
+            (tmp_path / d / n).write_text(f"<p>{d}\n<script>\nx</script \n>{n}</p\n>\n")
     got = readers.articles(spark, str(tmp_path), ".pb")
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "max_by" not in plan and "value" not in "".join(x for x in plan.splitlines() if "Aggregate" in x)
